@@ -211,7 +211,7 @@ def group_docs(docs: DataFrame, key: str = "path") -> DataFrame:
     """Successful docs per file, sorted by identifier; a file whose units
     all failed still appears, with an empty list."""
     return docs.groupBy(key).agg(
-        F.array_sort(F.collect_list(F.when(F.col("error").isNull(),
+        F.sort_array(F.collect_list(F.when(F.col("error").isNull(),
                                            F.struct("identifier", "text")))).alias("docs"),
         F.count(F.lit(1)).alias("n_units"),
         F.count("error").alias("n_failed"),
@@ -221,7 +221,7 @@ def group_docs(docs: DataFrame, key: str = "path") -> DataFrame:
 def group_inputs(inputs: DataFrame, key: str = "path", fields: list[str] | None = None) -> DataFrame:
     """Inputs per file as a sorted list of structs led by the identifier."""
     fields = fields or ["identifier"]
-    return inputs.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("inputs"))
+    return inputs.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("inputs"))
 
 
 def flatten_docs(files: DataFrame, key: str = "path", list_col: str = "docs") -> DataFrame:

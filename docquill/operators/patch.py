@@ -46,7 +46,7 @@ def edits_per_path(edits: DataFrame) -> DataFrame:
     """
     per_line = (edits.repartition("path")
                 .groupBy("path", "line")
-                .agg(F.array_sort(F.collect_list(F.when(F.col("text").isNotNull(), F.struct(
+                .agg(F.sort_array(F.collect_list(F.when(F.col("text").isNotNull(), F.struct(
                     (-F.col("col")).alias("neg_col"), "identifier", "col", "text")))).alias("es"),
                      F.count(F.lit(1)).alias("_n"),
                      F.count(F.when(F.col("text").isNull(), 1)).alias("_f")))
@@ -123,7 +123,7 @@ def replace_comments(source: DataFrame, edits: DataFrame) -> DataFrame:
     """
     per_line = edits.groupBy("path", "line").agg(
         F.min("from_line").alias("from_line"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("identifier", "text"))),
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("identifier", "text"))),
                                  lambda s: s["text"]), "\n").alias("text"))
     per_path = per_line.groupBy("path").agg(
         F.map_from_entries(F.collect_list(F.struct("line", "text"))).alias("targets"),

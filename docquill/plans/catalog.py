@@ -3,9 +3,9 @@ matching DuckDB oracle SQL where one exists."""
 
 from __future__ import annotations
 
-from docquill.plans import q_annotate
+from docquill.plans import q_annotate, q_select
 
-_MODULES = [q_annotate]
+_MODULES = [q_annotate, q_select]
 
 
 def queries():

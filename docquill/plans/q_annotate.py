@@ -85,7 +85,7 @@ def noisy_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     commas, outer white space and quotes. Grouping is per conversation (a
     handful of turns), so no group outgrows one conversation."""
     c = load(spark, sf_dir, "conversations")
-    g = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("turns"))
+    g = c.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "text"))).alias("turns"))
     return g.select("conv_id", T.noisy_text(F.transform("turns", lambda t: t["text"])).alias("noisy"))
 
 

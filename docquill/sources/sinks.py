@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 def findings_json(findings: DataFrame, key: str = "path", col: str = "identifier") -> DataFrame:
     """Per file, the sorted findings as a JSON array string."""
     return findings.groupBy(key).agg(
-        F.to_json(F.array_sort(F.collect_list(col))).alias("findings_json"),
+        F.to_json(F.sort_array(F.collect_list(col))).alias("findings_json"),
         F.count(F.lit(1)).alias("n_findings"))
 
 
