@@ -9,3 +9,28 @@ from pyspark.sql import functions as F
 def col_of(c) -> Column:
     """Accept a column name or a Column."""
     return F.col(c) if isinstance(c, str) else c
+
+
+def explode_rows(df, arr: Column, keep, pos: str | None = None, value: str = "value"):
+    """Rows of ``arr`` per input row (none for an empty or NULL array).
+
+    Uses ``posexplode_outer`` and drops the padding row by its position.
+    A plain ``explode`` makes the optimizer infer ``size(arr) > 0`` and push
+    it below the projections that build ``arr``, which re-evaluates the whole
+    (possibly regex-heavy) expression a second time.
+    """
+    p = pos or "_pos"
+    out = df.select(*keep, F.posexplode_outer(arr).alias(p, value)).where(F.col(p).isNotNull())
+    return out if pos else out.drop(p)
+
+
+def filter_computed(df, cond: Column):
+    """``df.where(cond)`` for a condition on columns that are costly to
+    compute (regex ladders, line scans, edit application).
+
+    A plain filter is pushed below the projection that computes those
+    columns, so they would be evaluated twice (in the filter and again in the
+    projection). Routing the condition through a generator keeps it above.
+    """
+    tmp = df.select("*", F.posexplode_outer(F.when(cond, F.array(F.lit(True)))).alias("_fk", "_fv"))
+    return tmp.where(F.col("_fk").isNotNull()).drop("_fk", "_fv")

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docquill.functions._util import col_of
+from docquill.functions._util import col_of, explode_rows
 from docquill.functions.identifiers import short_name, target_phrase
 from docquill.functions.text import clean_answer, with_footer
 
@@ -226,7 +226,7 @@ def group_inputs(inputs: DataFrame, key: str = "path", fields: list[str] | None
 
 def flatten_docs(files: DataFrame, key: str = "path", list_col: str = "docs") -> DataFrame:
     """All docs of all files, one row each."""
-    return files.select(key, F.explode(list_col).alias("_d")).select(key, "_d.*")
+    return explode_rows(files, F.col(list_col), [key], value="_d").select(key, "_d.*")
 
 
 def usage_totals(responses: DataFrame, by: str = "model") -> DataFrame:

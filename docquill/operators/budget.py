@@ -80,14 +80,19 @@ def chat_tokens(messages: DataFrame, model: str, key: str = "conv_id", content:
 Rung = tuple[str, Callable[[Column], Column]]
 
 
+def _bind(expr: Column, fn) -> Column:
+    """Evaluate ``expr`` once and pass it to ``fn`` (a let-binding made of a
+    one-element ``transform``), so it can be referenced several times."""
+    return F.get(F.transform(F.array(expr), fn), 0)
+
+
 def shrink_to_budget(df: DataFrame, text_col: str, rungs: Sequence[Rung], limit, *,
                      counter=token_count, on_overflow: str = "null", trace: bool = False,
-                     prefix: str = "") -> DataFrame:
+                     native_counter: bool | None = None) -> DataFrame:
     """Apply ordered, cumulative reductions until the text fits.
 
     The text is checked before any rung and after each; the first that fits
-    wins and later rungs are never evaluated for that row (each stage is
-    guarded by the previous stage's ``fits``). Adds columns:
+    wins and later rungs are never evaluated for that row. Adds columns:
 
     ``text_min`` (NULL when nothing fits and ``on_overflow='null'``; the last
     reduction when ``on_overflow='keep'``), ``rung`` (number of rungs applied),
@@ -96,51 +101,100 @@ def shrink_to_budget(df: DataFrame, text_col: str, rungs: Sequence[Rung], limit,
     ARRAY<STRUCT<step, rung, tokens_in, tokens_out>> of the executed rungs.
     ``on_overflow='error'`` raises inside the job.
 
-    Each stage is a separate projection; referencing the previous stage's text
-    twice keeps Catalyst from inlining (and re-running) the regex chain.
+    With the native counter the whole ladder is one ``aggregate`` over the rung
+    numbers: the expression grows linearly with the rungs and each row's text
+    is reduced and counted once per executed rung, even when a filter on the
+    result is pushed below the projection. A pandas-UDF counter cannot run in
+    a lambda, so it gets one guarded projection per rung instead.
     """
-    p = prefix
     lim = col_of(limit) if not isinstance(limit, int) else F.lit(limit)
-    t0 = f"{p}_t0"
-    out = df.withColumn(t0, F.coalesce(col_of(text_col), F.lit("")))
-    out = out.withColumn(f"{p}_n0", counter(F.col(t0)))
-    out = out.withColumn(f"{p}_f0", (F.col(f"{p}_n0") <= lim) | (F.length(F.col(t0)) == 0) | F.lit(len(rungs) == 0))
-    out = out.withColumn(f"{p}_r0", F.lit(0))
-    for k, (_, fn) in enumerate(rungs, start=1):
-        prev_t, prev_n, prev_f, prev_r = (f"{p}_t{k-1}", f"{p}_n{k-1}", f"{p}_f{k-1}", f"{p}_r{k-1}")
-        out = out.withColumn(f"{p}_t{k}", F.when(F.col(prev_f), F.col(prev_t)).otherwise(fn(F.col(prev_t))))
-        out = out.withColumn(f"{p}_n{k}", F.when(F.col(prev_f), F.col(prev_n)).otherwise(counter(F.col(f"{p}_t{k}"))))
-        out = out.withColumn(f"{p}_f{k}", F.col(prev_f) | (F.col(f"{p}_n{k}") <= lim))
-        out = out.withColumn(f"{p}_r{k}", F.when(F.col(prev_f), F.col(prev_r)).otherwise(F.lit(k)))
-    last = len(rungs)
-    fits = F.col(f"{p}_f{last}")
-    err = F.when(~fits, F.format_string("shrunk text exceeds %d tokens (%d tokens)", lim, F.col(f"{p}_n{last}")))
+    native = counter is token_count if native_counter is None else native_counter
+    if native:
+        ladder = _ladder_aggregate(F.coalesce(col_of(text_col), F.lit("")), rungs, lim, counter)
+        out = df.withColumn("_shrink", ladder)
+    else:
+        out = _ladder_staged(df, text_col, rungs, lim, counter)
+    fits = F.col("_shrink.fits")
+    err = F.when(~fits, F.format_string("shrunk text exceeds %d tokens (%d tokens)", lim, F.col("_shrink.n")))
     if on_overflow == "error":
-        text_min = F.when(fits, F.col(f"{p}_t{last}")).otherwise(F.raise_error(err))
+        text_min = F.when(fits, F.col("_shrink.t")).otherwise(F.raise_error(err))
     elif on_overflow == "keep":
-        text_min = F.col(f"{p}_t{last}")
+        text_min = F.col("_shrink.t")
     else:
-        text_min = F.when(fits, F.col(f"{p}_t{last}"))
-    out = out.withColumns({
+        text_min = F.when(fits, F.col("_shrink.t"))
+    cols = {
         "text_min": text_min,
-        "rung": F.col(f"{p}_r{last}"),
-        "tokens_in": F.col(f"{p}_n0"),
-        "tokens": F.col(f"{p}_n{last}"),
+        "rung": F.col("_shrink.rung"),
+        "tokens_in": F.col("_shrink.n0"),
+        "tokens": F.col("_shrink.n"),
         "fits": fits,
         "error": err,
-    })
+    }
     if trace:
-        steps = []
-        for k, (name, _) in enumerate(rungs, start=1):
-            steps.append(F.when(F.col(f"{p}_r{last}") >= k, F.struct(
-                F.lit(k).alias("step"), F.lit(name).alias("rung"),
-                F.col(f"{p}_n{k-1}").alias("tokens_in"), F.col(f"{p}_n{k}").alias("tokens_out"))))
-        # Rungs are executed until one fits; with no fit, all of them ran.
-        steps_arr = F.filter(F.array(*steps), lambda s: s.isNotNull()) if steps else F.array()
-        out = out.withColumn("steps", steps_arr)
-    helper = [c for c in out.columns if c.startswith(f"{p}_") and c[len(p) + 1:len(p) + 2] in "tnfr"
-              and c[len(p) + 2:].isdigit()]
-    return out.drop(*helper)
+        cols["steps"] = F.col("_shrink.steps")
+    return out.withColumns(cols).drop("_shrink")
+
+
+_STEP_T = "struct<step:int,rung:string,tokens_in:bigint,tokens_out:bigint>"
+
+
+def _ladder_aggregate(text: Column, rungs: Sequence[Rung], lim: Column, counter) -> Column:
+    empty_steps = F.array().cast(f"array<{_STEP_T}>")
+
+    def start(t):
+        return _bind(counter(t).cast("bigint"), lambda n: F.struct(
+            t.alias("t"), n.alias("n"), n.alias("n0"),
+            ((n <= lim) | (F.length(t) == 0) | F.lit(len(rungs) == 0)).alias("fits"),
+            F.lit(0).alias("rung"), empty_steps.alias("steps")))
+
+    init = _bind(text, start)
+    if not rungs:
+        return init
+
+    def reduce_text(k, t):
+        expr = None
+        for i, (_, fn) in enumerate(rungs, start=1):
+            expr = F.when(k == i, fn(t)) if expr is None else expr.when(k == i, fn(t))
+        return expr
+
+    names = F.array(*[F.lit(name) for name, _ in rungs])
+
+    def step(acc, k):
+        def after(t2):
+            return _bind(counter(t2).cast("bigint"), lambda n2: F.struct(
+                t2.alias("t"), n2.alias("n"), acc["n0"].alias("n0"), (n2 <= lim).alias("fits"),
+                k.alias("rung"),
+                F.concat(acc["steps"], F.array(F.struct(
+                    k.alias("step"), F.get(names, k - 1).alias("rung"),
+                    acc["n"].alias("tokens_in"), n2.alias("tokens_out")))).alias("steps")))
+        return F.when(acc["fits"], acc).otherwise(_bind(reduce_text(k, acc["t"]), after))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(len(rungs))), init, step)
+
+
+def _ladder_staged(df: DataFrame, text_col: str, rungs: Sequence[Rung], lim: Column, counter) -> DataFrame:
+    out = df.withColumn("_t0", F.coalesce(col_of(text_col), F.lit("")))
+    out = out.withColumn("_n0", counter(F.col("_t0")).cast("bigint"))
+    out = out.withColumn("_f0", (F.col("_n0") <= lim) | (F.length("_t0") == 0) | F.lit(len(rungs) == 0))
+    out = out.withColumn("_r0", F.lit(0))
+    steps = []
+    for k, (name, fn) in enumerate(rungs, start=1):
+        p = k - 1
+        out = out.withColumn(f"_t{k}", F.when(F.col(f"_f{p}"), F.col(f"_t{p}")).otherwise(fn(F.col(f"_t{p}"))))
+        out = out.withColumn(f"_n{k}", F.when(F.col(f"_f{p}"), F.col(f"_n{p}"))
+                             .otherwise(counter(F.col(f"_t{k}")).cast("bigint")))
+        out = out.withColumn(f"_f{k}", F.col(f"_f{p}") | (F.col(f"_n{k}") <= lim))
+        out = out.withColumn(f"_r{k}", F.when(F.col(f"_f{p}"), F.col(f"_r{p}")).otherwise(F.lit(k)))
+        steps.append((k, name))
+    last = len(rungs)
+    trace = F.filter(F.array(*[F.when(F.col(f"_r{last}") >= k, F.struct(
+        F.lit(k).alias("step"), F.lit(name).alias("rung"), F.col(f"_n{k-1}").alias("tokens_in"),
+        F.col(f"_n{k}").alias("tokens_out"))) for k, name in steps]), lambda s: s.isNotNull()) \
+        if steps else F.array().cast(f"array<{_STEP_T}>")
+    out = out.withColumn("_shrink", F.struct(
+        F.col(f"_t{last}").alias("t"), F.col(f"_n{last}").alias("n"), F.col("_n0").alias("n0"),
+        F.col(f"_f{last}").alias("fits"), F.col(f"_r{last}").alias("rung"), trace.alias("steps")))
+    return out.drop(*[f"_{c}{k}" for c in "tnfr" for k in range(last + 1)])
 
 
 def go_rungs() -> list[Rung]:

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docquill.functions._util import explode_rows, filter_computed
+
 EDIT_FIELDS = "struct<col:int,identifier:string,text:string>"
 
 
@@ -106,8 +108,8 @@ def apply_edits(source: DataFrame, edits: DataFrame, mode: str = "permissive") -
     else:
         after = F.when(F.col("n_missed") == 0, F.col("_after")).otherwise(F.col("text"))
     preview = out.withColumn("after", after).withColumnRenamed("text", "before")
-    misses = (out.where(F.col("n_missed") > 0)
-              .select("path", F.explode("_missed").alias("m"))
+    misses = (filter_computed(out, F.col("n_missed") > 0)
+              .transform(lambda d: explode_rows(d, F.col("_missed"), ["path"], value="m"))
               .select("path", "m.line", "m.col", "m.identifier",
                       F.lit("position out of range").alias("error")))
     return preview.drop("_after", "_missed", "edit_map"), misses

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docquill.functions._util import col_of
+from docquill.functions._util import col_of, explode_rows
 from docquill.functions.identifiers import is_exported
 
 
@@ -46,10 +46,7 @@ def extract_by_rules(source: DataFrame, rules: DataFrame, text: str = "text",
     keys = list(keys)
     j = source.join(F.broadcast(rules), "language", "inner")
     m = F.regexp_extract_all(F.col(text), F.col("pattern"), F.col("grp"))
-    if with_position:
-        ex = j.select(*keys, "language", "kind", F.posexplode(m).alias("pos", "name"))
-    else:
-        ex = j.select(*keys, "language", "kind", F.explode(m).alias("name"))
+    ex = explode_rows(j, m, [*keys, "language", "kind"], pos="pos" if with_position else None, value="name")
     return ex.withColumn("identifier", F.concat(F.col("kind"), F.lit(":"), F.col("name")))
 
 
@@ -171,7 +168,7 @@ def go_units(source: DataFrame, text: str = "text", keys=("path",)) -> DataFrame
                         block_doc.alias("block_doc"), F.lit(False).alias("block_first"))
 
     found = _scan(_lines(F.col(text)), init, step)["units"]
-    out = source.select(*keys, F.explode(found).alias("u")).select(*keys, "u.*")
+    out = explode_rows(source, found, keys, value="u").select(*keys, "u.*")
     # a multi-name spec yields its first name only: the regex takes the first word.
     out = out.withColumn("exported", is_exported(F.col("identifier")))
     return out.withColumn("documented", F.col("documented") | F.col("enclosing_documented"))
@@ -258,7 +255,7 @@ def ts_units(source: DataFrame, text: str = "text", keys=("path",)) -> DataFrame
                         owner_depth.cast("int").alias("owner_depth"))
 
     found = _scan(_lines(F.col(text)), init, step)["units"]
-    return source.select(*keys, F.explode(found).alias("u")).select(*keys, "u.*")
+    return explode_rows(source, found, keys, value="u").select(*keys, "u.*")
 
 
 # --------------------------------------------------------------------------

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docquill.functions import text as T
+from docquill.functions._util import explode_rows
 from docquill.functions.tokens import token_count
 from docquill.operators.annotate import (PROMPT_TEMPLATES, LeadingWordsProvider, annotate, build_prompt,
                                          dead_letter, finish_docs, usage_totals)
@@ -22,7 +23,7 @@ FOOTER = "Generated from the corpus."
 
 def _paragraph_units(src: DataFrame) -> DataFrame:
     """One unit per line of a document: ``para:<line>``, its own text as code."""
-    u = src.select("doc_id", "path", "language", F.posexplode(F.split("text", "\n")).alias("line", "para"))
+    u = explode_rows(src, F.split("text", "\n"), ["doc_id", "path", "language"], pos="line", value="para")
     return u.withColumn("identifier", F.concat(F.lit("para:"), F.col("line")))
 
 

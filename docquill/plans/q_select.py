@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docquill.functions._util import explode_rows
 from docquill.functions.identifiers import format_identifier, is_exported, parse_identifier, valid_identifier
 from docquill.operators import select as SEL
 from docquill.operators.annotate import flatten_docs, group_inputs
@@ -81,7 +82,7 @@ def q_undocumented_units(spark, sf_dir):
     p = load(spark, sf_dir, "pages")
     docd = F.regexp_extract_all("html", F.lit(BLOCK_PATTERN), F.lit(1))
     kinds = F.regexp_extract_all("html", F.lit(BLOCK_PATTERN), F.lit(2))
-    u = p.select("page_id", F.explode(F.arrays_zip(docd.alias("d"), kinds.alias("k"))).alias("u")).select(
+    u = explode_rows(p, F.arrays_zip(docd.alias("d"), kinds.alias("k")), ["page_id"], value="u").select(
         "page_id", F.col("u.k").alias("kind"), (F.col("u.d") != "").alias("documented"))
     u = SEL.filter_kinds(u, ["div", "article", "nav"])
     return SEL.only_undocumented(u).groupBy("page_id", "kind").agg(F.count(F.lit(1)).alias("n_undocumented"))
