@@ -172,26 +172,39 @@ def annotate(requests: DataFrame, provider: Provider, *, keep: list[str] | None
             raise ValueError(err)
         return ans
 
+    def one(prompt, model, budget):
+        try:
+            a = call(prompt, model, budget)
+            return (a.text, a.finish_reason, a.prompt_tokens, a.completion_tokens,
+                    a.prompt_tokens + a.completion_tokens, None)
+        except Exception as exc:  # one unit's failure never stops the others
+            return (None, None, None, None, None, f"{type(exc).__name__}: {exc}")
+
+    def frame(pdf: pd.DataFrame, rows: list) -> pd.DataFrame:
+        res = pd.DataFrame(rows, columns=["answer", "finish_reason", "prompt_tokens",
+                                          "completion_tokens", "total_tokens", "error"])
+        for c in ("prompt_tokens", "completion_tokens", "total_tokens"):
+            res[c] = res[c].astype("Int64")
+        return pd.concat([pdf[keep].reset_index(drop=True), res], axis=1)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        if threads == 1:
+            # In-line calls; the deadline is the provider's own (K6).
+            for pdf in batches:
+                rows = [one(p, m, b) for p, m, b in zip(pdf[prompt_col], pdf[model_col], pdf[budget_col])]
+                yield frame(pdf, rows)
+            return
         with cf.ThreadPoolExecutor(max_workers=threads) as pool:
             for pdf in batches:
-                futs = [pool.submit(call, p, m, b) for p, m, b in
+                futs = [pool.submit(one, p, m, b) for p, m, b in
                         zip(pdf[prompt_col], pdf[model_col], pdf[budget_col])]
                 rows = []
                 for fut in futs:
                     try:
-                        a = fut.result(timeout=timeout_s)
-                        rows.append((a.text, a.finish_reason, a.prompt_tokens, a.completion_tokens,
-                                     a.prompt_tokens + a.completion_tokens, None))
+                        rows.append(fut.result(timeout=timeout_s))
                     except cf.TimeoutError:
                         rows.append((None, None, None, None, None, f"deadline of {timeout_s:g}s exceeded"))
-                    except Exception as exc:  # one unit's failure never stops the others
-                        rows.append((None, None, None, None, None, f"{type(exc).__name__}: {exc}"))
-                res = pd.DataFrame(rows, columns=["answer", "finish_reason", "prompt_tokens",
-                                                  "completion_tokens", "total_tokens", "error"])
-                for c in ("prompt_tokens", "completion_tokens", "total_tokens"):
-                    res[c] = res[c].astype("Int64")
-                yield pd.concat([pdf[keep].reset_index(drop=True), res], axis=1)
+                yield frame(pdf, rows)
 
     return req.mapInPandas(run, out_schema)
 

@@ -35,7 +35,7 @@ def annotation_results(spark: SparkSession, sf_dir: str, model: str = MODEL) ->
     req = attach_model(req.withColumn("model", F.lit(model)), models_table(spark))
     req = req.withColumn("max_tokens", completion_budget(token_count("prompt"), "ctx_tokens"))
     res = annotate(req, LeadingWordsProvider(ANSWER_WORDS),
-                   keep=["doc_id", "path", "identifier", "line", "model"])
+                   keep=["doc_id", "path", "identifier", "line", "model"], threads=1)
     return finish_docs(res)
 
 

@@ -9,9 +9,35 @@ TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineite
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
 
-def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One driver table: ``{sf_dir}/{name}.parquet``."""
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+# Primary keys of the driver tables that carry text (used to spread rows).
+PRIMARY_KEYS = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_id",
+                "events": "event_id", "benchmark": "item_id", "labels": "doc_id", "embeddings": "vec_id"}
+
+
+def spread(df: DataFrame, key: str | None, rebalance="auto") -> DataFrame:
+    """Spread rows over the cluster when the scan cannot.
+
+    A table stored as fewer files than the session's parallelism (e.g. one
+    file with one row group) is read by a handful of tasks, and every per-row
+    text operator would then run on those few cores. In that case (only)
+    rows are hash-partitioned by their key: deterministic, so a retried task
+    sees the same rows, and the shuffle is bounded by those few files. Tables
+    made of many files are left as the scan splits them. ``rebalance`` may
+    also be False (never) or an int (always, to that many partitions).
+    """
+    if rebalance is False or rebalance is None:
+        return df
+    spark = df.sparkSession
+    n = int(rebalance) if not isinstance(rebalance, str) else spark.sparkContext.defaultParallelism
+    if isinstance(rebalance, str) and len(df.inputFiles()) >= n:
+        return df
+    return df.repartition(n, key) if key else df.repartition(n)
+
+
+def load(spark: SparkSession, sf_dir: str, name: str, rebalance="auto") -> DataFrame:
+    """One driver table: ``{sf_dir}/{name}.parquet``, spread if needed."""
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread(df, PRIMARY_KEYS.get(name), rebalance)
 
 
 def read_table(spark: SparkSession, path: str, id_col: str, text_col: str,
