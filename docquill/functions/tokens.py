@@ -37,6 +37,12 @@ def exact_counter(make_encoder: Callable[[], Callable[[str], list]]):
         for s in batches:
             yield s.map(lambda t: None if t is None else len(encode(t))).astype("Int64")
 
+    from pyspark.sql import SparkSession
+
+    from docquill.session import ship_package
+    active = SparkSession.getActiveSession()
+    if active is not None:
+        ship_package(active)
     return lambda c: _count(col_of(c))
 
 

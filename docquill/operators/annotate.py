@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from docquill.functions._util import col_of, explode_rows
 from docquill.functions.identifiers import short_name, target_phrase
 from docquill.functions.text import clean_answer, with_footer
+from docquill.session import ship_package
 
 # Our own instruction text. Placeholders: {target} {name} {path} {code}.
 PROMPT_TEMPLATES = {
@@ -206,6 +207,7 @@ def annotate(requests: DataFrame, provider: Provider, *, keep: list[str] | None
                         rows.append((None, None, None, None, None, f"deadline of {timeout_s:g}s exceeded"))
                 yield frame(pdf, rows)
 
+    ship_package(requests.sparkSession)
     return req.mapInPandas(run, out_schema)
 
 
