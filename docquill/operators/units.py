@@ -205,7 +205,7 @@ def ts_units(source: DataFrame, text: str = "text", keys=("path",)) -> DataFrame
     def step(acc, l, i):
         blank = _is_blank(l)
         comment = _is_comment_line(l)
-        code = F.regexp_replace(l, r"//.*$", "")
+        code = F.regexp_replace(l, r"/\*.*?\*/|//.*$", "")
         opens = F.length(code) - F.length(F.replace(code, F.lit("{"), F.lit("")))
         closes = F.length(code) - F.length(F.replace(code, F.lit("}"), F.lit("")))
         depth = acc["depth"]
