@@ -27,9 +27,9 @@ def _paragraph_units(src: DataFrame) -> DataFrame:
     return u.withColumn("identifier", F.concat(F.lit("para:"), F.col("line")))
 
 
-def annotation_results(spark: SparkSession, sf_dir: str, model: str = MODEL) -> DataFrame:
+def annotation_results(spark: SparkSession, sf_dir: str, model: str = MODEL, src: DataFrame | None = None) -> DataFrame:
     """Units -> prompt -> token count -> budget -> provider -> cleaned doc."""
-    src = documents_source(spark, sf_dir)
+    src = documents_source(spark, sf_dir) if src is None else src
     units = _paragraph_units(src)
     req = units.withColumn("prompt", build_prompt("identifier", F.lit("go"), "path", "para"))
     req = attach_model(req.withColumn("model", F.lit(model)), models_table(spark))
@@ -39,15 +39,12 @@ def annotation_results(spark: SparkSession, sf_dir: str, model: str = MODEL) ->
     return finish_docs(res)
 
 
-def q_annotate_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Flagship: annotate every paragraph of every document and insert the
-    answers as ``//`` comments above their paragraphs; one summary row per
-    document (the full patched text is represented by its digest)."""
-    docs = annotation_results(spark, sf_dir)
+def patch_summary(src: DataFrame, docs: DataFrame) -> DataFrame:
+    """Insert each successful answer as a ``//`` comment above its paragraph
+    and summarise each document (counts and a digest of the new text)."""
     edits = docs.select("path", "line", F.lit(0).alias("col"), "identifier", "error",
                         F.when(F.col("error").isNull(),
                                F.concat(T.line_comment("text"), F.lit("\n"))).alias("text"))
-    src = documents_source(spark, sf_dir)
     preview, _ = apply_edits(src, edits)
     return preview.select(
         "doc_id",
@@ -60,6 +57,13 @@ def q_annotate_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def q_annotate_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flagship: annotate every paragraph of every document and insert the
+    answers as ``//`` comments above their paragraphs; one summary row per
+    document (the full patched text is represented by its digest)."""
+    return patch_summary(documents_source(spark, sf_dir), annotation_results(spark, sf_dir))
+
+
 def q_annotate_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A5: the dead-letter rows of the annotation run."""
     docs = annotation_results(spark, sf_dir)
@@ -166,8 +170,26 @@ def q_model_default(spark: SparkSession, sf_dir: str) -> DataFrame:
                                                 .cast("bigint").alias("n_zero_budget"))
 
 
+def _as_documents_source(batch: DataFrame) -> DataFrame:
+    return batch.select("doc_id", F.format_string("%s/%d.txt", "source", "doc_id").alias("path"),
+                        F.col("lang").alias("language"), "text")
+
+
+def q_annotate_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M1: the flagship as a stream over the documents file (available-now
+    trigger); returns what the stream wrote. Same results as the batch job."""
+    from docquill.streaming.stream import annotate_stream, stream_workdir
+    out, ckpt = stream_workdir(spark, "annotate-stream")
+    annotate_stream(
+        spark, f"{sf_dir.rstrip('/')}/documents.parquet", out, ckpt,
+        annotate_fn=lambda b: annotation_results(spark, sf_dir, src=_as_documents_source(b)),
+        finish_fn=lambda b, docs: patch_summary(_as_documents_source(b), docs))
+    return spark.read.parquet(f"{out}/ok").drop("batch_id")
+
+
 QUERIES = {
     "annotate_documents": q_annotate_documents,
+    "annotate_stream": q_annotate_stream,
     "annotate_errors": q_annotate_errors,
     "annotate_docs": q_annotate_docs,
     "usage_totals": q_usage_totals,
@@ -243,6 +265,7 @@ def _n_zero(expr: str) -> str:
 
 ORACLE = {
     "annotate_documents": _oracle_annotate_documents(),
+    "annotate_stream": _oracle_annotate_documents(),
     "annotate_errors": f"WITH {_annotation_sql()} SELECT doc_id, line, 'para:' || CAST(line AS VARCHAR) AS identifier, error FROM docs WHERE error IS NOT NULL",
     "annotate_docs": f"WITH {_annotation_sql()} SELECT doc_id, line, md5(doc || chr(10) || chr(10) || {S.lit(FOOTER)}) AS doc_md5, prompt_tokens, completion_tokens FROM docs WHERE error IS NULL",
     "usage_totals": f"""WITH {_annotation_sql()}
