@@ -12,6 +12,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docquill.functions import text as T
+from docquill.operators.budget import MODEL_LIMITS as B_LIMITS
+from docquill.operators.annotate import PROMPT_TEMPLATES
+from docquill.plans import sqlgen as S
 from docquill.operators import select as SEL
 from docquill.operators.units import existing_comment, go_units, locate_units, ts_units
 from docquill.sources.tables import load
@@ -119,7 +122,47 @@ def q_clear_comments(spark, sf_dir):
     return src.select("path", F.md5(T.clear_comments("text")).alias("cleared_md5"))
 
 
+CODE_MODEL = "gpt-3.5-turbo"
+
+
+def q_annotate_code(spark, sf_dir):
+    """The annotate command on Go code: exported, undocumented, non-test
+    units; each file shrunk once (Go rungs) to the model's context and joined
+    to its findings on ``path``; prompt, model call, clean-up, ``//`` comment
+    formatting, positions by identifier, and all edits of a file applied in
+    one pass. One summary row per file."""
+    from docquill.functions.tokens import token_count
+    from docquill.operators.annotate import LeadingWordsProvider, annotate, build_prompt, finish_docs
+    from docquill.operators.budget import (attach_model, completion_budget, go_rungs, models_table,
+                                           shrink_to_budget)
+    from docquill.operators.patch import apply_edits, resolve_edits
+
+    src = go_code(spark, sf_dir).withColumn("language", F.lit("go"))
+    units = go_units(src)
+    findings = SEL.only_undocumented(SEL.exclude_tests(units.where(F.col("exported"))))
+    ctx = dict(B_LIMITS)[CODE_MODEL]
+    shrunk = shrink_to_budget(src, "text", go_rungs(), ctx).select(
+        "path", "language", F.col("text_min").alias("code"))
+    req = findings.select("path", "identifier").join(shrunk, "path")
+    req = req.withColumn("prompt", build_prompt("identifier", "language", "path", "code"))
+    req = attach_model(req.withColumn("model", F.lit(CODE_MODEL)), models_table(spark))
+    req = req.withColumn("max_tokens", completion_budget(token_count("prompt"), "ctx_tokens"))
+    docs = finish_docs(annotate(req, LeadingWordsProvider(8), keep=["path", "identifier"], threads=1))
+    docs = docs.withColumn("text", F.when(F.col("error").isNull(),
+                                          F.concat(T.line_comment("text"), F.lit("\n"))))
+    edits, _ = resolve_edits(docs.select("path", "identifier", "text", "error"), units)
+    preview, _ = apply_edits(src, edits.select("path", "line", "col", "identifier", "text", "error"))
+    return preview.select(
+        "path",
+        F.coalesce(F.col("n_units"), F.lit(0)).cast("bigint").alias("n_units"),
+        F.coalesce(F.col("n_failed"), F.lit(0)).cast("bigint").alias("n_failed"),
+        F.col("n_applied").cast("bigint").alias("n_applied"),
+        (F.col("before") != F.col("after")).alias("changed"),
+        F.md5("after").alias("after_md5"))
+
+
 QUERIES = {
+    "annotate_code": q_annotate_code,
     "go_units": q_go_units,
     "go_findings": q_go_findings,
     "ts_units": q_ts_units,
@@ -176,7 +219,48 @@ SELECT 'conv/' || CAST(conv_id AS VARCHAR) || '.go' AS path,
        md5('package conv' || conv_id || chr(10) || '' || chr(10) || string_agg(b, chr(10) ORDER BY turn)) AS cleared_md5
 FROM blocks GROUP BY conv_id"""
 
+def _block_sql(with_comment: bool) -> str:
+    ins = "doc_line || chr(10) || " if with_comment else ""
+    return f"""CASE role WHEN 'assistant' THEN '// ' || fl WHEN 'system' THEN '/* ' || fl || ' */' ELSE '' END || chr(10) ||
+         CASE role WHEN 'user' THEN {ins}'func Ask' || k || '() string {{' WHEN 'assistant' THEN 'var Reply' || k || ' = ' || k
+                   ELSE 'type system' || k || ' struct {{' END || chr(10) ||
+         CASE role WHEN 'user' THEN chr(9) || 'return ""' WHEN 'assistant' THEN '' ELSE chr(9) || 'Name string' END
+         || chr(10) || CASE role WHEN 'assistant' THEN '' ELSE '}}' END"""
+
+
+_PROMPT = S.render(PROMPT_TEMPLATES["go"], {
+    "target": "'function \"Ask' || k || '()\"'", "name": "'Ask' || k", "path": "path", "code": "code"})
+
+_ANNOTATE_CODE = "WITH " + _T + f""",
+files AS (
+  SELECT conv_id, 'conv/' || CAST(conv_id AS VARCHAR) || '.go' AS path,
+         '// Package conv' || conv_id || ' holds one conversation.' || chr(10) || 'package conv' || conv_id || chr(10)
+         || '' || chr(10) || string_agg({_block_sql(False)}, chr(10) ORDER BY turn) AS code
+  FROM t GROUP BY conv_id),
+req AS (
+  SELECT t.conv_id, t.turn, t.k, f.path, f.code, {_PROMPT} AS prompt
+  FROM t JOIN files f ON t.conv_id = f.conv_id WHERE t.role = 'user'),
+ans AS (
+  SELECT *, greatest(0, least(512, 4096, 4096 - {S.n_tokens('prompt')})) > 0 AS ok,
+         {S.clean("' \"' || array_to_string(list_slice(regexp_extract_all(code, '\\S+'), 1, 8), ' ') || '\"' || chr(10)")}
+           AS doc
+  FROM req),
+per_file AS (
+  SELECT conv_id, count(*) AS n_units, count(*) FILTER (WHERE NOT ok) AS n_failed,
+         max(CASE WHEN ok THEN {S.line_comment('doc')} END) AS doc_line
+  FROM ans GROUP BY conv_id),
+patched AS (
+  SELECT t.conv_id, string_agg({_block_sql(True)}, chr(10) ORDER BY turn) AS body,
+         coalesce(max(p.n_units), 0) AS n_units, coalesce(max(p.n_failed), 0) AS n_failed
+  FROM t LEFT JOIN per_file p ON t.conv_id = p.conv_id GROUP BY t.conv_id)
+SELECT 'conv/' || CAST(conv_id AS VARCHAR) || '.go' AS path, CAST(n_units AS BIGINT) AS n_units,
+       CAST(n_failed AS BIGINT) AS n_failed, CAST(n_units - n_failed AS BIGINT) AS n_applied, n_units > n_failed AS changed,
+       md5('// Package conv' || conv_id || ' holds one conversation.' || chr(10) || 'package conv' || conv_id || chr(10)
+           || '' || chr(10) || body) AS after_md5
+FROM patched"""
+
 ORACLE = {
+    "annotate_code": _ANNOTATE_CODE,
     "go_units": _GO_UNITS,
     "go_findings": "SELECT path, identifier FROM (" + _GO_UNITS + """) g
 WHERE exported AND NOT documented AND NOT (identifier LIKE 'func:Test%')""",
