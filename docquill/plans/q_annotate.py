@@ -124,12 +124,15 @@ def q_wrap_noisy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_comment_styles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """I7, I8, I9 on assistant turns."""
+    """I7, I8, I9, I10 on assistant turns wrapped as generated comments."""
     c = load(spark, sf_dir, "conversations").where(F.col("role") == "assistant")
+    raw = F.concat(F.lit("/**\n * "), F.replace(F.col("text"), F.lit("\n"), F.lit("\n * ")), F.lit("\n */"))
+    indented = F.concat(F.lit("\t"), F.replace(F.col("text"), F.lit("\n"), F.lit("\n    ")))
     return c.select("conv_id", "turn",
-                    F.md5(T.strip_block_comment("text")).alias("strip_md5"),
-                    F.md5(T.block_comment("text", 4)).alias("block_md5"),
-                    F.md5(T.star_block(T.reflow("text"), 80, True)).alias("star_md5"))
+                    F.md5(T.strip_block_comment(raw)).alias("strip_md5"),
+                    F.md5(T.block_comment(raw, 4)).alias("block_md5"),
+                    F.md5(T.star_block(T.reflow("text"), 80, True)).alias("star_md5"),
+                    F.md5(T.dedent(indented)).alias("dedent_md5"))
 
 
 # ---- tokens and budgets ---------------------------------------------------
@@ -293,6 +296,29 @@ FROM noisy""",
 FROM conversations GROUP BY conv_id""",
 }
 
+_STRIPPED = f"""{S.reflow(S.trim_ws("array_to_string(list_filter(list_transform(string_split(replace(regexp_replace(regexp_replace(" + S.trim_ws('raw') + ", '^/[*][*]', ''), '[*]/$', ''), '*/', '*' || chr(92) || '/'), chr(10)), lambda l: regexp_replace(l, '^[ \\t\\n\\f\\r][*][ \\t\\n\\f\\r]?', '')), lambda l: NOT starts_with(l, '@')), chr(10))"))}"""
+
+ORACLE["comment_styles"] = f"""WITH c AS (
+  SELECT conv_id, turn, text, '/**' || chr(10) || ' * ' || replace(text, chr(10), chr(10) || ' * ') || chr(10) || ' */' AS raw,
+         chr(9) || replace(text, chr(10), chr(10) || '    ') AS indented
+  FROM conversations WHERE role = 'assistant'),
+s AS (SELECT *, {_STRIPPED} AS stripped FROM c),
+w AS (SELECT *, string_split({S.wrap('stripped', 73)}, chr(10)) AS wl FROM s),
+d AS (SELECT *, list_transform(string_split(indented, chr(10)),
+                 lambda l: replace(regexp_extract(l, '^\\s*'), chr(9), '  ') || substr(l, length(regexp_extract(l, '^\\s*')) + 1)) AS dl
+      FROM w),
+e AS (SELECT *, list_min(list_transform(list_filter(dl, lambda l: length(trim(l)) > 0),
+                 lambda l: length(regexp_extract(l, '^\\s*')))) AS mi FROM d)
+SELECT conv_id, turn, md5(stripped) AS strip_md5,
+       md5(CASE WHEN len(wl) = 1 THEN '/** ' || {S.trim_ws('wl[1]')} || ' */' || chr(10)
+                ELSE '/**' || chr(10) || array_to_string(list_transform(wl, lambda l: ' * ' || l), chr(10)) || chr(10) || ' */' || chr(10) END)
+         AS block_md5,
+       md5('/**' || chr(10) || array_to_string(list_transform(string_split({S.wrap_paragraphs(S.reflow('text'), 77)}, chr(10)),
+           lambda l: ' * ' || l), chr(10)) || chr(10) || ' */') AS star_md5,
+       md5(CASE WHEN mi IS NULL THEN '' ELSE {S.trim_ws("array_to_string(list_transform(dl, lambda l: substr(l, mi + 1)), chr(10))")} END)
+         AS dedent_md5
+FROM e"""
+
 _LM_SQL = ("(VALUES ('en','gpt-4',8192),('de','gpt-3.5-turbo',4096),('es','gpt-3.5-turbo-16k',16384),"
            "('fr','text-davinci-003',2049)) AS lm(lang, model, ctx_tokens)")
 ORACLE["completion_budget"] = f"""SELECT doc_id, lm.model, CAST(lm.ctx_tokens AS INTEGER) AS ctx_tokens,
