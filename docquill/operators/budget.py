@@ -43,16 +43,23 @@ def models_table(spark: SparkSession) -> DataFrame:
     )
 
 
-def attach_model(df: DataFrame, models: DataFrame, model_col: str = "model") -> DataFrame:
-    """D3: context size by model name, else the ``default`` row.
+def attach_model(df: DataFrame, models: DataFrame | None = None, model_col: str = "model") -> DataFrame:
+    """D3: context size by model name, else the ``default`` row (2049).
 
-    ``models`` is a fixed ten-row dimension table, so broadcasting it is
-    bounded; the default is folded in as a literal, not a second join.
+    With the built-in table (``models=None``) the lookup is a map literal of
+    ten entries: no join at all. A custom ``models`` table is a small
+    dimension table and is broadcast into a left join.
     """
+    if models is None:
+        lookup = F.create_map(*[x for name, ctx in MODEL_LIMITS if name != "default"
+                                for x in (F.lit(name), F.lit(ctx))])
+        return df.withColumn("ctx_tokens", F.coalesce(F.try_element_at(lookup, col_of(model_col)),
+                                                      F.lit(DEFAULT_CTX)))
+    default = F.lit(DEFAULT_CTX)
     m = models.where(F.col("model") != "default").select(
         F.col("model").alias("_m_model"), F.col("ctx_tokens").alias("_m_ctx"))
     out = df.join(F.broadcast(m), col_of(model_col) == F.col("_m_model"), "left")
-    return out.withColumn("ctx_tokens", F.coalesce(F.col("_m_ctx"), F.lit(DEFAULT_CTX))).drop("_m_model", "_m_ctx")
+    return out.withColumn("ctx_tokens", F.coalesce(F.col("_m_ctx"), default)).drop("_m_model", "_m_ctx")
 
 
 def completion_budget(prompt_tokens, ctx_tokens, max_tokens: int = DEFAULT_MAX_TOKENS) -> Column:

@@ -32,7 +32,7 @@ def annotation_results(spark: SparkSession, sf_dir: str, model: str = MODEL, src
     src = documents_source(spark, sf_dir) if src is None else src
     units = _paragraph_units(src)
     req = units.withColumn("prompt", build_prompt("identifier", F.lit("go"), "path", "para"))
-    req = attach_model(req.withColumn("model", F.lit(model)), models_table(spark))
+    req = attach_model(req.withColumn("model", F.lit(model)))
     req = req.withColumn("max_tokens", completion_budget(token_count("prompt"), "ctx_tokens"))
     res = annotate(req, LeadingWordsProvider(ANSWER_WORDS),
                    keep=["doc_id", "path", "identifier", "line", "model"], threads=1)
@@ -159,7 +159,7 @@ def q_completion_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = load(spark, sf_dir, "documents")
     lm = spark.createDataFrame(LANG_MODELS, "lang string, model string")
     r = d.join(F.broadcast(lm), "lang", "left")
-    r = attach_model(r, models_table(spark))
+    r = attach_model(r)
     pt = token_count("text")
     return r.select("doc_id", "model", F.col("ctx_tokens").cast("int").alias("ctx_tokens"),
                     pt.alias("prompt_tokens"), completion_budget(pt, "ctx_tokens", 512).alias("max_tokens"))
@@ -186,7 +186,7 @@ def q_annotate_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     annotate_stream(
         spark, f"{sf_dir.rstrip('/')}/documents.parquet", out, ckpt,
         annotate_fn=lambda b: annotation_results(spark, sf_dir, src=_as_documents_source(b)),
-        finish_fn=lambda b, docs: patch_summary(_as_documents_source(b), docs))
+        finish_fn=lambda b, docs: patch_summary(_as_documents_source(b), docs), key="doc_id")
     return spark.read.parquet(f"{out}/ok").drop("batch_id")
 
 

@@ -95,13 +95,27 @@ def q_existing_comment(spark, sf_dir):
 
 
 def q_locate_units(spark, sf_dir):
-    """Positions of wanted identifiers (every unit, plus ones that are
-    not there and ones that are not identifiers)."""
+    """Positions of wanted identifiers: the members each conversation's
+    class should have (named from the turns, not from the scan), plus one
+    that is not there and one that is not an identifier, per file."""
     src = ts_code(spark, sf_dir)
     units = ts_units(src)
-    wanted = units.select("path", "identifier").unionByName(
-        src.select("path", F.concat(F.lit("method:Missing"), F.col("path")).alias("identifier"))).unionByName(
-        src.select("path", F.lit("bogus").alias("identifier")))
+    c = load(spark, sf_dir, "conversations")
+    from pyspark.sql import Window
+    k = (F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) - 1).cast("string")
+    member = (F.when(F.col("role") == "user", F.concat(F.lit("method:Conv"), F.col("conv_id"), F.lit(".ask"), k))
+              .when(F.col("role") == "assistant", F.concat(F.lit("prop:Conv"), F.col("conv_id"), F.lit(".reply"), k))
+              .otherwise(F.concat(F.lit("prop:Conv"), F.col("conv_id"), F.lit(".sys"), k)))
+    path = F.format_string("conv/%d.ts", "conv_id")
+    per_conv = c.select("conv_id").distinct()
+    wanted = (c.select(path.alias("path"), member.alias("identifier"))
+              .unionByName(per_conv.select(path.alias("path"), F.concat(F.lit("class:Conv"), F.col("conv_id"))
+                                           .alias("identifier")))
+              .unionByName(per_conv.select(path.alias("path"), F.concat(F.lit("var:turns"), F.col("conv_id"))
+                                           .alias("identifier")))
+              .unionByName(per_conv.select(path.alias("path"), F.concat(F.lit("method:Missing"), path)
+                                           .alias("identifier")))
+              .unionByName(per_conv.select(path.alias("path"), F.lit("bogus").alias("identifier"))))
     found, missing = locate_units(units, wanted)
     return found.select("path", "identifier", "line", "col", F.lit(None).cast("string").alias("error")) \
         .unionByName(missing.select("path", "identifier", F.lit(None).cast("int").alias("line"),
@@ -135,7 +149,7 @@ def q_annotate_code(spark, sf_dir):
     from docquill.operators.annotate import LeadingWordsProvider, annotate, build_prompt, finish_docs
     from docquill.operators.budget import (attach_model, completion_budget, go_rungs, models_table,
                                            shrink_to_budget)
-    from docquill.operators.patch import apply_edits, resolve_edits
+    from docquill.operators.patch import apply_edits
 
     src = go_code(spark, sf_dir).withColumn("language", F.lit("go"))
     units = go_units(src)
@@ -143,14 +157,15 @@ def q_annotate_code(spark, sf_dir):
     ctx = dict(B_LIMITS)[CODE_MODEL]
     shrunk = shrink_to_budget(src, "text", go_rungs(), ctx).select(
         "path", "language", F.col("text_min").alias("code"))
-    req = findings.select("path", "identifier").join(shrunk, "path")
+    # Positions travel with the findings, so the text is scanned once.
+    req = findings.select("path", "identifier", "line", "col").join(shrunk, "path")
     req = req.withColumn("prompt", build_prompt("identifier", "language", "path", "code"))
-    req = attach_model(req.withColumn("model", F.lit(CODE_MODEL)), models_table(spark))
+    req = attach_model(req.withColumn("model", F.lit(CODE_MODEL)))
     req = req.withColumn("max_tokens", completion_budget(token_count("prompt"), "ctx_tokens"))
-    docs = finish_docs(annotate(req, LeadingWordsProvider(8), keep=["path", "identifier"], threads=1))
-    docs = docs.withColumn("text", F.when(F.col("error").isNull(),
-                                          F.concat(T.line_comment("text"), F.lit("\n"))))
-    edits, _ = resolve_edits(docs.select("path", "identifier", "text", "error"), units)
+    docs = finish_docs(annotate(req, LeadingWordsProvider(8), keep=["path", "identifier", "line", "col"],
+                                threads=1))
+    edits = docs.withColumn("text", F.when(F.col("error").isNull(),
+                                           F.concat(T.line_comment("text"), F.lit("\n"))))
     preview, _ = apply_edits(src, edits.select("path", "line", "col", "identifier", "text", "error"))
     return preview.select(
         "path",

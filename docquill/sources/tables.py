@@ -28,8 +28,10 @@ def spread(df: DataFrame, key: str | None, rebalance="auto") -> DataFrame:
     if rebalance is False or rebalance is None:
         return df
     spark = df.sparkSession
-    n = int(rebalance) if not isinstance(rebalance, str) else spark.sparkContext.defaultParallelism
-    if isinstance(rebalance, str) and len(df.inputFiles()) >= n:
+    # As many partitions as a shuffle would use, so that a later join or
+    # grouping on the same key can reuse this partitioning.
+    n = int(rebalance) if not isinstance(rebalance, str) else int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if isinstance(rebalance, str) and len(df.inputFiles()) >= spark.sparkContext.defaultParallelism:
         return df
     return df.repartition(n, key) if key else df.repartition(n)
 
@@ -55,9 +57,10 @@ def read_table(spark: SparkSession, path: str, id_col: str, text_col: str,
 
 def documents_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as files: ``path = <source>/<doc_id>.txt``, language = lang."""
-    d = load(spark, sf_dir, "documents")
-    return d.select("doc_id", F.format_string("%s/%d.txt", "source", "doc_id").alias("path"),
-                    F.col("lang").alias("language"), "text")
+    d = load(spark, sf_dir, "documents", rebalance=False)
+    d = d.select("doc_id", F.format_string("%s/%d.txt", "source", "doc_id").alias("path"),
+                 F.col("lang").alias("language"), "text")
+    return spread(d, "path")
 
 
 def url_path(url) -> "F.Column":
@@ -68,10 +71,11 @@ def url_path(url) -> "F.Column":
 
 def pages_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Web pages as files: ``path = <host>/<url path>``, language html."""
-    p = load(spark, sf_dir, "pages")
+    p = load(spark, sf_dir, "pages", rebalance=False)
     host = F.regexp_extract("url", r"^[a-z]+://([^/?#]*)", 1)
-    return p.select("page_id", F.concat(host, F.lit("/"), url_path("url")).alias("path"),
-                    F.lit("html").alias("language"), F.col("html").alias("text"))
+    p = p.select("page_id", F.concat(host, F.lit("/"), url_path("url")).alias("path"),
+                 F.lit("html").alias("language"), F.col("html").alias("text"))
+    return spread(p, "path")
 
 
 def read_tree(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:

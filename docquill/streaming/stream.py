@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docquill.session import ensure_checkpoint_dir
+from docquill.sources.tables import spread
 
 Annotate = Callable[[DataFrame], DataFrame]
 Finish = Callable[[DataFrame, DataFrame], DataFrame]
@@ -31,7 +32,7 @@ def _write_batch(df: DataFrame, path: str, batch_id: int) -> None:
 def annotate_stream(spark: SparkSession, source_path: str, out_dir: str, checkpoint: str,
                     annotate_fn: Annotate, finish_fn: Finish, *, fmt: str = "parquet",
                     max_files_per_trigger: int | None = None, available_now: bool = True,
-                    processing_time: str | None = None):
+                    processing_time: str | None = None, key: str | None = None):
     """Run the annotation plan over files arriving under ``source_path``.
 
     ``annotate_fn(batch) -> docs`` makes the model calls (rows with an
@@ -42,7 +43,8 @@ def annotate_stream(spark: SparkSession, source_path: str, out_dir: str, checkpo
     ``out_dir/ok`` and ``out_dir/dead_letter`` (parquet, partitioned by
     ``batch_id``); progress is kept in ``checkpoint``. With ``available_now``
     the query processes what is there, stops and is returned; otherwise it
-    runs every ``processing_time``.
+    runs every ``processing_time``. ``key`` spreads a micro-batch read from
+    few files over the cluster (see ``sources.tables.spread``).
     """
     schema = spark.read.format(fmt).load(source_path).schema
     reader = spark.readStream.format(fmt).schema(schema)
@@ -58,6 +60,8 @@ def annotate_stream(spark: SparkSession, source_path: str, out_dir: str, checkpo
     ok_path, dead_path = os.path.join(out_dir, "ok"), os.path.join(out_dir, "dead_letter")
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
+        # A micro-batch of few files would otherwise run on few cores.
+        batch = spread(batch, key)
         _write_batch(annotate_fn(batch), ann_path, batch_id)
         docs = batch.sparkSession.read.parquet(ann_path).where(F.col("batch_id") == batch_id).drop("batch_id")
         _write_batch(finish_fn(batch, docs), ok_path, batch_id)
