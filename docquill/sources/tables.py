@@ -28,10 +28,13 @@ def spread(df: DataFrame, key: str | None, rebalance="auto") -> DataFrame:
     if rebalance is False or rebalance is None:
         return df
     spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
     # As many partitions as a shuffle would use, so that a later join or
-    # grouping on the same key can reuse this partitioning.
-    n = int(rebalance) if not isinstance(rebalance, str) else int(spark.conf.get("spark.sql.shuffle.partitions"))
-    if isinstance(rebalance, str) and len(df.inputFiles()) >= spark.sparkContext.defaultParallelism:
+    # grouping on the same key can reuse this partitioning; but not more than
+    # a few tasks per core, since every task of a Python stage has a cost.
+    shuffle_n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = int(rebalance) if not isinstance(rebalance, str) else max(1, min(shuffle_n, 4 * cores))
+    if isinstance(rebalance, str) and len(df.inputFiles()) >= cores:
         return df
     return df.repartition(n, key) if key else df.repartition(n)
 
