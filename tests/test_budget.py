@@ -86,3 +86,16 @@ def test_go_rungs(spark):
     assert "x := 1" not in out.text_min and "// hidden" not in out.text_min and "return a" in out.text_min
     out = B.shrink_to_budget(df, "t", B.go_rungs(), 5, on_overflow="keep").first()
     assert out.text_min == "package p\n\nfunc hidden()\n\nfunc Shown(a int) int\n"
+
+
+def test_ts_rungs_step_down(spark):
+    code = ("// A var.\nexport const a = 1\n\n/** A class. */\nexport class C {\n  /** p */\n  p: string\n"
+            "  // m\n  m() {}\n}\n\n/** f */\nexport function f() {}\n")
+    df = spark.createDataFrame([(code,)], "t string")
+    out = B.shrink_to_budget(df, "t", B.ts_rungs(), 1, trace=True, on_overflow="keep").first()
+    assert [s.rung for s in out.steps] == ["variables_properties", "classes_interfaces", "functions_methods"]
+    assert all(s.tokens_out <= s.tokens_in for s in out.steps)
+    # The property rule's lazy block comment runs from "/** A class. */" to
+    # the next "*/" that a "p: string" follows, taking the class line with it
+    # (the same pattern does so in JavaScript).
+    assert out.text_min == "export const a = 1\np: string\n  m() {}\n}\nexport function f() {}"

@@ -133,3 +133,14 @@ def test_target_phrase_and_short_name(spark):
         assert one(spark, target_phrase("t", "ts"), ident) == want
     assert one(spark, short_name("t"), "method:C.m") == "m"
     assert one(spark, short_name("t"), "func:f") == "f"
+
+
+def test_units_kept_plus_dropped_is_all(spark):
+    from pyspark.sql import functions as F
+    from docquill.operators.units import go_units
+    from docquill.plans.q_code import go_code
+    units = go_units(go_code(spark, "/root/testdata/sf0.001"))
+    total = units.count()
+    kept = SEL.only_undocumented(units).count()
+    dropped = units.where(F.col("documented")).count()
+    assert kept + dropped == total and 0 < kept < total
