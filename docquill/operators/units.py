@@ -30,24 +30,52 @@ from docquill.functions.identifiers import is_exported
 # C4: rule table extraction
 
 
+MAX_RULES = 1000
+
+
 def rules_table(spark: SparkSession, rules) -> DataFrame:
     """``extract_rules(language, kind, pattern, grp)`` from a list of tuples."""
     return spark.createDataFrame(list(rules), "language string, kind string, pattern string, grp int")
 
 
-def extract_by_rules(source: DataFrame, rules: DataFrame, text: str = "text",
+def _rule_rows(rules) -> list[tuple]:
+    """Rules are parameters, not data: a DataFrame of them is read with a hard
+    size check (at most ``MAX_RULES`` rows)."""
+    if isinstance(rules, DataFrame):
+        rows = rules.select("language", "kind", "pattern", "grp").limit(MAX_RULES + 1).collect()
+        if len(rows) > MAX_RULES:
+            raise ValueError(f"more than {MAX_RULES} extraction rules")
+        return [tuple(r) for r in rows]
+    return [tuple(r) for r in rules]
+
+
+def _tagger(kind: str):
+    return lambda name, i: F.struct(F.lit(kind).alias("kind"), name.alias("name"), i.alias("pos"))
+
+
+def extract_by_rules(source: DataFrame, rules, text: str = "text",
                      keys=("path",), with_position: bool = False) -> DataFrame:
     """C4: one row per match of any rule of the text's language.
 
     Output: keys, language, kind, name, identifier (``kind:name``) and, with
-    ``with_position``, the match ordinal ``pos`` per (text, rule). The rule
-    table is a handful of rows and is broadcast.
+    ``with_position``, the match ordinal ``pos`` per (text, rule). The rules
+    (a list of tuples or a small table) become one projection: per rule an
+    array of its matches, chosen by the row's language, so no join is needed
+    and every pattern is a literal that is compiled once.
     """
     keys = list(keys)
-    j = source.join(F.broadcast(rules), "language", "inner")
-    m = F.regexp_extract_all(F.col(text), F.col("pattern"), F.col("grp"))
-    ex = explode_rows(j, m, [*keys, "language", "kind"], pos="pos" if with_position else None, value="name")
-    return ex.withColumn("identifier", F.concat(F.col("kind"), F.lit(":"), F.col("name")))
+    per_rule = []
+    for language, kind, pattern, grp in _rule_rows(rules):
+        found = F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(int(grp)))
+        tagged = F.transform(found, _tagger(kind))
+        per_rule.append(F.when(F.col("language") == language, tagged))
+    empty = F.array().cast("array<struct<kind:string,name:string,pos:int>>")
+    matches = F.flatten(F.filter(F.array(*per_rule), lambda a: a.isNotNull())) if per_rule else empty
+    ex = explode_rows(source, matches, [*keys, "language"], value="m")
+    cols = [*keys, "language", F.col("m.kind").alias("kind"), F.col("m.name").alias("name")]
+    if with_position:
+        cols.append(F.col("m.pos").alias("pos"))
+    return ex.select(*cols).withColumn("identifier", F.concat(F.col("kind"), F.lit(":"), F.col("name")))
 
 
 # --------------------------------------------------------------------------

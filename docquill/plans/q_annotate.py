@@ -10,7 +10,7 @@ from docquill.functions import text as T
 from docquill.functions._util import explode_rows
 from docquill.functions.tokens import token_count
 from docquill.operators.annotate import (PROMPT_TEMPLATES, LeadingWordsProvider, annotate, build_prompt,
-                                         dead_letter, finish_docs, usage_totals)
+                                         dead_letter, finish_docs, group_docs, usage_totals)
 from docquill.operators.budget import attach_model, chat_tokens, completion_budget, models_table
 from docquill.operators.patch import apply_edits
 from docquill.plans import sqlgen as S
@@ -78,6 +78,15 @@ def q_annotate_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("prompt_tokens"), F.col("completion_tokens"))
 
 
+def q_group_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Successful docs per file in identifier order (digest), with the
+    unit and failure counts; files whose units all failed keep a row."""
+    g = group_docs(annotation_results(spark, sf_dir))
+    listing = F.array_join(F.transform("docs", lambda d: F.concat(d["identifier"], F.lit("="), d["text"])), "\n")
+    return g.select("path", F.size("docs").cast("bigint").alias("n_docs"), "n_units", "n_failed",
+                    F.md5(listing).alias("docs_md5"))
+
+
 def q_usage_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """E5: tokens used per model."""
     return usage_totals(annotation_results(spark, sf_dir))
@@ -195,6 +204,7 @@ QUERIES = {
     "annotate_stream": q_annotate_stream,
     "annotate_errors": q_annotate_errors,
     "annotate_docs": q_annotate_docs,
+    "group_docs": q_group_docs,
     "usage_totals": q_usage_totals,
     "clean_text": q_clean_text,
     "wrap_documents": q_wrap_documents,
@@ -271,6 +281,11 @@ ORACLE = {
     "annotate_stream": _oracle_annotate_documents(),
     "annotate_errors": f"WITH {_annotation_sql()} SELECT doc_id, line, 'para:' || CAST(line AS VARCHAR) AS identifier, error FROM docs WHERE error IS NOT NULL",
     "annotate_docs": f"WITH {_annotation_sql()} SELECT doc_id, line, md5(doc || chr(10) || chr(10) || {S.lit(FOOTER)}) AS doc_md5, prompt_tokens, completion_tokens FROM docs WHERE error IS NULL",
+    "group_docs": f"""WITH {_annotation_sql()}
+SELECT path, CAST(count(doc) AS BIGINT) AS n_docs, count(*) AS n_units, count(error) AS n_failed,
+       md5(coalesce(string_agg('para:' || CAST(line AS VARCHAR) || '=' || doc, chr(10)
+                              ORDER BY 'para:' || CAST(line AS VARCHAR)) FILTER (WHERE doc IS NOT NULL), '')) AS docs_md5
+FROM docs GROUP BY path""",
     "usage_totals": f"""WITH {_annotation_sql()}
 SELECT '{MODEL}' AS model, count(*) AS n_calls, count(error) AS n_errors,
        CAST(coalesce(sum(prompt_tokens), 0) AS BIGINT) AS prompt_tokens,

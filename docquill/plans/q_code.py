@@ -98,24 +98,22 @@ def q_locate_units(spark, sf_dir):
     """Positions of wanted identifiers: the members each conversation's
     class should have (named from the turns, not from the scan), plus one
     that is not there and one that is not an identifier, per file."""
+    from docquill.functions._util import explode_rows
     src = ts_code(spark, sf_dir)
     units = ts_units(src)
-    c = load(spark, sf_dir, "conversations")
-    from pyspark.sql import Window
-    k = (F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) - 1).cast("string")
-    member = (F.when(F.col("role") == "user", F.concat(F.lit("method:Conv"), F.col("conv_id"), F.lit(".ask"), k))
-              .when(F.col("role") == "assistant", F.concat(F.lit("prop:Conv"), F.col("conv_id"), F.lit(".reply"), k))
-              .otherwise(F.concat(F.lit("prop:Conv"), F.col("conv_id"), F.lit(".sys"), k)))
+    g = _turns(spark, sf_dir)
+    conv = F.col("conv_id")
+
+    def member(t, k):
+        return (F.when(t["role"] == "user", F.concat(F.lit("method:Conv"), conv, F.lit(".ask"), k))
+                .when(t["role"] == "assistant", F.concat(F.lit("prop:Conv"), conv, F.lit(".reply"), k))
+                .otherwise(F.concat(F.lit("prop:Conv"), conv, F.lit(".sys"), k)))
+
     path = F.format_string("conv/%d.ts", "conv_id")
-    per_conv = c.select("conv_id").distinct()
-    wanted = (c.select(path.alias("path"), member.alias("identifier"))
-              .unionByName(per_conv.select(path.alias("path"), F.concat(F.lit("class:Conv"), F.col("conv_id"))
-                                           .alias("identifier")))
-              .unionByName(per_conv.select(path.alias("path"), F.concat(F.lit("var:turns"), F.col("conv_id"))
-                                           .alias("identifier")))
-              .unionByName(per_conv.select(path.alias("path"), F.concat(F.lit("method:Missing"), path)
-                                           .alias("identifier")))
-              .unionByName(per_conv.select(path.alias("path"), F.lit("bogus").alias("identifier"))))
+    names = F.concat(F.transform("turns", member), F.array(
+        F.concat(F.lit("class:Conv"), conv), F.concat(F.lit("var:turns"), conv),
+        F.concat(F.lit("method:Missing"), path), F.lit("bogus")))
+    wanted = explode_rows(g.withColumn("path", path), names, ["path"], value="identifier")
     found, missing = locate_units(units, wanted)
     return found.select("path", "identifier", "line", "col", F.lit(None).cast("string").alias("error")) \
         .unionByName(missing.select("path", "identifier", F.lit(None).cast("int").alias("line"),

@@ -10,7 +10,7 @@ from docquill.functions._util import explode_rows
 from docquill.functions.identifiers import format_identifier, is_exported, parse_identifier, valid_identifier
 from docquill.operators import select as SEL
 from docquill.operators.annotate import flatten_docs, group_inputs
-from docquill.operators.units import extract_by_rules, rules_table
+from docquill.operators.units import extract_by_rules
 from docquill.sources.sinks import findings_json, parse_findings, parse_position
 from docquill.sources.tables import documents_source, load, pages_source
 
@@ -23,8 +23,7 @@ BLOCK_PATTERN = r"(-->\s*)?<(div|article|nav|footer)[ >]"
 
 def page_units(spark: SparkSession, sf_dir: str, rules=None) -> DataFrame:
     src = pages_source(spark, sf_dir)
-    return extract_by_rules(src, rules_table(spark, rules or (LINK_RULES + HEAD_RULES)),
-                            keys=("page_id", "path"))
+    return extract_by_rules(src, rules or (LINK_RULES + HEAD_RULES), keys=("page_id", "path"))
 
 
 # ---- B1-B5 -----------------------------------------------------------------

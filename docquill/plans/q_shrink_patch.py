@@ -60,16 +60,22 @@ def q_shrink_best_effort(spark, sf_dir):
 
 def document_edits(spark, sf_dir):
     """Three edits per document: a head comment at (0, 0), an inline marker at
-    (2, 3), and for French documents one far past the end (line 99999)."""
+    (2, 3), and for French documents one far past the end (line 99999).
+    Built in one pass over the documents."""
     d = documents_source(spark, sf_dir)
-    a = d.select("path", F.lit(0).alias("line"), F.lit(0).alias("col"), F.lit("a").alias("identifier"),
-                 F.concat(F.lit("// head of "), F.col("path"), F.lit("\n")).alias("text"))
-    b = d.select("path", F.lit(2).alias("line"), F.lit(3).alias("col"), F.lit("b").alias("identifier"),
-                 F.lit("<<x>>").alias("text"))
-    c = d.where(F.col("language") == "fr").select(
-        "path", F.lit(99999).alias("line"), F.lit(0).alias("col"), F.lit("c").alias("identifier"),
-        F.lit("// far\n").alias("text"))
-    return d, a.unionByName(b).unionByName(c)
+    edit_t = "struct<line:int,col:int,identifier:string,text:string>"
+
+    def edit(line, col, ident, text):
+        return F.struct(F.lit(line).alias("line"), F.lit(col).alias("col"), F.lit(ident).alias("identifier"),
+                        text.alias("text"))
+
+    all_edits = F.filter(F.array(
+        edit(0, 0, "a", F.concat(F.lit("// head of "), F.col("path"), F.lit("\n"))),
+        edit(2, 3, "b", F.lit("<<x>>")),
+        F.when(F.col("language") == "fr", edit(99999, 0, "c", F.lit("// far\n"))).cast(edit_t),
+    ), lambda e: e.isNotNull())
+    edits = explode_rows(d, all_edits, ["path"], value="e").select("path", "e.*")
+    return d, edits
 
 
 def q_apply_edits(spark, sf_dir):
