@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from docquill.functions._util import col_of, explode_rows
 from docquill.functions.identifiers import short_name, target_phrase
 from docquill.functions.text import clean_answer, with_footer
-from docquill.session import ship_package
+from docquill.session import ensure_checkpoint_dir, ship_package
 
 # Our own instruction text. Placeholders: {target} {name} {path} {code}.
 PROMPT_TEMPLATES = {
@@ -145,13 +145,21 @@ def _validate(ans: Answer | None, is_chat: bool) -> str | None:
 
 def annotate(requests: DataFrame, provider: Provider, *, keep: list[str] | None = None,
              prompt_col: str = "prompt", model_col: str = "model", budget_col: str = "max_tokens",
-             threads: int = 2, timeout_s: float = CALL_TIMEOUT_S, partitions: int | None = None) -> DataFrame:
+             threads: int = 2, timeout_s: float = CALL_TIMEOUT_S, partitions: int | None = None,
+             durable: bool = False) -> DataFrame:
     """K1 (with K2-K6): call ``provider`` once per request row.
 
     Output: ``keep`` columns + ``ANSWER_SCHEMA``. Failures (exceptions,
     deadline, invalid answers) fill ``error`` and leave ``answer`` NULL.
     ``partitions`` optionally spreads requests by ``path`` first (K5) so that
     a task's ``rows x seconds / threads`` stays within a deadline budget.
+
+    ``durable=True`` materialises the answers with a reliable ``checkpoint``
+    in the session's ``spark.checkpoint.dir``: later stages, retries after a
+    lost executor, and several outputs read the saved answers instead of
+    calling the provider again. (Without it, Spark recomputes lost partitions,
+    calling the provider again for their units; all units of a path come from
+    one task, so a path never mixes answers of two attempts.)
     """
     keep = list(keep or ["path", "identifier"])
     cols = keep + [prompt_col, model_col, budget_col]
@@ -208,7 +216,11 @@ def annotate(requests: DataFrame, provider: Provider, *, keep: list[str] | None
                 yield frame(pdf, rows)
 
     ship_package(requests.sparkSession)
-    return req.mapInPandas(run, out_schema)
+    out = req.mapInPandas(run, out_schema)
+    if durable:
+        ensure_checkpoint_dir(requests.sparkSession)
+        out = out.checkpoint(eager=True)
+    return out
 
 
 def finish_docs(results: DataFrame, footer: str | None = None) -> DataFrame:

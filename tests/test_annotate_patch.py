@@ -149,3 +149,25 @@ def test_preview_summary_and_write(spark):
     assert back.text.startswith("// x\npackage p") and back.language == "go"
     with pytest.raises(ValueError):
         write_patched(preview, out, source_location=out)
+
+
+class CountingProvider(A.Provider):
+    """Appends one line per call to a file, to count calls across workers."""
+
+    def __init__(self, log):
+        self.log = log
+
+    def complete(self, prompt, model, max_tokens, params):
+        with open(self.log, "a") as f:
+            f.write("x\n")
+        return A.Answer(text="ok")
+
+
+def test_durable_answers_are_not_recomputed(spark):
+    log = os.path.join(tempfile.mkdtemp(prefix="docquill-calls-"), "calls")
+    res = A.annotate(requests(spark, ["func:A", "func:B", "func:C"]), CountingProvider(log), durable=True)
+    res.count()
+    res.where(F.col("error").isNull()).count()
+    A.usage_totals(res.withColumn("model", F.lit("m"))).collect()
+    with open(log) as f:
+        assert len(f.readlines()) == 3
