@@ -113,20 +113,28 @@ _GO_FUNC = r"^func\s+(?:\(\s*(?:\w+\s+)?(\*?)\s*(\w+)(?:\[[^\]]*\])?\s*\)\s*)?(\
 _GO_TYPE_SINGLE = r"^type\s+(\w+)"
 _GO_VAR_SINGLE = r"^(?:var|const)\s+(\w+)"
 _GO_GROUP_OPEN = r"^(var|const|type)\s*\(\s*$"
-_GO_SPEC = r"^\s+(\w+)"
+_GO_SPEC = r"^\s+([A-Za-z_]\w*)"
 _GO_IFACE_OPEN = r"^type\s+(\w+)(?:\[[^\]]*\])?\s+interface\s*\{\s*$"
+_GO_SPEC_IFACE = r"^\s+(\w+)(?:\[[^\]]*\])?\s+interface\s*\{\s*$"
 _GO_IFACE_METHOD = r"^\s+(\w+)\s*\("
 
 
+def _count(code: Column, chars: str) -> Column:
+    return F.length(code) - F.length(F.regexp_replace(code, "[" + chars + "]", ""))
+
+
 def go_units(source: DataFrame, text: str = "text", keys=("path",)) -> DataFrame:
     """C1+C2: Go units found by a line scan.
 
     One row per unit: keys, identifier, kind, owner, name, line, col,
     exported, documented, enclosing_documented. ``documented`` is true when
-    the nearest non-blank line above is a comment; inside a ``var (``/
-    ``const (``/``type (`` group or a singly declared interface the
-    enclosing declaration's comment also counts (``enclosing_documented``).
-    Rows are sorted by identifier within a text by the caller if needed.
+    the nearest non-blank line above is a comment, or when the enclosing
+    declaration is documented: a ``var (``/``const (``/``type (`` group, or a
+    singly declared interface for its methods. Methods of an interface
+    declared inside a ``type (`` group are reported unless the group itself
+    is documented; embedded interfaces are skipped. Inside a group, nested
+    bodies (struct fields, multi-line values) are tracked by bracket depth and
+    never read as specs.
     """
     keys = list(keys)
     unit_t = ("struct<identifier:string,kind:string,owner:string,name:string,line:int,col:int,"
@@ -134,9 +142,11 @@ def go_units(source: DataFrame, text: str = "text", keys=("path",)) -> DataFrame
     init = F.struct(
         F.array().cast(f"array<{unit_t}>").alias("units"),
         F.lit(False).alias("prev_comment"),    # nearest non-blank line above is a comment
-        F.lit("").alias("block"),              # '', 'var', 'type' (group) or 'iface:<Name>'
-        F.lit(False).alias("block_doc"),       # the block's declaration is documented
-        F.lit(False).alias("block_first"),     # first spec of a group not seen yet
+        F.lit("").alias("block"),              # '', 'var', 'const' or 'type' (open group)
+        F.lit(False).alias("block_doc"),       # the group's declaration is documented
+        F.lit(0).alias("gdepth"),              # bracket depth inside the group
+        F.lit("").alias("iface"),              # interface whose methods are being read
+        F.lit(False).alias("iface_doc"),       # its declaration hides its methods
     )
 
     def unit(ident, kind, owner, name, i, col, documented, enc):
@@ -147,9 +157,16 @@ def go_units(source: DataFrame, text: str = "text", keys=("path",)) -> DataFrame
     def step(acc, l, i):
         blank = _is_blank(l)
         comment = _is_comment_line(l)
-        in_block = acc["block"] != ""
-        closing = in_block & F.regexp_like(l, F.lit(r"^[\)\}]"))
-        # top-level declarations
+        code = F.regexp_replace(l, r"//.*$", "")
+        opens = _count(code, "{(")
+        closes = _count(code, "})")
+        in_group = acc["block"] != ""
+        top = ~in_group & (acc["iface"] == "")
+        in_top_iface = ~in_group & (acc["iface"] != "")
+        top_iface_close = in_top_iface & F.regexp_like(l, F.lit(r"^\}"))
+        group_close = in_group & (acc["gdepth"] == 0) & F.regexp_like(l, F.lit(r"^\)"))
+        at_spec = in_group & (acc["gdepth"] == 0) & ~group_close & ~blank & ~comment
+        in_method_zone = (in_top_iface & ~top_iface_close) | (in_group & (acc["iface"] != "") & (acc["gdepth"] == 1))
         func_m = F.regexp_like(l, F.lit(_GO_FUNC))
         recv_ptr = F.regexp_extract(l, _GO_FUNC, 1)
         recv = F.regexp_extract(l, _GO_FUNC, 2)
@@ -157,43 +174,49 @@ def go_units(source: DataFrame, text: str = "text", keys=("path",)) -> DataFrame
         func_path = F.when(recv == "", fname).when(recv_ptr == "*", F.concat(F.lit("(*"), recv, F.lit(")."), fname)) \
             .otherwise(F.concat(recv, F.lit("."), fname))
         group_m = F.regexp_extract(l, _GO_GROUP_OPEN, 1)
-        iface_m = F.regexp_extract(l, _GO_IFACE_OPEN, 1)
+        iface_top = F.regexp_extract(l, _GO_IFACE_OPEN, 1)
+        iface_spec = F.regexp_extract(l, _GO_SPEC_IFACE, 1)
         type_m = F.regexp_extract(l, _GO_TYPE_SINGLE, 1)
         var_m = F.regexp_extract(l, _GO_VAR_SINGLE, 1)
         spec_m = F.regexp_extract(l, _GO_SPEC, 1)
         meth_m = F.regexp_extract(l, _GO_IFACE_METHOD, 1)
         doc = acc["prev_comment"]
-        top = ~in_block
         none = F.lit(None).cast("string")
+        indent = F.length(F.regexp_extract(l, r"^\s*", 0))
+        method_enc = F.when(in_group, acc["block_doc"]).otherwise(acc["iface_doc"])
         new_unit = (
             F.when(top & func_m, unit(F.concat(F.lit("func:"), func_path), F.lit("func"),
                                       F.when(recv != "", recv), fname, i, F.lit(0), doc, F.lit(False)))
-            .when(top & (group_m == "") & (type_m != "") & (type_m != "(") ,
+            .when(top & (group_m == "") & (type_m != ""),
                   unit(F.concat(F.lit("type:"), type_m), F.lit("type"), none, type_m, i, F.lit(0), doc, F.lit(False)))
             .when(top & (group_m == "") & (var_m != ""),
                   unit(F.concat(F.lit("var:"), var_m), F.lit("var"), none, var_m, i, F.lit(0), doc, F.lit(False)))
-            .when(in_block & ~closing & ~blank & ~comment & acc["block"].isin("var", "const") & (spec_m != ""),
-                  unit(F.concat(F.lit("var:"), spec_m), F.lit("var"), none, spec_m, i,
-                       F.length(F.regexp_extract(l, r"^\s*", 0)), doc, acc["block_doc"]))
-            .when(in_block & ~closing & ~blank & ~comment & (acc["block"] == "type") & (spec_m != ""),
-                  unit(F.concat(F.lit("type:"), spec_m), F.lit("type"), none, spec_m, i,
-                       F.length(F.regexp_extract(l, r"^\s*", 0)), doc, acc["block_doc"]))
-            .when(in_block & ~closing & ~blank & ~comment & acc["block"].startswith("iface:") & (meth_m != ""),
-                  unit(F.concat(F.lit("func:"), F.substring(acc["block"], 7, 1 << 20), F.lit("."), meth_m),
-                       F.lit("func"), F.substring(acc["block"], 7, 1 << 20), meth_m, i,
-                       F.length(F.regexp_extract(l, r"^\s*", 0)), doc, acc["block_doc"]))
+            .when(at_spec & acc["block"].isin("var", "const") & (spec_m != ""),
+                  unit(F.concat(F.lit("var:"), spec_m), F.lit("var"), none, spec_m, i, indent, doc, acc["block_doc"]))
+            .when(at_spec & (acc["block"] == "type") & (spec_m != ""),
+                  unit(F.concat(F.lit("type:"), spec_m), F.lit("type"), none, spec_m, i, indent, doc, acc["block_doc"]))
+            .when(in_method_zone & ~blank & ~comment & (meth_m != ""),
+                  unit(F.concat(F.lit("func:"), acc["iface"], F.lit("."), meth_m), F.lit("func"), acc["iface"],
+                       meth_m, i, indent, doc, method_enc))
         )
         units = F.when(new_unit.isNotNull(), F.concat(acc["units"], F.array(new_unit))).otherwise(acc["units"])
-        # the interface type itself is a unit too (top-level, handled above by type_m)
-        block = (F.when(closing, F.lit(""))
-                 .when(top & (group_m != ""), group_m)
-                 .when(top & (iface_m != ""), F.concat(F.lit("iface:"), iface_m))
-                 .otherwise(acc["block"]))
-        block_doc = F.when(top & ((group_m != "") | (iface_m != "")), doc).when(closing, F.lit(False)) \
-            .otherwise(acc["block_doc"])
+        new_gdepth = F.when(top & (group_m != ""), F.lit(0)).when(group_close, F.lit(0)) \
+            .when(in_group, acc["gdepth"] + opens - closes).otherwise(F.lit(0))
+        block = F.when(group_close, F.lit("")).when(top & (group_m != ""), group_m).otherwise(acc["block"])
+        block_doc = F.when(top & (group_m != ""), doc).when(group_close, F.lit(False)).otherwise(acc["block_doc"])
+        iface = (F.when(top & (iface_top != ""), iface_top)
+                 .when(top_iface_close, F.lit(""))
+                 .when(at_spec & (iface_spec != ""), iface_spec)
+                 .when(in_group & (acc["iface"] != "") & (new_gdepth <= 0), F.lit(""))
+                 .when(group_close, F.lit(""))
+                 .otherwise(acc["iface"]))
+        iface_doc = (F.when(top & (iface_top != ""), doc)
+                     .when(at_spec & (iface_spec != ""), acc["block_doc"])
+                     .otherwise(acc["iface_doc"]))
         prev_comment = F.when(blank, acc["prev_comment"]).otherwise(comment)
         return F.struct(units.alias("units"), prev_comment.alias("prev_comment"), block.alias("block"),
-                        block_doc.alias("block_doc"), F.lit(False).alias("block_first"))
+                        block_doc.alias("block_doc"), new_gdepth.cast("int").alias("gdepth"),
+                        iface.alias("iface"), iface_doc.alias("iface_doc"))
 
     found = _scan(_lines(F.col(text)), init, step)["units"]
     out = explode_rows(source, found, keys, value="u").select(*keys, "u.*")

@@ -151,3 +151,55 @@ def test_findings_reports(spark):
     assert [r.identifiers for r in ok.collect()] == [["x"]] and bad.first().error.startswith("invalid findings JSON")
     pos = parse_position(spark.createDataFrame([('{"line": 3, "character": 4}',)], "j string"), "j").first()
     assert (pos.line, pos.col, pos.error) == (3, 4, None)
+
+
+GROUPED = """package p
+
+// Kinds of things.
+type (
+	// Reader is documented inside the group.
+	Reader interface {
+		Read() error
+		// Close is documented.
+		Close() error
+		io.Writer
+	}
+	Point struct {
+		X int
+		Y int
+	}
+	ID string
+)
+
+type (
+	Lone interface {
+		Ping() bool
+	}
+)
+
+var (
+	Table = []int{
+		1,
+		2,
+	}
+	Other = map[string]int{"a": 1}
+)
+
+const (
+	A = iota
+	B
+)
+"""
+
+
+def test_go_groups_nested_bodies_and_interfaces(spark):
+    src = spark.createDataFrame([("g.go", GROUPED)], "path string, text string")
+    u = units_of(go_units(src))
+    assert sorted(u) == sorted(["type:Reader", "func:Reader.Read", "func:Reader.Close", "type:Point", "type:ID",
+                                "type:Lone", "func:Lone.Ping", "var:Table", "var:Other", "var:A", "var:B"])
+    # the documented group hides its specs and their methods
+    assert u["type:Point"].documented and u["func:Reader.Read"].documented
+    # an undocumented group: methods stay findable
+    assert not u["func:Lone.Ping"].documented and not u["type:Lone"].documented
+    assert u["func:Lone.Ping"].owner == "Lone" and u["func:Lone.Ping"].line == 20
+    assert not u["var:Table"].documented and u["var:B"].line == 34
