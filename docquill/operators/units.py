@@ -99,11 +99,19 @@ def _is_blank(l: Column) -> Column:
     return F.regexp_like(l, F.lit(r"^\s*$"))
 
 
-def _scan(lines: Column, init: Column, step) -> Column:
-    """Left fold over (line, index) pairs; ``step(acc, line, i) -> acc``."""
+def _scan(lines: Column, features, init: Column, step) -> Column:
+    """Left fold over the lines of a text.
+
+    ``features(line)`` returns a STRUCT of the line's regex tests; it is
+    evaluated once per line in a ``transform`` (lambdas get no common
+    subexpression elimination, so tests used in several branches of the fold
+    would otherwise run repeatedly). ``step(acc, f, i)`` then only combines
+    those fields with the running state.
+    """
+    feats = F.transform(lines, features)
     idx = F.sequence(F.lit(0), F.greatest(F.size(lines) - 1, F.lit(0)))
-    pairs = F.arrays_zip(lines.alias("l"), idx.alias("i"))
-    return F.aggregate(pairs, init, lambda acc, p: step(acc, p["l"], p["i"]))
+    pairs = F.arrays_zip(feats.alias("f"), idx.alias("i"))
+    return F.aggregate(pairs, init, lambda acc, p: step(acc, p["f"], p["i"]))
 
 
 # --------------------------------------------------------------------------
@@ -154,35 +162,43 @@ def go_units(source: DataFrame, text: str = "text", keys=("path",)) -> DataFrame
                         name.alias("name"), i.cast("int").alias("line"), col.cast("int").alias("col"),
                         documented.alias("documented"), enc.alias("enclosing_documented"))
 
-    def step(acc, l, i):
-        blank = _is_blank(l)
-        comment = _is_comment_line(l)
+    def features(l):
         code = F.regexp_replace(l, r"//.*$", "")
-        opens = _count(code, "{(")
-        closes = _count(code, "})")
+        return F.struct(
+            _is_blank(l).alias("blank"), _is_comment_line(l).alias("comment"),
+            _count(code, "{(").alias("opens"), _count(code, "})").alias("closes"),
+            F.regexp_like(l, F.lit(r"^\}")).alias("close_brace"),
+            F.regexp_like(l, F.lit(r"^\)")).alias("close_paren"),
+            F.regexp_like(l, F.lit(_GO_FUNC)).alias("func_m"),
+            F.regexp_extract(l, _GO_FUNC, 1).alias("recv_ptr"),
+            F.regexp_extract(l, _GO_FUNC, 2).alias("recv"),
+            F.regexp_extract(l, _GO_FUNC, 3).alias("fname"),
+            F.regexp_extract(l, _GO_GROUP_OPEN, 1).alias("group_m"),
+            F.regexp_extract(l, _GO_IFACE_OPEN, 1).alias("iface_top"),
+            F.regexp_extract(l, _GO_SPEC_IFACE, 1).alias("iface_spec"),
+            F.regexp_extract(l, _GO_TYPE_SINGLE, 1).alias("type_m"),
+            F.regexp_extract(l, _GO_VAR_SINGLE, 1).alias("var_m"),
+            F.regexp_extract(l, _GO_SPEC, 1).alias("spec_m"),
+            F.regexp_extract(l, _GO_IFACE_METHOD, 1).alias("meth_m"),
+            F.length(F.regexp_extract(l, r"^\s*", 0)).alias("indent"),
+        )
+
+    def step(acc, f, i):
+        blank, comment, opens, closes = f["blank"], f["comment"], f["opens"], f["closes"]
         in_group = acc["block"] != ""
         top = ~in_group & (acc["iface"] == "")
         in_top_iface = ~in_group & (acc["iface"] != "")
-        top_iface_close = in_top_iface & F.regexp_like(l, F.lit(r"^\}"))
-        group_close = in_group & (acc["gdepth"] == 0) & F.regexp_like(l, F.lit(r"^\)"))
+        top_iface_close = in_top_iface & f["close_brace"]
+        group_close = in_group & (acc["gdepth"] == 0) & f["close_paren"]
         at_spec = in_group & (acc["gdepth"] == 0) & ~group_close & ~blank & ~comment
         in_method_zone = (in_top_iface & ~top_iface_close) | (in_group & (acc["iface"] != "") & (acc["gdepth"] == 1))
-        func_m = F.regexp_like(l, F.lit(_GO_FUNC))
-        recv_ptr = F.regexp_extract(l, _GO_FUNC, 1)
-        recv = F.regexp_extract(l, _GO_FUNC, 2)
-        fname = F.regexp_extract(l, _GO_FUNC, 3)
+        func_m, recv_ptr, recv, fname = f["func_m"], f["recv_ptr"], f["recv"], f["fname"]
         func_path = F.when(recv == "", fname).when(recv_ptr == "*", F.concat(F.lit("(*"), recv, F.lit(")."), fname)) \
             .otherwise(F.concat(recv, F.lit("."), fname))
-        group_m = F.regexp_extract(l, _GO_GROUP_OPEN, 1)
-        iface_top = F.regexp_extract(l, _GO_IFACE_OPEN, 1)
-        iface_spec = F.regexp_extract(l, _GO_SPEC_IFACE, 1)
-        type_m = F.regexp_extract(l, _GO_TYPE_SINGLE, 1)
-        var_m = F.regexp_extract(l, _GO_VAR_SINGLE, 1)
-        spec_m = F.regexp_extract(l, _GO_SPEC, 1)
-        meth_m = F.regexp_extract(l, _GO_IFACE_METHOD, 1)
+        group_m, iface_top, iface_spec = f["group_m"], f["iface_top"], f["iface_spec"]
+        type_m, var_m, spec_m, meth_m, indent = f["type_m"], f["var_m"], f["spec_m"], f["meth_m"], f["indent"]
         doc = acc["prev_comment"]
         none = F.lit(None).cast("string")
-        indent = F.length(F.regexp_extract(l, r"^\s*", 0))
         method_enc = F.when(in_group, acc["block_doc"]).otherwise(acc["iface_doc"])
         new_unit = (
             F.when(top & func_m, unit(F.concat(F.lit("func:"), func_path), F.lit("func"),
@@ -218,7 +234,7 @@ def go_units(source: DataFrame, text: str = "text", keys=("path",)) -> DataFrame
                         block_doc.alias("block_doc"), new_gdepth.cast("int").alias("gdepth"),
                         iface.alias("iface"), iface_doc.alias("iface_doc"))
 
-    found = _scan(_lines(F.col(text)), init, step)["units"]
+    found = _scan(_lines(F.col(text)), features, init, step)["units"]
     out = explode_rows(source, found, keys, value="u").select(*keys, "u.*")
     # a multi-name spec yields its first name only: the regex takes the first word.
     out = out.withColumn("exported", is_exported(F.col("identifier")))
@@ -253,32 +269,37 @@ def ts_units(source: DataFrame, text: str = "text", keys=("path",)) -> DataFrame
         F.lit(-1).alias("owner_depth"),
     )
 
-    def step(acc, l, i):
-        blank = _is_blank(l)
-        comment = _is_comment_line(l)
+    def features(l):
         code = F.regexp_replace(l, r"/\*.*?\*/|//.*$", "")
-        opens = F.length(code) - F.length(F.replace(code, F.lit("{"), F.lit("")))
-        closes = F.length(code) - F.length(F.replace(code, F.lit("}"), F.lit("")))
-        depth = acc["depth"]
         kw = F.regexp_extract(l, _TS_DECL, 1)
-        nm = F.regexp_extract(l, _TS_DECL, 2)
-        kind = (F.when(kw.isin("function", "function*"), F.lit("func"))
-                .when(kw == "class", F.lit("class"))
-                .when(kw == "interface", F.lit("iface"))
-                .when(kw == "type", F.lit("type"))
-                .when(kw.isin("const", "let", "var"), F.lit("var")))
+        return F.struct(
+            _is_blank(l).alias("blank"), _is_comment_line(l).alias("comment"),
+            _count(code, "{").alias("opens"), _count(code, "}").alias("closes"),
+            (F.when(kw.isin("function", "function*"), F.lit("func"))
+             .when(kw == "class", F.lit("class"))
+             .when(kw == "interface", F.lit("iface"))
+             .when(kw == "type", F.lit("type"))
+             .when(kw.isin("const", "let", "var"), F.lit("var"))).alias("kind"),
+            F.regexp_extract(l, _TS_DECL, 2).alias("nm"),
+            F.regexp_extract(l, _TS_MEMBER, 1).alias("mods"),
+            F.regexp_extract(l, _TS_MEMBER, 2).alias("mname"),
+            F.regexp_extract(l, _TS_MEMBER, 4).alias("after"),
+            F.regexp_like(l, F.lit(r"^\s*(?:if|for|while|return|switch)\b")).alias("statement"),
+            F.length(F.regexp_extract(l, r"^\s*", 0)).alias("col"),
+        )
+
+    def step(acc, f, i):
+        blank, comment, opens, closes = f["blank"], f["comment"], f["opens"], f["closes"]
+        depth = acc["depth"]
+        kind, nm = f["kind"], f["nm"]
         top_decl = (depth == 0) & kind.isNotNull()
         in_owner = (acc["owner"] != "") & (depth == acc["owner_depth"] + 1)
-        mods = F.regexp_extract(l, _TS_MEMBER, 1)
-        mname = F.regexp_extract(l, _TS_MEMBER, 2)
-        opt_q = F.regexp_extract(l, _TS_MEMBER, 3)
-        after = F.regexp_extract(l, _TS_MEMBER, 4)
-        is_member = in_owner & (mname != "") & ~comment & ~F.regexp_like(l, F.lit(r"^\s*(?:if|for|while|return|switch)\b"))
+        mods, mname, after = f["mods"], f["mname"], f["after"]
+        is_member = in_owner & (mname != "") & ~comment & ~f["statement"]
         is_method = is_member & (after.isin("(", "<")) & (mname != "constructor")
         is_prop = is_member & after.isin(":", "=", ";")
         public = ~(mname.startswith("#") | F.regexp_like(mods, F.lit(r"\b(?:private|protected)\b")))
-        _ = opt_q
-        col = F.length(F.regexp_extract(l, r"^\s*", 0))
+        col = f["col"]
         doc = acc["prev_comment"]
 
         def unit(ident, k, owner, name, pub):
@@ -305,7 +326,7 @@ def ts_units(source: DataFrame, text: str = "text", keys=("path",)) -> DataFrame
                         new_depth.cast("int").alias("depth"), owner.alias("owner"),
                         owner_depth.cast("int").alias("owner_depth"))
 
-    found = _scan(_lines(F.col(text)), init, step)["units"]
+    found = _scan(_lines(F.col(text)), features, init, step)["units"]
     return explode_rows(source, found, keys, value="u").select(*keys, "u.*")
 
 
