@@ -23,7 +23,7 @@ FOOTER = "Generated from the corpus."
 
 def _paragraph_units(src: DataFrame) -> DataFrame:
     """One unit per line of a document: ``para:<line>``, its own text as code."""
-    u = explode_rows(src, F.split("text", "\n"), ["doc_id", "path", "language"], pos="line", value="para")
+    u = explode_rows(src, F.split("text", "\n"), ["doc_id", "path"], pos="line", value="para")
     return u.withColumn("identifier", F.concat(F.lit("para:"), F.col("line")))
 
 
@@ -60,8 +60,10 @@ def patch_summary(src: DataFrame, docs: DataFrame) -> DataFrame:
 def q_annotate_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagship: annotate every paragraph of every document and insert the
     answers as ``//`` comments above their paragraphs; one summary row per
-    document (the full patched text is represented by its digest)."""
-    return patch_summary(documents_source(spark, sf_dir), annotation_results(spark, sf_dir))
+    document (the full patched text is represented by its digest). Both
+    branches read the same spread source, so its exchange is shared."""
+    src = documents_source(spark, sf_dir).select("doc_id", "path", "text")
+    return patch_summary(src, annotation_results(spark, sf_dir, src=src))
 
 
 def q_annotate_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
