@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import concurrent.futures as cf
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame

@@ -11,7 +11,7 @@ from docquill.functions._util import explode_rows
 from docquill.functions.tokens import token_count
 from docquill.operators.annotate import (PROMPT_TEMPLATES, LeadingWordsProvider, annotate, build_prompt,
                                          dead_letter, finish_docs, group_docs, usage_totals)
-from docquill.operators.budget import attach_model, chat_tokens, completion_budget, models_table
+from docquill.operators.budget import attach_model, chat_tokens, completion_budget
 from docquill.operators.patch import apply_edits
 from docquill.plans import sqlgen as S
 from docquill.sources.tables import documents_source, load

@@ -145,7 +145,7 @@ def q_annotate_code(spark, sf_dir):
     one pass. One summary row per file."""
     from docquill.functions.tokens import token_count
     from docquill.operators.annotate import LeadingWordsProvider, annotate, build_prompt, finish_docs
-    from docquill.operators.budget import (attach_model, completion_budget, go_rungs, models_table,
+    from docquill.operators.budget import (attach_model, completion_budget, go_rungs,
                                            shrink_to_budget)
     from docquill.operators.patch import apply_edits
 
