@@ -120,8 +120,9 @@ def replace_comments(source: DataFrame, edits: DataFrame) -> DataFrame:
 
     ``edits(path, line, from_line, text)``: lines ``from_line .. line-1`` (the
     old comment) are removed and the formatted ``text`` is placed above
-    ``line``; an empty text only removes. One edit per target line (docs for
-    the same line are joined by newlines in identifier order).
+    ``line``, indented like it; an empty text only removes. One edit per
+    target line (docs for the same line are joined by newlines in identifier
+    order).
     """
     per_line = edits.groupBy("path", "line").agg(
         F.min("from_line").alias("from_line"),
@@ -141,7 +142,9 @@ def replace_comments(source: DataFrame, edits: DataFrame) -> DataFrame:
         F.coalesce(F.try_element_at(drop, i), F.lit(False)), F.array().cast("array<string>"))
         .when(F.try_element_at(F.col("targets"), i).isNotNull(),
               F.when(F.try_element_at(F.col("targets"), i) == "", F.array(l))
-              .otherwise(F.concat(F.split(F.try_element_at(F.col("targets"), i), "\n"), F.array(l))))
+              .otherwise(F.concat(F.transform(F.split(F.try_element_at(F.col("targets"), i), "\n"),
+                                              lambda c: F.concat(F.regexp_extract(l, r"^[ \t]*", 0), c)),
+                                  F.array(l))))
         .otherwise(F.array(l)))), "\n")
     return j.select("*", out.alias("after")).withColumnRenamed("text", "before").drop("targets", "drop_lines")
 

@@ -192,7 +192,7 @@ FROM e""",
   FROM documents),
 r AS (SELECT path, array_to_string(flatten(list_transform(ls, lambda l, i: CASE
           WHEN i = 1 THEN []::VARCHAR[]
-          WHEN i = 2 AND lang IN ('en', 'de') THEN ['// replaced in ' || path, l]
+          WHEN i = 2 AND lang IN ('en', 'de') THEN [regexp_extract(l, '^[ \\t]*') || '// replaced in ' || path, l]
           ELSE [l] END)), chr(10)) AS after FROM d)
 SELECT path, md5(after) AS after_md5, CAST(len(string_split(after, chr(10))) AS BIGINT) AS n_lines FROM r""",
 }

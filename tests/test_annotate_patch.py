@@ -129,6 +129,13 @@ def test_resolve_edits(spark):
     assert [r.error for r in miss.collect()] == ["node not found: func:Z"]
 
 
+def test_replace_comments_indents(spark):
+    text = "var (\n\t// old\n\tA = 1\n)"
+    e = spark.createDataFrame([("p.go", 2, 1, "var:A", "// new\n// two")],
+                              "path string, line int, from_line int, identifier string, text string")
+    assert P.replace_comments(source(spark, text), e).first().after == "var (\n\t// new\n\t// two\n\tA = 1\n)"
+
+
 def test_replace_comments(spark):
     text = "// old one\n// old two\nfunc A() {}\n// stale\nfunc B() {}\nfunc C() {}"
     e = spark.createDataFrame([("p.go", 2, 0, "func:A", "// new A"), ("p.go", 4, 3, "func:B", ""),
