@@ -103,3 +103,21 @@ def _escape(s: str) -> str:
     for ch in s:
         out.append("\\" + ch if ch in ".^$|()[]{}*+?\\" else ch)
     return "".join(out)
+
+
+def save_bucketed(df: DataFrame, table: str, location: str, key: str = "path",
+                  buckets: int | None = None) -> DataFrame:
+    """Write a corpus once as a table bucketed and sorted by ``key``.
+
+    Joins and groupings on ``key`` against the table (applying edits, joining
+    findings to their texts) then read each bucket in place: the texts are
+    never shuffled again, only the small side is, into the same buckets.
+    ``buckets`` defaults to the session's shuffle partition count so the
+    other side's exchange lines up with the buckets. ``location`` is where
+    the files go (shared storage on a cluster).
+    """
+    spark = df.sparkSession
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    (df.write.mode("overwrite").option("path", location)
+     .bucketBy(n, key).sortBy(key).saveAsTable(table))
+    return spark.table(table)

@@ -203,3 +203,30 @@ def test_go_groups_nested_bodies_and_interfaces(spark):
     assert not u["func:Lone.Ping"].documented and not u["type:Lone"].documented
     assert u["func:Lone.Ping"].owner == "Lone" and u["func:Lone.Ping"].line == 20
     assert not u["var:Table"].documented and u["var:B"].line == 34
+
+
+def test_bucketed_source_joins_without_moving_texts(spark):
+    import io
+    from contextlib import redirect_stdout
+
+    from docquill.operators.patch import apply_edits
+    from docquill.sources.tables import documents_source, save_bucketed
+
+    src = documents_source(spark, "/root/testdata/sf0.001").select("path", "text")
+    table = save_bucketed(src, "docquill_test_bucketed", tempfile.mkdtemp(prefix="docquill-bucket-"))
+    edits = src.select("path", F.lit(0).alias("line"), F.lit(0).alias("col"), F.lit("a").alias("identifier"),
+                       F.lit("// x\n").alias("text"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        preview, _ = apply_edits(table, edits)
+        buf = io.StringIO()
+        with redirect_stdout(buf):
+            preview.explain("formatted")
+        plan = buf.getvalue()
+        # the bucketed side is scanned in place; only the edits are shuffled
+        import re
+        assert "Bucketed: true" in plan
+        assert len(re.findall(r"^\(\d+\) Exchange\b", plan, flags=re.M)) == 1
+        assert preview.where(F.col("after").startswith("// x\n")).count() == src.count()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
