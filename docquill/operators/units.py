@@ -166,7 +166,8 @@ def go_units(source: DataFrame, text: str = "text", keys=("path",)) -> DataFrame
         code = F.regexp_replace(l, r"//.*$", "")
         return F.struct(
             _is_blank(l).alias("blank"), _is_comment_line(l).alias("comment"),
-            _count(code, "{(").alias("opens"), _count(code, "})").alias("closes"),
+            F.when(_is_comment_line(l), 0).otherwise(_count(code, "{(")).alias("opens"),
+            F.when(_is_comment_line(l), 0).otherwise(_count(code, "})")).alias("closes"),
             F.regexp_like(l, F.lit(r"^\}")).alias("close_brace"),
             F.regexp_like(l, F.lit(r"^\)")).alias("close_paren"),
             F.regexp_like(l, F.lit(_GO_FUNC)).alias("func_m"),
@@ -274,7 +275,8 @@ def ts_units(source: DataFrame, text: str = "text", keys=("path",)) -> DataFrame
         kw = F.regexp_extract(l, _TS_DECL, 1)
         return F.struct(
             _is_blank(l).alias("blank"), _is_comment_line(l).alias("comment"),
-            _count(code, "{").alias("opens"), _count(code, "}").alias("closes"),
+            F.when(_is_comment_line(l), 0).otherwise(_count(code, "{")).alias("opens"),
+            F.when(_is_comment_line(l), 0).otherwise(_count(code, "}")).alias("closes"),
             (F.when(kw.isin("function", "function*"), F.lit("func"))
              .when(kw == "class", F.lit("class"))
              .when(kw == "interface", F.lit("iface"))
@@ -362,7 +364,7 @@ def existing_comment(source: DataFrame, units: DataFrame, text: str = "text", ke
     block = F.slice(lines, F.col("comment_from") + 1, F.col("line") - F.col("comment_from"))
     if strip_markers:
         block = F.transform(block, lambda l: F.regexp_replace(
-            l, r"^\s*(?://+ ?|/\*\*? ?|\* ?)|\s*\*/\s*$", ""))
+            l, r"^\s*\*/\s*$|^\s*(?://+ ?|/\*\*? ?|\*(?!/) ?)|\s*\*/\s*$", ""))
         block = F.filter(block, lambda l: F.length(F.trim(l)) > 0)
     comment = F.when(F.col("comment_from") < F.col("line"), F.array_join(block, "\n"))
     return j.withColumn("comment", comment).drop(text)

@@ -23,24 +23,31 @@ from docquill.sources.tables import load
 def _turns(spark, sf_dir):
     c = load(spark, sf_dir, "conversations")
     return c.groupBy("conv_id").agg(
-        F.sort_array(F.collect_list(F.struct("turn", "role", F.split_part("text", F.lit("\n"), F.lit(1))
-                                             .alias("fl")))).alias("turns"))
+        F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+
+
+def _prefixed(text, prefix: str):
+    return F.transform(F.split(text, "\n"), lambda l: F.concat(F.lit(prefix), l))
 
 
 def go_code(spark, sf_dir):
-    """``conv/<id>.go``: 3 header lines, then 4 lines per turn."""
+    """``conv/<id>.go``: 3 header lines, then per turn its whole text as the
+    comment (``//`` lines for assistant turns, a ``/* * */`` block for system
+    turns, a blank line for user turns) and a 3-line declaration."""
     g = _turns(spark, sf_dir)
 
     def block(t, k):
-        slot = (F.when(t["role"] == "assistant", F.concat(F.lit("// "), t["fl"]))
-                .when(t["role"] == "system", F.concat(F.lit("/* "), t["fl"], F.lit(" */"))).otherwise(F.lit("")))
+        slot = (F.when(t["role"] == "assistant", _prefixed(t["text"], "// "))
+                .when(t["role"] == "system", F.concat(F.array(F.lit("/*")), _prefixed(t["text"], " * "),
+                                                      F.array(F.lit(" */"))))
+                .otherwise(F.array(F.lit(""))))
         decl = (F.when(t["role"] == "user", F.concat(F.lit("func Ask"), k, F.lit("() string {")))
                 .when(t["role"] == "assistant", F.concat(F.lit("var Reply"), k, F.lit(" = "), k))
                 .otherwise(F.concat(F.lit("type system"), k, F.lit(" struct {"))))
         body = (F.when(t["role"] == "user", F.lit('\treturn ""')).when(t["role"] == "assistant", F.lit(""))
                 .otherwise(F.lit("\tName string")))
         close = F.when(t["role"] == "assistant", F.lit("")).otherwise(F.lit("}"))
-        return F.array(slot, decl, body, close)
+        return F.concat(slot, F.array(decl, body, close))
 
     header = F.array(F.concat(F.lit("// Package conv"), F.col("conv_id"), F.lit(" holds one conversation.")),
                      F.concat(F.lit("package conv"), F.col("conv_id")), F.lit(""))
@@ -49,16 +56,20 @@ def go_code(spark, sf_dir):
 
 
 def ts_code(spark, sf_dir):
-    """``conv/<id>.ts``: a class with one member per turn, then a constant."""
+    """``conv/<id>.ts``: a class with one member per turn, each preceded by
+    the turn's whole text as a comment (a ``/** * */`` block for assistant
+    turns, ``//`` lines for system turns, a blank line for user turns)."""
     g = _turns(spark, sf_dir)
 
     def block(t, k):
-        slot = (F.when(t["role"] == "assistant", F.concat(F.lit("  /** "), t["fl"], F.lit(" */")))
-                .when(t["role"] == "system", F.concat(F.lit("  // "), t["fl"])).otherwise(F.lit("")))
+        slot = (F.when(t["role"] == "assistant", F.concat(F.array(F.lit("  /**")), _prefixed(t["text"], "   * "),
+                                                          F.array(F.lit("   */"))))
+                .when(t["role"] == "system", _prefixed(t["text"], "  // "))
+                .otherwise(F.array(F.lit(""))))
         member = (F.when(t["role"] == "user", F.concat(F.lit("  ask"), k, F.lit("(q: string): string { return q }")))
                   .when(t["role"] == "assistant", F.concat(F.lit("  reply"), k, F.lit(": string")))
                   .otherwise(F.concat(F.lit("  private sys"), k, F.lit(" = "), k)))
-        return F.array(slot, member, F.lit(""))
+        return F.concat(slot, F.array(member, F.lit("")))
 
     header = F.array(F.concat(F.lit("// Conversation "), F.col("conv_id"), F.lit(".")),
                      F.concat(F.lit("export class Conv"), F.col("conv_id"), F.lit(" {")))
@@ -185,18 +196,32 @@ QUERIES = {
     "clear_comments": q_clear_comments,
 }
 
-_T = """t AS (
-  SELECT conv_id, turn, role, split_part(text, chr(10), 1) AS fl,
+_T = """t0 AS (
+  SELECT conv_id, turn, role, text, CAST(len(string_split(text, chr(10))) AS INTEGER) AS nl,
          CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INTEGER) AS k,
          count(*) OVER (PARTITION BY conv_id) AS n
-  FROM conversations)"""
+  FROM conversations),
+t AS (
+  SELECT *,
+         CASE role WHEN 'assistant' THEN nl WHEN 'system' THEN nl + 2 ELSE 1 END AS go_slot,
+         CASE role WHEN 'assistant' THEN nl + 2 WHEN 'system' THEN nl ELSE 1 END AS ts_slot
+  FROM t0),
+t2 AS (
+  SELECT *,
+         coalesce(sum(go_slot + 3) OVER (PARTITION BY conv_id ORDER BY turn
+                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS go_before,
+         coalesce(sum(ts_slot + 2) OVER (PARTITION BY conv_id ORDER BY turn
+                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ts_before,
+         sum(ts_slot + 2) OVER (PARTITION BY conv_id) AS ts_total
+  FROM t)"""
 
 _GO_UNITS = "WITH " + _T + """
 SELECT 'conv/' || CAST(conv_id AS VARCHAR) || '.go' AS path,
        CASE role WHEN 'user' THEN 'func:Ask' || k WHEN 'assistant' THEN 'var:Reply' || k ELSE 'type:system' || k END
          AS identifier,
-       CAST(3 + 4 * k + 1 AS INTEGER) AS line, 0 AS col, role <> 'system' AS exported, role <> 'user' AS documented
-FROM t"""
+       CAST(3 + go_before + go_slot AS INTEGER) AS line, 0 AS col, role <> 'system' AS exported,
+       role <> 'user' AS documented
+FROM t2"""
 
 _TS_UNITS = "WITH " + _T + """,
 members AS (
@@ -205,18 +230,19 @@ members AS (
                    WHEN 'assistant' THEN 'prop:Conv' || conv_id || '.reply' || k
                    ELSE 'prop:Conv' || conv_id || '.sys' || k END AS identifier,
          CASE role WHEN 'user' THEN 'method' ELSE 'prop' END AS kind,
-         CAST(2 + 3 * k + 1 AS INTEGER) AS line, 2 AS col, role <> 'user' AS documented, role <> 'system' AS public,
-         CASE role WHEN 'assistant' THEN fl WHEN 'system' THEN fl END AS comment,
-         CAST(CASE WHEN role = 'user' THEN 2 + 3 * k + 1 ELSE 2 + 3 * k END AS INTEGER) AS comment_from
-  FROM t),
+         CAST(2 + ts_before + ts_slot AS INTEGER) AS line, 2 AS col, role <> 'user' AS documented,
+         role <> 'system' AS public,
+         CASE WHEN role <> 'user' THEN text END AS comment,
+         CAST(CASE WHEN role = 'user' THEN 2 + ts_before + ts_slot ELSE 2 + ts_before END AS INTEGER) AS comment_from
+  FROM t2),
 heads AS (
-  SELECT DISTINCT 'conv/' || CAST(conv_id AS VARCHAR) || '.ts' AS path, conv_id, n FROM t),
+  SELECT DISTINCT 'conv/' || CAST(conv_id AS VARCHAR) || '.ts' AS path, conv_id, ts_total FROM t2),
 tops AS (
   SELECT path, 'class:Conv' || conv_id AS identifier, 'class' AS kind, 1 AS line, 0 AS col, true AS documented,
          true AS public, 'Conversation ' || conv_id || '.' AS comment, 0 AS comment_from FROM heads
   UNION ALL
-  SELECT path, 'var:turns' || conv_id, 'var', CAST(2 + 3 * n + 1 AS INTEGER), 0, false, true, NULL,
-         CAST(2 + 3 * n + 1 AS INTEGER) FROM heads),
+  SELECT path, 'var:turns' || conv_id, 'var', CAST(2 + ts_total + 1 AS INTEGER), 0, false, true, NULL,
+         CAST(2 + ts_total + 1 AS INTEGER) FROM heads),
 u AS (SELECT * FROM members UNION ALL SELECT * FROM tops)"""
 
 _GO_TEXT = "WITH " + _T + """,
@@ -234,7 +260,9 @@ FROM blocks GROUP BY conv_id"""
 
 def _block_sql(with_comment: bool) -> str:
     ins = "doc_line || chr(10) || " if with_comment else ""
-    return f"""CASE role WHEN 'assistant' THEN '// ' || fl WHEN 'system' THEN '/* ' || fl || ' */' ELSE '' END || chr(10) ||
+    return f"""CASE role WHEN 'assistant' THEN '// ' || replace(text, chr(10), chr(10) || '// ')
+                   WHEN 'system' THEN '/*' || chr(10) || ' * ' || replace(text, chr(10), chr(10) || ' * ') || chr(10) || ' */'
+                   ELSE '' END || chr(10) ||
          CASE role WHEN 'user' THEN {ins}'func Ask' || k || '() string {{' WHEN 'assistant' THEN 'var Reply' || k || ' = ' || k
                    ELSE 'type system' || k || ' struct {{' END || chr(10) ||
          CASE role WHEN 'user' THEN chr(9) || 'return ""' WHEN 'assistant' THEN '' ELSE chr(9) || 'Name string' END

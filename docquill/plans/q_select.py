@@ -114,9 +114,14 @@ def q_identifier_roundtrip(spark, sf_dir):
 
 
 def q_exported_flag(spark, sf_dir):
-    d = load(spark, sf_dir, "documents").select(
-        "doc_id", F.concat(F.lit("func:"), F.split_part("text", F.lit(" "), F.lit(1))).alias("identifier"))
-    return d.select("doc_id", "identifier", is_exported("identifier").alias("exported"))
+    """B7 on every word of every document, as ``func:<word>``."""
+    from docquill.functions.text import words
+    d = load(spark, sf_dir, "documents")
+    ws = words("text")
+    exported = F.filter(ws, lambda w: is_exported(F.concat(F.lit("func:"), w)))
+    return d.select("doc_id", F.size(ws).cast("bigint").alias("n_words"),
+                    F.size(exported).cast("bigint").alias("n_exported"),
+                    F.md5(F.array_join(exported, " ")).alias("exported_md5"))
 
 
 # ---- G1, G2, H1, E6, E7 ----------------------------------------------------
@@ -291,13 +296,11 @@ SELECT k AS kind, count(*) AS n,
        count(*) FILTER (WHERE (CASE WHEN owned THEN k || ':' || o || '.' || n ELSE k || ':' || n END) = identifier)
          AS n_roundtrip
 FROM chk WHERE ok GROUP BY k""",
-    "exported_flag": """WITH f AS (SELECT doc_id, 'func:' || split_part(text, ' ', 1) AS identifier FROM documents),
-a AS (SELECT *, CASE WHEN position(':' IN identifier) > 0 THEN split_part(identifier, ':', 2) ELSE identifier END AS n1 FROM f),
-b AS (SELECT *, CASE WHEN position('.' IN n1) > 0 THEN split_part(n1, '.', 2) ELSE n1 END AS n2 FROM a)
-SELECT doc_id, identifier,
-       (length(n2) > 0 AND n2 <> '_' AND strlen(substr(n2, 1, 1)) = 1 AND NOT (substr(n2, 1, 1) BETWEEN 'a' AND 'z'))
-         AS exported
-FROM b""",
+    "exported_flag": """WITH w AS (SELECT doc_id, regexp_extract_all(text, '\\S+') AS ws FROM documents),
+e AS (SELECT doc_id, ws, list_filter(ws, lambda w: (length((CASE WHEN position('.' IN split_part('func:' || w, ':', 2)) > 0 THEN split_part(split_part('func:' || w, ':', 2), '.', 2) ELSE split_part('func:' || w, ':', 2) END)) > 0 AND (CASE WHEN position('.' IN split_part('func:' || w, ':', 2)) > 0 THEN split_part(split_part('func:' || w, ':', 2), '.', 2) ELSE split_part('func:' || w, ':', 2) END) <> '_' AND strlen(substr((CASE WHEN position('.' IN split_part('func:' || w, ':', 2)) > 0 THEN split_part(split_part('func:' || w, ':', 2), '.', 2) ELSE split_part('func:' || w, ':', 2) END), 1, 1)) = 1 AND NOT (substr((CASE WHEN position('.' IN split_part('func:' || w, ':', 2)) > 0 THEN split_part(split_part('func:' || w, ':', 2), '.', 2) ELSE split_part('func:' || w, ':', 2) END), 1, 1) BETWEEN 'a' AND 'z'))) AS ex FROM w)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ex) AS BIGINT) AS n_exported,
+       md5(array_to_string(ex, ' ')) AS exported_md5
+FROM e""",
     "ordered_findings": "WITH " + _UNITS + """
 SELECT page_id, identifier, row_number() OVER (PARTITION BY page_id ORDER BY identifier) AS rn FROM u""",
     "first_n_files": f"""WITH s AS (SELECT doc_id, source || '/' || CAST(doc_id AS VARCHAR) || '.txt' AS path FROM documents)
