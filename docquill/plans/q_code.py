@@ -1,8 +1,8 @@
 """Queries: unit extraction on source code generated from the conversations.
 
 Each conversation becomes one Go file and one TypeScript file with a fixed
-layout: a turn becomes a declaration chosen by its role, and the turn's first
-line becomes the comment above it (line, block or doc comment, by role). The
+layout: a turn becomes a declaration chosen by its role, and the turn's whole
+text becomes the comment above it (line, block or doc comment, by role). The
 code grows with the table and carries real prose in its comments, while its
 expected units, positions and comments can be stated independently in SQL.
 """
