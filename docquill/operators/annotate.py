@@ -130,6 +130,22 @@ class LeadingWordsProvider(Provider):
                       completion_tokens=len(ws))
 
 
+@dataclass
+class WordSpanProvider(Provider):
+    """Deterministic local provider whose answer depends on the whole code
+    section: its first word, its last word and its word count, wrapped in
+    white space and quotes. Refuses a request whose completion budget is 0."""
+
+    def complete(self, prompt, model, max_tokens, params):
+        if max_tokens is None or max_tokens <= 0:
+            raise ValueError("completion budget is 0: the prompt fills the context")
+        code = prompt.split(CODE_MARKER, 1)[1] if CODE_MARKER in prompt else prompt
+        ws = code.split()
+        body = f"{ws[0]} ... {ws[-1]} ({len(ws)} words)" if ws else "(0 words)"
+        return Answer(text=' "' + body + '"\n', prompt_tokens=len(prompt.split()),
+                      completion_tokens=len(body.split()))
+
+
 ANSWER_SCHEMA = ("answer string, finish_reason string, prompt_tokens bigint, "
                  "completion_tokens bigint, total_tokens bigint, error string")
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from docquill.functions import text as T
 from docquill.functions._util import explode_rows
 from docquill.functions.tokens import token_count
-from docquill.operators.annotate import (PROMPT_TEMPLATES, LeadingWordsProvider, annotate, build_prompt,
+from docquill.operators.annotate import (PROMPT_TEMPLATES, WordSpanProvider, annotate, build_prompt,
                                          dead_letter, finish_docs, group_docs, usage_totals)
 from docquill.operators.budget import attach_model, chat_tokens, completion_budget
 from docquill.operators.patch import apply_edits
@@ -17,7 +17,6 @@ from docquill.plans import sqlgen as S
 from docquill.sources.tables import documents_source, load
 
 MODEL = "gpt-3.5-turbo"
-ANSWER_WORDS = 8
 FOOTER = "Generated from the corpus."
 
 
@@ -34,7 +33,7 @@ def annotation_results(spark: SparkSession, sf_dir: str, model: str = MODEL, src
     req = units.withColumn("prompt", build_prompt("identifier", F.lit("go"), "path", "para"))
     req = attach_model(req.withColumn("model", F.lit(model)))
     req = req.withColumn("max_tokens", completion_budget(token_count("prompt"), "ctx_tokens"))
-    res = annotate(req, LeadingWordsProvider(ANSWER_WORDS),
+    res = annotate(req, WordSpanProvider(),
                    keep=["doc_id", "path", "identifier", "line", "model"], threads=1)
     return finish_docs(res)
 
@@ -240,13 +239,15 @@ units AS (SELECT doc_id, path, unnest(string_split(text, chr(10))) AS para,
                  unnest(range(len(string_split(text, chr(10))))) AS line FROM src),
 req AS (SELECT *, {_prompt_sql()} AS prompt FROM units),
 bud AS (SELECT *, greatest(0, least(512, 4096, 4096 - {S.n_tokens('prompt')})) AS max_tokens FROM req),
-ans AS (SELECT *, CASE WHEN max_tokens > 0 THEN list_slice(regexp_extract_all(para, '\\S+'), 1, {ANSWER_WORDS}) END AS ws
+ans AS (SELECT *, CASE WHEN max_tokens > 0 THEN regexp_extract_all(para, '\\S+') END AS ws
         FROM bud),
-docs AS (SELECT *, CASE WHEN ws IS NOT NULL THEN {S.clean("' \"' || array_to_string(ws, ' ') || '\"' || chr(10)")} END AS doc,
+spans AS (SELECT *, CASE WHEN len(ws) > 0 THEN ws[1] || ' ... ' || ws[-1] || ' (' || len(ws) || ' words)'
+                         ELSE '(0 words)' END AS body FROM ans),
+docs AS (SELECT *, CASE WHEN ws IS NOT NULL THEN {S.clean("' \"' || body || '\"' || chr(10)")} END AS doc,
                 CASE WHEN ws IS NOT NULL THEN {S.n_tokens('prompt')} END AS prompt_tokens,
-                CASE WHEN ws IS NOT NULL THEN CAST(len(ws) AS BIGINT) END AS completion_tokens,
+                CASE WHEN ws IS NOT NULL THEN {S.n_tokens('body')} END AS completion_tokens,
                 CASE WHEN ws IS NULL THEN '{_ERR}' END AS error
-         FROM ans)"""
+         FROM spans)"""
 
 
 def _oracle_annotate_documents() -> str:

@@ -155,7 +155,7 @@ def q_annotate_code(spark, sf_dir):
     formatting, positions by identifier, and all edits of a file applied in
     one pass. One summary row per file."""
     from docquill.functions.tokens import token_count
-    from docquill.operators.annotate import LeadingWordsProvider, annotate, build_prompt, finish_docs
+    from docquill.operators.annotate import WordSpanProvider, annotate, build_prompt, finish_docs
     from docquill.operators.budget import (attach_model, completion_budget, go_rungs,
                                            shrink_to_budget)
     from docquill.operators.patch import apply_edits
@@ -171,7 +171,7 @@ def q_annotate_code(spark, sf_dir):
     req = req.withColumn("prompt", build_prompt("identifier", "language", "path", "code"))
     req = attach_model(req.withColumn("model", F.lit(CODE_MODEL)))
     req = req.withColumn("max_tokens", completion_budget(token_count("prompt"), "ctx_tokens"))
-    docs = finish_docs(annotate(req, LeadingWordsProvider(8), keep=["path", "identifier", "line", "col"],
+    docs = finish_docs(annotate(req, WordSpanProvider(), keep=["path", "identifier", "line", "col"],
                                 threads=1))
     edits = docs.withColumn("text", F.when(F.col("error").isNull(),
                                            F.concat(T.line_comment("text"), F.lit("\n"))))
@@ -283,7 +283,7 @@ req AS (
   FROM t JOIN files f ON t.conv_id = f.conv_id WHERE t.role = 'user'),
 ans AS (
   SELECT *, greatest(0, least(512, 4096, 4096 - {S.n_tokens('prompt')})) > 0 AS ok,
-         {S.clean("' \"' || array_to_string(list_slice(regexp_extract_all(code, '\\S+'), 1, 8), ' ') || '\"' || chr(10)")}
+         {S.clean("' \"' || regexp_extract_all(code, '\\S+')[1] || ' ... ' || regexp_extract_all(code, '\\S+')[-1] || ' (' || len(regexp_extract_all(code, '\\S+')) || ' words)' || '\"' || chr(10)")}
            AS doc
   FROM req),
 per_file AS (
