@@ -42,11 +42,11 @@ def edits_per_path(edits: DataFrame) -> DataFrame:
     ``n_units``) but not applied.
 
     Same-line edits are kept in descending column order (so inserting right
-    to left keeps the original offsets valid), ties by identifier. The two
-    aggregations share one shuffle: the data is hash-partitioned by path and
-    both groupings are clustered on it.
+    to left keeps the original offsets valid), ties by identifier. The edits
+    are first grouped per (path, line), which spreads even one very hot file
+    over all tasks; only the per-line summaries then meet per path.
     """
-    per_line = (edits.repartition("path")
+    per_line = (edits
                 .groupBy("path", "line")
                 .agg(F.sort_array(F.collect_list(F.when(F.col("text").isNotNull(), F.struct(
                     (-F.col("col")).alias("neg_col"), "identifier", "col", "text")))).alias("es"),
