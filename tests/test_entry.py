@@ -36,3 +36,16 @@ def test_partitioning_does_not_change_results(spark):
         got = extract_by_rules(src, rules, keys=("page_id",)).select("page_id", "kind", "name", "identifier")
         assert sorted(map(tuple, got.collect())) == base
     assert spread(d1, "page_id", rebalance=False) is d1
+
+
+def test_annotation_same_for_1_4_16_partitions(spark):
+    from pyspark.sql import functions as F
+    from docquill.plans import q_annotate as A
+    from docquill.sources.tables import load
+    results = []
+    for n in (1, 4, 16):
+        d = load(spark, SMOKE, "documents", rebalance=n)
+        src = d.select("doc_id", F.format_string("%s/%d.txt", "source", "doc_id").alias("path"), "text")
+        out = A.patch_summary(src, A.annotation_results(spark, SMOKE, src=src))
+        results.append(sorted(map(tuple, out.select(sorted(out.columns)).collect())))
+    assert results[0] == results[1] == results[2]
