@@ -41,15 +41,16 @@ def edits_per_path(edits: DataFrame) -> DataFrame:
     Rows with a NULL ``text`` are failed units: counted in ``n_failed`` (and
     ``n_units``) but not applied.
 
-    Same-line edits are kept in descending column order (so inserting right
-    to left keeps the original offsets valid), ties by identifier. The edits
+    Same-line edits are applied in descending column order (inserting right
+    to left keeps the original offsets valid); edits at the same column are
+    applied in descending identifier order, so they read in ascending order. The edits
     are first grouped per (path, line), which spreads even one very hot file
     over all tasks; only the per-line summaries then meet per path.
     """
     per_line = (edits
                 .groupBy("path", "line")
                 .agg(F.sort_array(F.collect_list(F.when(F.col("text").isNotNull(), F.struct(
-                    (-F.col("col")).alias("neg_col"), "identifier", "col", "text")))).alias("es"),
+                    "col", "identifier", "text"))), asc=False).alias("es"),
                      F.count(F.lit(1)).alias("_n"),
                      F.count(F.when(F.col("text").isNull(), 1)).alias("_f")))
     per_line = per_line.select("path", "line", "_n", "_f", F.transform(

@@ -104,6 +104,12 @@ def test_insert_with_indent_and_same_line(spark):
     assert (r.n_applied, r.n_missed) == (4, 0) and misses.count() == 0
 
 
+def test_same_position_edits_read_in_identifier_order(spark):
+    e = edits(spark, [("p.go", 2, 0, "func:B", "// B\n"), ("p.go", 2, 0, "func:A", "// A\n")])
+    preview, _ = P.apply_edits(source(spark), e)
+    assert "// A\n// B\nfunc A() {}" in preview.first().after
+
+
 def test_out_of_range_permissive_and_failfast(spark):
     e = edits(spark, [("p.go", 0, 0, "a", "// ok\n"), ("p.go", 99, 0, "b", "x"), ("p.go", 0, 50, "c", "y")])
     preview, misses = P.apply_edits(source(spark), e)
