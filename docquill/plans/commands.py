@@ -54,11 +54,13 @@ def units_of(src: DataFrame) -> DataFrame:
 def find(spark: SparkSession, root: str, *, exts=None, include=None, exclude=None,
          exclude_internal: bool = True, match: Sequence[str] | None = None,
          kinds: Sequence[str] | None = tuple(DEFAULT_KINDS), include_documented: bool = False,
-         include_tests: bool = False, languages=None) -> DataFrame:
+         include_tests: bool = False, languages=None, src: DataFrame | None = None) -> DataFrame:
     """Findings ``(path, language, identifier, line, col, ...)`` in path and
     identifier order: exported, public units of the selected kinds, without
-    a comment unless ``include_documented``, without Go tests unless asked."""
-    src = source_files(spark, root, exts, include, exclude, exclude_internal, languages)
+    a comment unless ``include_documented``, without Go tests unless asked.
+    ``src`` passes already selected files (then the path options are unused)."""
+    if src is None:
+        src = source_files(spark, root, exts, include, exclude, exclude_internal, languages)
     u = units_of(src).where(F.col("exported"))
     u = SEL.only_public(u)
     u = SEL.exclude_tests(u, enabled=not include_tests)
@@ -84,7 +86,7 @@ def generate(spark: SparkSession, root: str, provider: Provider, *, model: str =
     selection = {k: find_options.pop(k) for k in ("exts", "include", "exclude", "exclude_internal", "languages")
                  if k in find_options}
     src = source_files(spark, root, **selection)
-    findings = find(spark, root, **selection, **find_options)
+    findings = find(spark, root, src=src, **find_options)
     findings = SEL.first_n_files(findings, limit_files)
     ctx = dict(MODEL_LIMITS).get(model, dict(MODEL_LIMITS)["default"])
     go = shrink_to_budget(src.where(F.col("language") == "go"), "text", go_rungs(), ctx)
