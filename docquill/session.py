@@ -58,32 +58,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return local
 
 
-_SHIPPED: set[str] = set()
+def ship_package(spark: SparkSession | None = None) -> None:
+    """Make this package's code travel with the tasks that need it.
 
-
-def ship_package(spark: SparkSession) -> None:
-    """Make this package importable on executors (once per context).
-
-    Python stages (the model call, an exact token counter) unpickle objects
-    defined here, so executors need the package; this is the programmatic
-    form of ``--py-files``. Skipped when the package is already installed
-    where the executors run (no source folder beside it).
+    Python stages (the model call, an exact token counter) run functions and
+    objects defined here on executors. Registering the package with
+    PySpark's cloudpickle pickles them by value, so executors need neither an
+    installed copy nor any file shipped from a local folder.
     """
-    import zipfile
+    import docquill
+    from pyspark import cloudpickle
 
-    sc = spark.sparkContext
-    key = sc.applicationId
-    if key in _SHIPPED:
-        return
-    pkg_dir = os.path.dirname(os.path.abspath(__file__))
-    root = os.path.dirname(pkg_dir)
-    out_dir = tempfile.mkdtemp(prefix="docquill-pyfiles-")
-    archive = os.path.join(out_dir, "docquill.zip")
-    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as zf:
-        for base, _, files in os.walk(pkg_dir):
-            for name in files:
-                if name.endswith(".py"):
-                    full = os.path.join(base, name)
-                    zf.write(full, os.path.relpath(full, root))
-    sc.addPyFile(archive)
-    _SHIPPED.add(key)
+    cloudpickle.register_pickle_by_value(docquill)
