@@ -235,8 +235,9 @@ _ERR = "ValueError: completion budget is 0: the prompt fills the context"
 def _annotation_sql() -> str:
     return f"""
 src AS (SELECT doc_id, source || '/' || CAST(doc_id AS VARCHAR) || '.txt' AS path, text FROM documents),
-units AS (SELECT doc_id, path, unnest(string_split(text, chr(10))) AS para,
-                 unnest(range(len(string_split(text, chr(10))))) AS line FROM src),
+units0 AS (SELECT doc_id, path, unnest(string_split(text, chr(10))) AS para,
+                  unnest(range(len(string_split(text, chr(10))))) AS line0 FROM src),
+units AS (SELECT doc_id, path, para, CAST(line0 AS INTEGER) AS line FROM units0),
 req AS (SELECT *, {_prompt_sql()} AS prompt FROM units),
 bud AS (SELECT *, greatest(0, least(512, 4096, 4096 - {S.n_tokens('prompt')})) AS max_tokens FROM req),
 ans AS (SELECT *, CASE WHEN max_tokens > 0 THEN regexp_extract_all(para, '\\S+') END AS ws
