@@ -80,8 +80,11 @@ def is_exported(c) -> Column:
 
 
 def _quote(c: Column) -> Column:
-    """Double-quote a string, escaping backslashes and quotes."""
+    """Double-quote a string, escaping backslashes, quotes, newlines, tabs
+    and carriage returns (other control characters are left as they are)."""
     esc = F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    for ch, rep in (("\n", "\\n"), ("\t", "\\t"), ("\r", "\\r")):
+        esc = F.replace(esc, F.lit(ch), F.lit(rep))
     return F.concat(F.lit('"'), esc, F.lit('"'))
 
 

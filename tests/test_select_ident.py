@@ -144,3 +144,7 @@ def test_units_kept_plus_dropped_is_all(spark):
     kept = SEL.only_undocumented(units).count()
     dropped = units.where(F.col("documented")).count()
     assert kept + dropped == total and 0 < kept < total
+
+
+def test_quote_escapes(spark):
+    assert one(spark, target_phrase("t", "go"), 'iface:a"b\tc') == '"iface:a\\"b\\tc"'
