@@ -68,10 +68,14 @@ def _in_range(lines: Column, line: Column, col: Column) -> Column:
     return (line >= 0) & (line < n) & (col >= 0) & (col <= F.length(F.get(lines, line)))
 
 
-def apply_edit_map(text: Column, edit_map: Column) -> dict[str, Column]:
+def apply_edit_map(text: Column, edit_map: Column, lines: Column | None = None) -> dict[str, Column]:
     """L1 + L3 on one row. Returns ``after``, ``n_applied``, ``n_missed`` and
-    ``missed`` (ARRAY<STRUCT<line, col, identifier>>) expressions."""
-    lines = F.split(text, "\n")
+    ``missed`` (ARRAY<STRUCT<line, col, identifier>>) expressions.
+
+    Pass ``lines`` as a column computed in an earlier projection: inside a
+    lambda an expression is re-evaluated at every call, so an inline split
+    would split the whole text again for every edit."""
+    lines = F.split(text, "\n") if lines is None else lines
     entries = F.coalesce(F.map_entries(edit_map), F.array().cast(
         f"array<struct<key:int,value:array<{EDIT_FIELDS}>>>"))
     flat = F.flatten(F.transform(entries, lambda kv: F.transform(
@@ -99,8 +103,8 @@ def apply_edits(source: DataFrame, edits: DataFrame, mode: str = "permissive") -
     original text, in ``failfast`` mode the job raises on the first miss.
     """
     per_path = edits_per_path(edits)
-    joined = source.join(per_path, "path", "left")
-    ex = apply_edit_map(F.col("text"), F.col("edit_map"))
+    joined = source.join(per_path, "path", "left").withColumn("_lines", F.split("text", "\n"))
+    ex = apply_edit_map(F.col("text"), F.col("edit_map"), F.col("_lines"))
     out = joined.select("*", ex["after"].alias("_after"), ex["n_applied"].alias("n_applied"),
                         ex["n_missed"].alias("n_missed"), ex["missed"].alias("_missed"))
     if mode == "failfast":
@@ -113,7 +117,7 @@ def apply_edits(source: DataFrame, edits: DataFrame, mode: str = "permissive") -
               .transform(lambda d: explode_rows(d, F.col("_missed"), ["path"], value="m"))
               .select("path", "m.line", "m.col", "m.identifier",
                       F.lit("position out of range").alias("error")))
-    return preview.drop("_after", "_missed", "edit_map"), misses
+    return preview.drop("_after", "_missed", "edit_map", "_lines"), misses
 
 
 def replace_comments(source: DataFrame, edits: DataFrame) -> DataFrame:
@@ -134,11 +138,12 @@ def replace_comments(source: DataFrame, edits: DataFrame) -> DataFrame:
         F.array_distinct(F.flatten(F.collect_list(
             F.when(F.col("from_line") < F.col("line"), F.sequence("from_line", F.col("line") - 1))
             .otherwise(F.array().cast("array<int>"))))).alias("drop_lines"))
-    j = source.join(per_path, "path", "left")
+    no_lines = F.array().cast("array<int>")
+    j = source.join(per_path, "path", "left").withColumn(
+        "_drop", F.map_from_arrays(F.coalesce(F.col("drop_lines"), no_lines),
+                                   F.array_repeat(F.lit(True), F.size(F.coalesce(F.col("drop_lines"), no_lines)))))
     lines = F.split(F.col("text"), "\n")
-    drop = F.map_from_arrays(F.coalesce(F.col("drop_lines"), F.array().cast("array<int>")),
-                             F.array_repeat(F.lit(True), F.size(F.coalesce(F.col("drop_lines"),
-                                                                           F.array().cast("array<int>")))))
+    drop = F.col("_drop")
     out = F.array_join(F.flatten(F.transform(lines, lambda l, i: F.when(
         F.coalesce(F.try_element_at(drop, i), F.lit(False)), F.array().cast("array<string>"))
         .when(F.try_element_at(F.col("targets"), i).isNotNull(),
@@ -147,7 +152,8 @@ def replace_comments(source: DataFrame, edits: DataFrame) -> DataFrame:
                                               lambda c: F.concat(F.regexp_extract(l, r"^[ \t]*", 0), c)),
                                   F.array(l))))
         .otherwise(F.array(l)))), "\n")
-    return j.select("*", out.alias("after")).withColumnRenamed("text", "before").drop("targets", "drop_lines")
+    return j.select("*", out.alias("after")).withColumnRenamed("text", "before").drop("targets", "drop_lines",
+                                                                                     "_drop")
 
 
 def preview_summary(preview: DataFrame, key: str = "path") -> DataFrame:
