@@ -34,3 +34,10 @@ def filter_computed(df, cond: Column):
     """
     tmp = df.select("*", F.posexplode_outer(F.when(cond, F.array(F.lit(True)))).alias("_fk", "_fv"))
     return tmp.where(F.col("_fk").isNotNull()).drop("_fk", "_fv")
+
+
+def bind(expr: Column, fn):
+    """Evaluate ``expr`` once and pass the value to ``fn`` (a let-binding made
+    of a one-element ``transform``). Inside a lambda an outer expression is
+    re-evaluated at every call; a bound value is not."""
+    return F.get(F.transform(F.array(expr), fn), 0)

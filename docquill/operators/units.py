@@ -346,8 +346,8 @@ def existing_comment(source: DataFrame, units: DataFrame, text: str = "text", ke
     preceding-line indices, so no line is shuffled.
     """
     keys = list(keys)
-    j = units.join(source.select(*keys, text), keys, "inner")
-    lines = F.split(F.col(text), "\n")
+    j = units.join(source.select(*keys, text), keys, "inner").withColumn("_lines", F.split(F.col(text), "\n"))
+    lines = F.col("_lines")  # a column: the walk below must not re-split the text per step
     # indices line-1 down to 0, stop at the first non-comment line
     idx = F.when(F.col("line") > 0, F.sequence(F.col("line") - 1, F.lit(0), F.lit(-1))).otherwise(
         F.array().cast("array<int>"))
@@ -367,7 +367,7 @@ def existing_comment(source: DataFrame, units: DataFrame, text: str = "text", ke
             l, r"^\s*\*/\s*$|^\s*(?://+ ?|/\*\*? ?|\*(?!/) ?)|\s*\*/\s*$", ""))
         block = F.filter(block, lambda l: F.length(F.trim(l)) > 0)
     comment = F.when(F.col("comment_from") < F.col("line"), F.array_join(block, "\n"))
-    return j.withColumn("comment", comment).drop(text)
+    return j.withColumn("comment", comment).drop(text, "_lines")
 
 
 def locate_units(units: DataFrame, wanted: DataFrame, keys=("path", "identifier")) -> tuple[DataFrame, DataFrame]:
