@@ -8,7 +8,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docquill.functions._util import col_of
+from docquill.functions._util import bind, col_of
 from docquill.functions.tokens import token_count
 
 # Context sizes per model name; unknown models get "default".
@@ -87,12 +87,6 @@ def chat_tokens(messages: DataFrame, model: str, key: str = "conv_id", content:
 Rung = tuple[str, Callable[[Column], Column]]
 
 
-def _bind(expr: Column, fn) -> Column:
-    """Evaluate ``expr`` once and pass it to ``fn`` (a let-binding made of a
-    one-element ``transform``), so it can be referenced several times."""
-    return F.get(F.transform(F.array(expr), fn), 0)
-
-
 def shrink_to_budget(df: DataFrame, text_col: str, rungs: Sequence[Rung], limit, *,
                      counter=token_count, on_overflow: str = "null", trace: bool = False,
                      native_counter: bool | None = None) -> DataFrame:
@@ -149,12 +143,12 @@ def _ladder_aggregate(text: Column, rungs: Sequence[Rung], lim: Column, counter)
     empty_steps = F.array().cast(f"array<{_STEP_T}>")
 
     def start(t):
-        return _bind(counter(t).cast("bigint"), lambda n: F.struct(
+        return bind(counter(t).cast("bigint"), lambda n: F.struct(
             t.alias("t"), n.alias("n"), n.alias("n0"),
             ((n <= lim) | (F.length(t) == 0) | F.lit(len(rungs) == 0)).alias("fits"),
             F.lit(0).alias("rung"), empty_steps.alias("steps")))
 
-    init = _bind(text, start)
+    init = bind(text, start)
     if not rungs:
         return init
 
@@ -168,13 +162,13 @@ def _ladder_aggregate(text: Column, rungs: Sequence[Rung], lim: Column, counter)
 
     def step(acc, k):
         def after(t2):
-            return _bind(counter(t2).cast("bigint"), lambda n2: F.struct(
+            return bind(counter(t2).cast("bigint"), lambda n2: F.struct(
                 t2.alias("t"), n2.alias("n"), acc["n0"].alias("n0"), (n2 <= lim).alias("fits"),
                 k.alias("rung"),
                 F.concat(acc["steps"], F.array(F.struct(
                     k.alias("step"), F.get(names, k - 1).alias("rung"),
                     acc["n"].alias("tokens_in"), n2.alias("tokens_out")))).alias("steps")))
-        return F.when(acc["fits"], acc).otherwise(_bind(reduce_text(k, acc["t"]), after))
+        return F.when(acc["fits"], acc).otherwise(bind(reduce_text(k, acc["t"]), after))
 
     return F.aggregate(F.sequence(F.lit(1), F.lit(len(rungs))), init, step)
 
