@@ -23,9 +23,12 @@ BASE_CONF = {
 
 
 def get_spark(master: str | None = None, shuffle_partitions: int = 8,
-              app_name: str = "docquill") -> SparkSession:
-    """Create (or reuse) a session with the engine's base settings."""
+              app_name: str = "docquill", conf: dict | None = None) -> SparkSession:
+    """Create (or reuse) a session with the engine's base settings plus
+    ``conf``."""
     builder = SparkSession.builder.appName(app_name)
+    for key, value in (conf or {}).items():
+        builder = builder.config(key, value)
     if master:
         builder = builder.master(master)
     builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))

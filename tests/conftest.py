@@ -15,7 +15,9 @@ os.environ["PYTHONPATH"] = os.pathsep.join(
 @pytest.fixture(scope="session")
 def spark():
     from docquill.session import get_spark
-    s = get_spark("local[4]", shuffle_partitions=4, app_name="docquill-tests")
+    import tempfile
+    s = get_spark("local[4]", shuffle_partitions=4, app_name="docquill-tests",
+                  conf={"spark.sql.warehouse.dir": tempfile.mkdtemp(prefix="docquill-warehouse-")})
     yield s
     s.stop()
 
