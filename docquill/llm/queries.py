@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from docquill.llm import quality_rules
+from docquill.llm import decontaminate, quality_rules, simhash
 
 QUERIES = {
+    "op3_simhash": simhash.query,
+    "op8_decontaminate": decontaminate.query,
     "op10_quality_rules": quality_rules.query,
 }
 
 ORACLE = {
+    "op8_decontaminate": decontaminate.ORACLE,
     "op10_quality_rules": quality_rules.ORACLE,
 }
