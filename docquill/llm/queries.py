@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from docquill.llm import decontaminate, quality_rules, simhash
+from docquill.llm import decontaminate, packing, quality_rules, simhash, token_counts, token_files
 
 QUERIES = {
     "op3_simhash": simhash.query,
+    "op4_packing": packing.query,
+    "op5_token_counts": token_counts.query,
+    "op6_token_files": token_files.query,
     "op8_decontaminate": decontaminate.query,
     "op10_quality_rules": quality_rules.query,
 }
