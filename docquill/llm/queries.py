@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from docquill.llm import decontaminate, packing, quality_rules, simhash, token_counts, token_files
+from docquill.llm import decontaminate, packing, quality_rules, secret_scan, simhash, token_counts, token_files
 
 QUERIES = {
+    "op2_secrets": secret_scan.query,
     "op3_simhash": simhash.query,
     "op4_packing": packing.query,
     "op5_token_counts": token_counts.query,
