@@ -7,6 +7,7 @@ import types
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from docquill.session import ensure_checkpoint_dir, ship_package
 
@@ -43,3 +44,22 @@ def per_worker(name: str, make):
     if not hasattr(store, name):
         setattr(store, name, make())
     return getattr(store, name)
+
+
+def among(df: DataFrame, key: str, keys: DataFrame, bits: int = 25) -> DataFrame:
+    """The rows of ``df`` whose long ``key`` may be in column ``key`` of ``keys``
+    (all that are, and a few others): a cheap step before a join.
+
+    ``keys`` become a bitmap of 2 ** ``bits`` bits, built by a grouping. Only
+    that bitmap is broadcast: 4 MB, however many keys there are. With far
+    more keys than bits it lets more rows pass; the join after it is exact.
+    """
+    slot = lambda c: F.col(c).bitwiseAND(F.lit((1 << bits) - 1))
+    maps = (keys.select(slot(key).alias("_slot"))
+            .groupBy(F.shiftright("_slot", 15).alias("_bucket"))
+            .agg(F.bitmap_construct_agg(F.col("_slot").bitwiseAND(F.lit(32767))).alias("_map")))
+    at = slot(key).bitwiseAND(F.lit(32767))
+    byte = F.conv(F.hex(F.substring(F.col("_map"), F.shiftright(at, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.shiftright(byte, 0).bitwiseAND(F.expr(f"shiftleft(1, cast(`{key}` & 7 as int))")) != 0
+    found = df.join(F.broadcast(maps), F.shiftright(slot(key), 15) == F.col("_bucket"))
+    return found.where(hit).select(df.columns)

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from docquill.llm import decontaminate, packing, quality_rules, secret_scan, simhash, token_counts, token_files
+from docquill.llm import decontaminate, line_dedup, packing, quality_rules, secret_scan, simhash, token_counts, token_files
 
 QUERIES = {
+    "op1_line_dedup": line_dedup.query,
     "op2_secrets": secret_scan.query,
     "op3_simhash": simhash.query,
     "op4_packing": packing.query,
@@ -15,6 +16,7 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op1_line_dedup": line_dedup.ORACLE,
     "op8_decontaminate": decontaminate.ORACLE,
     "op10_quality_rules": quality_rules.ORACLE,
 }
