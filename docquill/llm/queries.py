@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docquill.llm import decontaminate, line_crf, line_dedup, packing, quality_rules, secret_scan, simhash, token_counts, token_files
+from docquill.llm import decontaminate, licenses, line_crf, line_dedup, packing, quality_rules, secret_scan, simhash, token_counts, token_files
 
 QUERIES = {
     "op1_line_dedup": line_dedup.query,
@@ -11,12 +11,14 @@ QUERIES = {
     "op4_packing": packing.query,
     "op5_token_counts": token_counts.query,
     "op6_token_files": token_files.query,
+    "op7_licenses": licenses.query,
     "op8_decontaminate": decontaminate.query,
     "op9_line_crf": line_crf.query,
     "op10_quality_rules": quality_rules.query,
 }
 
 ORACLE = {
+    "op7_licenses": licenses.ORACLE,
     "op1_line_dedup": line_dedup.ORACLE,
     "op8_decontaminate": decontaminate.ORACLE,
     "op10_quality_rules": quality_rules.ORACLE,
