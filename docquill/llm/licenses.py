@@ -144,7 +144,7 @@ def scan(files: DataFrame, is_license_file: Column | None = None, path_col: str
         F.array_join(F.array_sort(F.collect_set("license")), ",").alias("own"), F.count(F.lit(1)).alias("n_matches"),
         F.max("cosine").alias("cosine"), F.min(F.struct("line", "license")).alias("first"))
     own = own.withColumn("first_line", F.col("first.line")).withColumn("first_license", F.col("first.license"))
-    parent = lambda c: F.when(F.instr(c, "/") > 0, F.regexp_replace(c, "/[^/]*$", "")).otherwise(F.lit(""))
+    parent = lambda c: F.when(F.instr(c, "/") > 0, F.regexp_replace(c, "/[^/]*$", "")).when(c.isNotNull(), F.lit(""))
     speaks = is_license_file if is_license_file is not None else F.regexp_like(F.element_at(F.split("path", "/"), -1), F.lit(LICENSE_NAME))
     stated = (own.where(speaks & F.col("path").isNotNull())
               .groupBy(parent(F.col("path")).alias("above")).agg(F.min(F.struct("path", "first_license")).alias("m"))
