@@ -152,7 +152,7 @@ _EDITS = """d AS (SELECT source || '/' || CAST(doc_id AS VARCHAR) || '.txt' AS p
                 string_split(text, chr(10)) AS ls FROM documents),
 e AS (SELECT *, len(ls) > 2 AND 3 <= length(ls[3]) AS b_ok, lang = 'fr' AS has_c FROM d),
 m AS (SELECT *, CAST((CASE WHEN b_ok THEN 0 ELSE 1 END) + (CASE WHEN has_c THEN 1 ELSE 0 END) AS INTEGER) AS n_missed,
-             CAST(1 + (CASE WHEN b_ok THEN 1 ELSE 0 END) AS INTEGER) AS n_applied FROM e),
+             CAST(CASE WHEN b_ok AND NOT has_c THEN 2 ELSE 0 END AS INTEGER) AS n_applied FROM e),
 p AS (SELECT *, CASE WHEN n_missed > 0 THEN text ELSE
           array_to_string(list_transform(ls, lambda l, i: CASE
               WHEN i = 1 THEN '// head of ' || path || chr(10) || regexp_extract(l, '^\\s*') || l
@@ -192,7 +192,9 @@ FROM e""",
   FROM documents),
 r AS (SELECT path, array_to_string(flatten(list_transform(ls, lambda l, i: CASE
           WHEN i = 1 THEN []::VARCHAR[]
-          WHEN i = 2 AND lang IN ('en', 'de') THEN [regexp_extract(l, '^[ \\t]*') || '// replaced in ' || path, l]
+          WHEN i = 2 THEN list_concat(
+            CASE WHEN lang IN ('en', 'de') THEN [regexp_extract(l, '^[ \\t]*') || '// replaced in ' || path] ELSE [] END,
+            [l], CASE WHEN len(ls) > 2 AND regexp_matches(ls[3], '\\S') THEN [''] ELSE [] END)
           ELSE [l] END)), chr(10)) AS after FROM d)
 SELECT path, md5(after) AS after_md5, CAST(len(string_split(after, chr(10))) AS BIGINT) AS n_lines FROM r""",
 }

@@ -114,7 +114,7 @@ def test_out_of_range_permissive_and_failfast(spark):
     e = edits(spark, [("p.go", 0, 0, "a", "// ok\n"), ("p.go", 99, 0, "b", "x"), ("p.go", 0, 50, "c", "y")])
     preview, misses = P.apply_edits(source(spark), e)
     r = preview.first()
-    assert r.after == SRC and (r.n_applied, r.n_missed) == (1, 2)
+    assert r.after == SRC and (r.n_applied, r.n_missed) == (0, 2)
     assert sorted(m.identifier for m in misses.collect()) == ["b", "c"]
     with pytest.raises(Exception):
         P.apply_edits(source(spark), e, mode="failfast")[0].collect()
@@ -129,9 +129,10 @@ def test_no_edits_leave_text_unchanged(spark):
 def test_resolve_edits(spark):
     docs = spark.createDataFrame([("p.go", "func:A", "// A.\n"), ("p.go", "func:Z", "// Z.\n")],
                                  "path string, identifier string, text string")
-    units = spark.createDataFrame([("p.go", "func:A", 2, 0)], "path string, identifier string, line int, col int")
+    units = spark.createDataFrame([("p.go", "func:A", 5, 0), ("p.go", "func:A", 2, 1)],
+                                  "path string, identifier string, line int, col int")
     ok, miss = P.resolve_edits(docs, units)
-    assert [r.identifier for r in ok.collect()] == ["func:A"]
+    assert [(r.identifier, r.line, r.col) for r in ok.collect()] == [("func:A", 2, 1)]
     assert [r.error for r in miss.collect()] == ["node not found: func:Z"]
 
 
@@ -148,7 +149,41 @@ def test_replace_comments(spark):
                                ("p.go", 5, 5, "func:C", "// C")],
                               "path string, line int, from_line int, identifier string, text string")
     out = P.replace_comments(source(spark, text), e).first()
-    assert out.after == "// new A\nfunc A() {}\nfunc B() {}\n// C\nfunc C() {}"
+    assert out.after == "// new A\nfunc A() {}\n\nfunc B() {}\n\n// C\nfunc C() {}"
+
+
+def test_documented_specs_and_blocks_are_followed_by_an_empty_line(spark):
+    text = "package p\n\nconst (\n\tFoo = 1\n\tBar = 2\n)\nfunc A() {\n\treturn\n}\nfunc B() {}\n\ntype I interface {\n\tX()\n\tY()\n}"
+    e = spark.createDataFrame([("p.go", n, n, i, "// " + i) for n, i in ((3, "Foo"), (4, "Bar"), (6, "A"), (9, "B"), (12, "X"), (13, "Y"))],
+                              "path string, line int, from_line int, identifier string, text string")
+    assert P.replace_comments(source(spark, text), e).first().after == (
+        "package p\n\nconst (\n\t// Foo\n\tFoo = 1\n\n\t// Bar\n\tBar = 2\n)\n// A\nfunc A() {\n\treturn\n}\n\n"
+        "// B\nfunc B() {}\n\ntype I interface {\n\t// X\n\tX()\n\n\t// Y\n\tY()\n}")
+
+
+def test_edits_of_unknown_files_are_misses(spark):
+    preview, misses = P.apply_edits(source(spark), edits(spark, [("no.go", 1, 2, "a", "x"), ("p.go", 0, 0, "b", "y")]))
+    assert [(r.path, r.identifier, r.error) for r in misses.collect()] == [("no.go", "a", "file not found")]
+    assert preview.first().n_applied == 1
+
+
+def test_work_of_edits_is_linear(spark):
+    import time
+
+    def seconds(n):
+        text = "\n".join(f"func F{i}() {{}}" for i in range(n))
+        at = spark.range(n).select(F.lit("p.go").alias("path"), F.col("id").cast("int").alias("line"), F.lit(0).alias("col"),
+                                   F.col("id").cast("int").alias("from_line"), F.col("id").cast("string").alias("identifier"),
+                                   F.lit("// x\n").alias("text"))
+        best = []
+        for _ in range(2):
+            t = time.perf_counter()
+            P.apply_edits(source(spark, text), at)[0].select(F.length("after")).collect()
+            P.replace_comments(source(spark, text), at).select(F.length("after")).collect()
+            best.append(time.perf_counter() - t)
+        return min(best)
+    seconds(2000)
+    assert seconds(40_000) < 4 * seconds(20_000) + 1
 
 
 def test_preview_summary_and_write(spark):
