@@ -8,7 +8,10 @@ task calls the provider again, so providers should be idempotent.
 
 from __future__ import annotations
 
-import concurrent.futures as cf
+import math
+import queue
+import threading
+import time
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -34,17 +37,23 @@ PROMPT_TEMPLATES = {
         "---\n"
         "{code}"
     ),
-    "ts": (
-        "Write a TSDoc comment for {target}.\n"
-        "Say what {name} does for the caller, not what it is, in plain sentences.\n"
-        "Keep it short and leave out tags, links, code and examples.\n"
-        "Answer with the comment text only: no markers.\n"
-        "\n"
-        "File: {path}\n"
-        "---\n"
-        "{code}"
-    ),
 }
+_TS_HEAD = "Write a TSDoc comment for {target}.\n"
+_TS_TAIL = (
+    "Keep it short and leave out tags, links, code and examples.\n"
+    "Answer with the comment text only: no markers.\n"
+    "\n"
+    "File: {path}\n"
+    "---\n"
+    "{code}"
+)
+_TS_BODY = {
+    "ts": "Say what {name} stands for, in plain sentences.\n",
+    "ts:func": "Say what {name} does for the caller, not that it is a function, in plain sentences.\n",
+    "ts:method": "Say what {name} does for users of its owner, in plain sentences.\n",
+    "ts:prop": "Say what {name} holds and who uses it, in plain sentences.\n",
+}
+PROMPT_TEMPLATES.update({key: _TS_HEAD + body + _TS_TAIL for key, body in _TS_BODY.items()})
 CODE_MARKER = "\n---\n"
 
 # Sampling parameters of every request; the chat path has no top_p.
@@ -71,7 +80,8 @@ def _render(template: str, slots: dict[str, Column]) -> Column:
 
 def build_prompt(identifier, language, path, code, templates: dict[str, str] | None = None) -> Column:
     """The instruction text for one unit. The template is picked by
-    language (a CASE over a handful of literals); ``go`` is the fallback."""
+    ``language:kind``, then by language (a CASE over a handful of literals);
+    ``go`` is the fallback."""
     templates = templates or PROMPT_TEMPLATES
     identifier, language = col_of(identifier), col_of(language)
     slots = {
@@ -80,13 +90,14 @@ def build_prompt(identifier, language, path, code, templates: dict[str, str] | N
         "path": col_of(path),
         "code": F.coalesce(col_of(code), F.lit("")),
     }
-    expr = None
+    kind = F.split_part(identifier, F.lit(":"), F.lit(1))
     fallback = _render(templates.get("go", next(iter(templates.values()))), slots)
-    for lang, tpl in templates.items():
-        if lang == "go":
-            continue
-        rendered = _render(tpl, slots)
-        expr = F.when(language == lang, rendered) if expr is None else expr.when(language == lang, rendered)
+    expr = None
+    for key in sorted(templates, key=lambda k: ":" not in k):       # the special ones first
+        lang, _, of_kind = key.partition(":")
+        fits = (language == lang) & (kind == of_kind) if of_kind else language == lang
+        rendered = _render(templates[key], slots)
+        expr = F.when(fits, rendered) if expr is None else expr.when(fits, rendered)
     return fallback if expr is None else expr.otherwise(fallback)
 
 
@@ -111,34 +122,13 @@ class Provider:
         raise NotImplementedError
 
 
-@dataclass
-class LeadingWordsProvider(Provider):
-    """Deterministic local provider for tests and benchmarks.
-
-    Answers with the first ``n`` words of the code section of the prompt,
-    wrapped in white space and quotes (so clean-up has work to do). Like a
-    hosted model it refuses a request whose completion budget is 0.
-    """
-    n: int = 8
-
-    def complete(self, prompt, model, max_tokens, params):
-        if max_tokens is None or max_tokens <= 0:
-            raise ValueError("completion budget is 0: the prompt fills the context")
-        code = prompt.split(CODE_MARKER, 1)[1] if CODE_MARKER in prompt else prompt
-        ws = code.split()[: self.n]
-        return Answer(text=' "' + " ".join(ws) + '"\n', prompt_tokens=len(prompt.split()),
-                      completion_tokens=len(ws))
-
-
 @dataclass
 class WordSpanProvider(Provider):
     """Deterministic local provider whose answer depends on the whole code
     section: its first word, its last word and its word count, wrapped in
-    white space and quotes. Refuses a request whose completion budget is 0."""
+    white space and quotes."""
 
     def complete(self, prompt, model, max_tokens, params):
-        if max_tokens is None or max_tokens <= 0:
-            raise ValueError("completion budget is 0: the prompt fills the context")
         code = prompt.split(CODE_MARKER, 1)[1] if CODE_MARKER in prompt else prompt
         ws = code.split()
         body = f"{ws[0]} ... {ws[-1]} ({len(ws)} words)" if ws else "(0 words)"
@@ -159,6 +149,54 @@ def _validate(ans: Answer | None, is_chat: bool) -> str | None:
     return None
 
 
+def call_all(requests: list, fn, threads: int, timeout_s: float, late) -> list:
+    """K5/K6: ``fn`` of every request, ``threads`` at a time; ``late`` for a call
+    that has run for ``timeout_s``. Daemon threads take one request after the
+    other, so nothing waits in a queue with its clock running."""
+    results, state = [None] * len(requests), threading.Lock()
+    done, running, todo = queue.SimpleQueue(), {}, iter(range(len(requests)))
+
+    def worker(me):
+        while True:
+            with state:
+                k = next(todo, None) if me in running else None
+                if k is None:
+                    return
+                running[me] = (k, time.monotonic() + timeout_s)
+            answer = fn(requests[k])
+            done.put((me, k, answer))
+
+    def start():
+        me = object()
+        running[me] = (None, math.inf)
+        threading.Thread(target=worker, args=(me,), daemon=True).start()
+
+    with state:
+        for _ in range(min(threads, len(requests))):
+            start()
+    left = len(requests)
+    while left:
+        with state:
+            first = min((end for _, end in running.values()), default=math.inf)
+        try:
+            me, k, answer = done.get(timeout=max(0.0, min(first - time.monotonic(), 1.0)))
+            with state:
+                if me in running and running[me][0] == k:
+                    running[me] = (None, math.inf)
+            if results[k] is None:
+                results[k] = answer
+                left -= 1
+        except queue.Empty:
+            with state:
+                for me, (k, end) in list(running.items()):
+                    if end <= time.monotonic() and done.empty():
+                        del running[me]
+                        results[k] = late
+                        left -= 1
+                        start()
+    return results
+
+
 def annotate(requests: DataFrame, provider: Provider, *, keep: list[str] | None = None,
              prompt_col: str = "prompt", model_col: str = "model", budget_col: str = "max_tokens",
              threads: int = 2, timeout_s: float = CALL_TIMEOUT_S, partitions: int | None = None,
@@ -167,44 +205,50 @@ def annotate(requests: DataFrame, provider: Provider, *, keep: list[str] | None
 
     Output: ``keep`` columns + ``ANSWER_SCHEMA``. Failures (exceptions,
     deadline, invalid answers) fill ``error`` and leave ``answer`` NULL.
-    ``partitions`` optionally spreads requests by ``path`` first (K5) so that
-    a task's ``rows x seconds / threads`` stays within a deadline budget.
+    A request without completion budget is an error; the provider is not called.
+    ``threads`` calls of a task run at once. The clock of ``timeout_s`` starts
+    with the call; a call that passes it is left alone and its thread replaced,
+    so it holds up neither other calls nor the end of the task.
+    ``partitions`` optionally spreads requests by path and identifier first
+    (K5), so that one large file's units run in many tasks.
 
     ``durable=True`` materialises the answers with a reliable ``checkpoint``
     in the session's ``spark.checkpoint.dir``: later stages, retries after a
     lost executor, and several outputs read the saved answers instead of
-    calling the provider again. (Without it, Spark recomputes lost partitions,
-    calling the provider again for their units; all units of a path come from
-    one task, so a path never mixes answers of two attempts.)
+    calling the provider again. Without it, Spark recomputes lost partitions and
+    calls the provider again for their units, and so does every further output.
     """
     keep = list(keep or ["path", "identifier"])
     cols = keep + [prompt_col, model_col, budget_col]
-    req = requests.select(*[F.col(c) for c in dict.fromkeys(cols)])
+    req = requests.select(*[F.col(c) for c in dict.fromkeys(cols)],
+                          F.coalesce(route_model(model_col), F.lit(False)).alias("_chat"))
     if partitions:
-        req = req.repartition(partitions, "path") if "path" in keep else req.repartition(partitions)
+        by = [c for c in ("path", "identifier") if c in keep]
+        req = req.repartition(partitions, *by) if by else req.repartition(partitions)
     out_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in req.schema.fields if f.name in keep)
     out_schema = out_schema + ", " + ANSWER_SCHEMA
     threads = max(1, int(threads))
 
-    def call(prompt, model, budget):
-        is_chat = bool(model) and model.startswith("gpt-")
-        params = dict(REQUEST_PARAMS)
-        if is_chat:
-            params.pop("top_p")
-        ans = provider.complete(prompt, model, int(budget) if budget is not None else 0, params)
+    def call(prompt, model, budget, is_chat):
+        if budget is None or pd.isna(budget) or budget <= 0:
+            raise ValueError("completion budget is 0: the prompt fills the context")
+        params = {k: v for k, v in REQUEST_PARAMS.items() if not (is_chat and k == "top_p")}
+        ans = provider.complete(prompt, model, int(budget), params)
         err = _validate(ans, is_chat)
         if err:
             raise ValueError(err)
         return ans
 
-    def one(prompt, model, budget):
+    def one(request):
         try:
-            a = call(prompt, model, budget)
+            a = call(*request)
             return (a.text, a.finish_reason, a.prompt_tokens, a.completion_tokens,
                     a.prompt_tokens + a.completion_tokens, None)
         except Exception as exc:  # one unit's failure never stops the others
             return (None, None, None, None, None, f"{type(exc).__name__}: {exc}")
 
+    late = (None, None, None, None, None, f"deadline of {timeout_s:g}s exceeded")
+
     def frame(pdf: pd.DataFrame, rows: list) -> pd.DataFrame:
         res = pd.DataFrame(rows, columns=["answer", "finish_reason", "prompt_tokens",
                                           "completion_tokens", "total_tokens", "error"])
@@ -213,23 +257,9 @@ def annotate(requests: DataFrame, provider: Provider, *, keep: list[str] | None
         return pd.concat([pdf[keep].reset_index(drop=True), res], axis=1)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        if threads == 1:
-            # In-line calls; the deadline is the provider's own (K6).
-            for pdf in batches:
-                rows = [one(p, m, b) for p, m, b in zip(pdf[prompt_col], pdf[model_col], pdf[budget_col])]
-                yield frame(pdf, rows)
-            return
-        with cf.ThreadPoolExecutor(max_workers=threads) as pool:
-            for pdf in batches:
-                futs = [pool.submit(one, p, m, b) for p, m, b in
-                        zip(pdf[prompt_col], pdf[model_col], pdf[budget_col])]
-                rows = []
-                for fut in futs:
-                    try:
-                        rows.append(fut.result(timeout=timeout_s))
-                    except cf.TimeoutError:
-                        rows.append((None, None, None, None, None, f"deadline of {timeout_s:g}s exceeded"))
-                yield frame(pdf, rows)
+        for pdf in batches:
+            requests_ = list(zip(pdf[prompt_col], pdf[model_col], pdf[budget_col], pdf["_chat"]))
+            yield frame(pdf, call_all(requests_, one, threads, timeout_s, late))
 
     ship_package(requests.sparkSession)
     out = req.mapInPandas(run, out_schema)

@@ -25,6 +25,15 @@ class FlakyProvider(A.Provider):
         return A.Answer(text=f' "doc for {model} top_p={params.get("top_p")}" ', prompt_tokens=3, completion_tokens=2)
 
 
+class SleepyProvider(A.Provider):
+    """Hangs for identifiers containing 'slow'."""
+
+    def complete(self, prompt, model, max_tokens, params):
+        if "slow" in prompt:
+            time.sleep(30)
+        return A.Answer(text="ok")
+
+
 def requests(spark, idents, model="gpt-4"):
     rows = [("f.go", i, "go", "code", model, 100) for i in idents]
     df = spark.createDataFrame(rows, "path string, identifier string, language string, code string, "
@@ -75,11 +84,21 @@ def test_group_flatten_usage_dead_letter(spark):
     assert allbad.docs == [] and allbad.n_failed == 1
 
 
-def test_leading_words_provider_refuses_zero_budget():
-    p = A.LeadingWordsProvider(3)
-    assert p.complete("x\n---\none two three four", "m", 5, {}).text == ' "one two three"\n'
-    with pytest.raises(ValueError):
-        p.complete("x", "m", 0, {})
+def test_request_without_budget_is_not_sent(spark):
+    log = os.path.join(tempfile.mkdtemp(prefix="docquill-calls-"), "calls")
+    req = requests(spark, ["func:A", "func:B"]).withColumn("max_tokens", F.when(F.col("identifier") == "func:A", 0).otherwise(9))
+    got = {r.identifier: r.error for r in A.annotate(req, CountingProvider(log)).collect()}
+    assert "budget" in got["func:A"] and got["func:B"] is None and len(open(log).readlines()) == 1
+
+
+@pytest.mark.parametrize("threads", [1, 2])
+def test_slow_units_fail_alone_and_hold_up_nothing(spark, threads):
+    idents = [f"func:{'slow' if k in (0, 3) else 'Ok'}{k}" for k in range(8)]
+    t = time.perf_counter()
+    req = requests(spark, idents).coalesce(1)
+    got = {r.identifier: r.error for r in A.annotate(req, SleepyProvider(), threads=threads, timeout_s=1).collect()}
+    assert time.perf_counter() - t < 12
+    assert all(("deadline" in e) if "slow" in i else e is None for i, e in got.items()) and len(got) == 8
 
 
 SRC = "package p\n\nfunc A() {}\n\ttype T struct{}\nvar x = 1"
