@@ -2,9 +2,8 @@
 
 Two forms:
 
-* ``extract_by_rules``: a small rule table (kind, pattern, group) is crossed
-  with texts *by language* (an equi-join on a broadcast table of a few rows)
-  and each rule's matches are pulled with ``regexp_extract_all``.
+* ``extract_by_rules``: rules (language, kind, pattern, group) meet texts by
+  language, and each rule's matches are pulled with ``regexp_extract_all``.
 * Line scans for conventionally formatted Go and TypeScript (``go_units``,
   ``ts_units``): the text is split into lines inside the row, every line is
   classified with regexes, and the context a declaration needs (the
@@ -22,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docquill.functions._util import explode_rows
+from docquill.functions._util import bind, explode_rows
 from docquill.functions.identifiers import is_exported
 
 
@@ -30,25 +29,11 @@ from docquill.functions.identifiers import is_exported
 # C4: rule table extraction
 
 
-MAX_RULES = 1000
-
-
 def rules_table(spark: SparkSession, rules) -> DataFrame:
     """``extract_rules(language, kind, pattern, grp)`` from a list of tuples."""
     return spark.createDataFrame(list(rules), "language string, kind string, pattern string, grp int")
 
 
-def _rule_rows(rules) -> list[tuple]:
-    """Rules are parameters, not data: a DataFrame of them is read with a hard
-    size check (at most ``MAX_RULES`` rows)."""
-    if isinstance(rules, DataFrame):
-        rows = rules.select("language", "kind", "pattern", "grp").limit(MAX_RULES + 1).collect()
-        if len(rows) > MAX_RULES:
-            raise ValueError(f"more than {MAX_RULES} extraction rules")
-        return [tuple(r) for r in rows]
-    return [tuple(r) for r in rules]
-
-
 def _tagger(kind: str):
     return lambda name, i: F.struct(F.lit(kind).alias("kind"), name.alias("name"), i.alias("pos"))
 
@@ -58,60 +43,110 @@ def extract_by_rules(source: DataFrame, rules, text: str = "text",
     """C4: one row per match of any rule of the text's language.
 
     Output: keys, language, kind, name, identifier (``kind:name``) and, with
-    ``with_position``, the match ordinal ``pos`` per (text, rule). The rules
-    (a list of tuples or a small table) become one projection: per rule an
-    array of its matches, chosen by the row's language, so no join is needed
-    and every pattern is a literal that is compiled once.
+    ``with_position``, the match ordinal ``pos`` per (text, rule). A list of
+    rules becomes one projection: per rule an array of its matches, chosen by
+    the row's language, every pattern a literal that is compiled once. A table
+    of rules, of any size, is grouped by language and joined on it.
     """
     keys = list(keys)
-    per_rule = []
-    for language, kind, pattern, grp in _rule_rows(rules):
-        found = F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(int(grp)))
-        tagged = F.transform(found, _tagger(kind))
-        per_rule.append(F.when(F.col("language") == language, tagged))
-    empty = F.array().cast("array<struct<kind:string,name:string,pos:int>>")
-    matches = F.flatten(F.filter(F.array(*per_rule), lambda a: a.isNotNull())) if per_rule else empty
+    cols = [F.col("m.kind").alias("kind"), F.col("m.name").alias("name")] + ([F.col("m.pos").alias("pos")] if with_position else [])
+    if isinstance(rules, DataFrame):
+        per_lang = rules.groupBy("language").agg(F.collect_list(F.struct("kind", "pattern", F.col("grp").cast("int").alias("grp"))).alias("_rules"))
+        matches = F.flatten(F.transform("_rules", lambda r: F.transform(
+            F.regexp_extract_all(F.col(text), r["pattern"], r["grp"]),
+            lambda name, i: F.struct(r["kind"].alias("kind"), name.alias("name"), i.alias("pos")))))
+        source = source.join(per_lang, "language")
+    else:
+        empty = F.array().cast("array<struct<kind:string,name:string,pos:int>>")
+        per_rule = [F.when(F.col("language") == language, F.transform(
+            F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(int(grp))), _tagger(kind)))
+            for language, kind, pattern, grp in rules]
+        matches = F.flatten(F.filter(F.array(*per_rule), lambda a: a.isNotNull())) if per_rule else empty
     ex = explode_rows(source, matches, [*keys, "language"], value="m")
-    cols = [*keys, "language", F.col("m.kind").alias("kind"), F.col("m.name").alias("name")]
-    if with_position:
-        cols.append(F.col("m.pos").alias("pos"))
-    return ex.select(*cols).withColumn("identifier", F.concat(F.col("kind"), F.lit(":"), F.col("name")))
+    return ex.select(*keys, "language", *cols).withColumn("identifier", F.concat(F.col("kind"), F.lit(":"), F.col("name")))
 
 
 # --------------------------------------------------------------------------
 # Line classification helpers (shared by Go and TS scans)
 
-_LINE_COMMENT = r"^\s*//"
-_BLOCK_START = r"^\s*/\*"
-_BLOCK_END = r"\*/\s*$"
 
 
 def _lines(text: Column) -> Column:
     return F.split(text, "\n")
 
 
-def _is_comment_line(l: Column) -> Column:
-    return (F.regexp_like(l, F.lit(_LINE_COMMENT)) | F.regexp_like(l, F.lit(_BLOCK_START))
-            | F.regexp_like(l, F.lit(_BLOCK_END)) | F.regexp_like(l, F.lit(r"^\s*\*")))
-
-
 def _is_blank(l: Column) -> Column:
     return F.regexp_like(l, F.lit(r"^\s*$"))
 
 
-def _scan(lines: Column, features, init: Column, step) -> Column:
-    """Left fold over the lines of a text.
+def _comment_features(l: Column, opening: str, closing: str) -> list[Column]:
+    """What a line says about comments and brackets, for both states that it
+    can be read in: outside a block comment, and inside one."""
+    outside = F.regexp_replace(l, r"/\*.*?\*/|//.*$|/\*.*$", "")
+    inside = F.regexp_replace(F.regexp_replace(l, r"^.*?\*/", ""), r"/\*.*?\*/|//.*$|/\*.*$", "")
+    ends = F.contains(l, F.lit("*/"))
+    whole = F.regexp_like(outside, F.lit(r"^\s*$")) & ~_is_blank(l)
+    count = lambda c, chars: F.regexp_count(c, F.lit("[" + chars + "]"))
+    return [
+        _is_blank(l).alias("blank"), whole.alias("whole"), ends.alias("ends"),
+        F.regexp_like(inside, F.lit(r"^\s*$")).alias("whole_in"),
+        F.regexp_like(F.regexp_replace(l, r"/\*.*?\*/|//.*$", ""), F.lit(r"/\*")).alias("starts"),
+        count(outside, opening).alias("o"), count(outside, closing).alias("c"),
+        F.when(ends, count(inside, opening)).otherwise(0).alias("o_in"),
+        F.when(ends, count(inside, closing)).otherwise(0).alias("c_in"),
+    ]
+
+
+def _comment_state(acc, f):
+    """(line is a comment, opens, closes, in a block comment after the line)."""
+    inside = acc["in_block"]
+    comment = F.when(inside, ~f["ends"] | f["whole_in"]).otherwise(f["whole"])
+    return (comment, F.when(inside, f["o_in"]).otherwise(f["o"]), F.when(inside, f["c_in"]).otherwise(f["c"]),
+            F.when(inside, ~f["ends"]).otherwise(f["starts"]))
+
+
+# Lines that one inner fold of a scan takes.
+_CHUNK = 256
+
+
+def _scan(lines: Column, features, unit_t: str, start: dict[str, Column], step) -> Column:
+    """Left fold over the lines of a text; the array of units (``unit_t``) found.
 
     ``features(line)`` returns a STRUCT of the line's regex tests; it is
     evaluated once per line in a ``transform`` (lambdas get no common
     subexpression elimination, so tests used in several branches of the fold
-    would otherwise run repeatedly). ``step(acc, f, i)`` then only combines
-    those fields with the running state.
+    would otherwise run repeatedly). ``step(acc, f, i)`` only combines those
+    fields with the running state and returns (unit or NULL, new state).
+
+    A fold copies its whole state at every step. So an inner fold gathers the
+    units of ``_CHUNK`` lines, and an outer one appends them to all units once
+    per chunk.
     """
-    feats = F.transform(lines, features)
+    none = F.array().cast(f"array<{unit_t}>")
+    start = {"in_block": F.lit(False), "comment_start": F.lit(-1), "prev_comment": F.lit(False)} | start
+    state = lambda units, s: F.struct(units.alias("units"), *[s[c].alias(c) for c in start])
+
+    def line(acc, p):
+        unit, now = step(acc, p["f"], p["i"])
+        new = F.filter(F.array(unit), lambda u: u.isNotNull())
+        return state(F.concat(acc["units"], new), now)
+
+    def all_lines(pairs):
+        def chunk(acc, k):
+            found = F.aggregate(F.slice(pairs, k * _CHUNK + 1, F.lit(_CHUNK)), state(none, acc), line)
+            return bind(found, lambda r: state(F.concat(acc["units"], r["units"]), r))
+        chunks = F.sequence(F.lit(0), F.floor((F.size(pairs) - 1) / _CHUNK).cast("int"))
+        return F.aggregate(chunks, state(none, start), chunk, lambda acc: acc["units"])
+
     idx = F.sequence(F.lit(0), F.greatest(F.size(lines) - 1, F.lit(0)))
-    pairs = F.arrays_zip(feats.alias("f"), idx.alias("i"))
-    return F.aggregate(pairs, init, lambda acc, p: step(acc, p["f"], p["i"]))
+    return bind(F.arrays_zip(F.transform(lines, features).alias("f"), idx.alias("i")), all_lines)
+
+
+def _comment_run(acc, comment: Column, blank: Column, in_block: Column, i: Column) -> dict[str, Column]:
+    """State of the comment lines directly above the next line."""
+    start = F.when(comment, F.when(acc["comment_start"] >= 0, acc["comment_start"]).otherwise(i)).otherwise(F.lit(-1))
+    return {"in_block": in_block, "comment_start": start.cast("int"),
+            "prev_comment": F.when(blank & ~comment, acc["prev_comment"]).otherwise(comment)}
 
 
 # --------------------------------------------------------------------------
@@ -127,10 +162,6 @@ _GO_SPEC_IFACE = r"^\s+(\w+)(?:\[[^\]]*\])?\s+interface\s*\{\s*$"
 _GO_IFACE_METHOD = r"^\s+(\w+)\s*\("
 
 
-def _count(code: Column, chars: str) -> Column:
-    return F.length(code) - F.length(F.regexp_replace(code, "[" + chars + "]", ""))
-
-
 def go_units(source: DataFrame, text: str = "text", keys=("path",)) -> DataFrame:
     """C1+C2: Go units found by a line scan.
 
@@ -145,29 +176,25 @@ def go_units(source: DataFrame, text: str = "text", keys=("path",)) -> DataFrame
     never read as specs.
     """
     keys = list(keys)
-    unit_t = ("struct<identifier:string,kind:string,owner:string,name:string,line:int,col:int,"
+    unit_t = ("struct<identifier:string,kind:string,owner:string,name:string,line:int,col:int,comment_from:int,"
               "documented:boolean,enclosing_documented:boolean>")
-    init = F.struct(
-        F.array().cast(f"array<{unit_t}>").alias("units"),
-        F.lit(False).alias("prev_comment"),    # nearest non-blank line above is a comment
-        F.lit("").alias("block"),              # '', 'var', 'const' or 'type' (open group)
-        F.lit(False).alias("block_doc"),       # the group's declaration is documented
-        F.lit(0).alias("gdepth"),              # bracket depth inside the group
-        F.lit("").alias("iface"),              # interface whose methods are being read
-        F.lit(False).alias("iface_doc"),       # its declaration hides its methods
-    )
-
-    def unit(ident, kind, owner, name, i, col, documented, enc):
+    start = {
+        "block": F.lit(""),              # '', 'var', 'const' or 'type' (open group)
+        "block_doc": F.lit(False),       # the group's declaration is documented
+        "gdepth": F.lit(0),              # bracket depth inside the group
+        "iface": F.lit(""),              # interface whose methods are being read
+        "iface_doc": F.lit(False),       # its declaration hides its methods
+    }
+
+    def unit(ident, kind, owner, name, i, col, documented, enc, above):
         return F.struct(ident.alias("identifier"), kind.alias("kind"), owner.cast("string").alias("owner"),
                         name.alias("name"), i.cast("int").alias("line"), col.cast("int").alias("col"),
-                        documented.alias("documented"), enc.alias("enclosing_documented"))
+                        above.cast("int").alias("comment_from"), documented.alias("documented"),
+                        enc.alias("enclosing_documented"))
 
     def features(l):
-        code = F.regexp_replace(l, r"//.*$", "")
         return F.struct(
-            _is_blank(l).alias("blank"), _is_comment_line(l).alias("comment"),
-            F.when(_is_comment_line(l), 0).otherwise(_count(code, "{(")).alias("opens"),
-            F.when(_is_comment_line(l), 0).otherwise(_count(code, "})")).alias("closes"),
+            *_comment_features(l, "{(", "})"),
             F.regexp_like(l, F.lit(r"^\}")).alias("close_brace"),
             F.regexp_like(l, F.lit(r"^\)")).alias("close_paren"),
             F.regexp_like(l, F.lit(_GO_FUNC)).alias("func_m"),
@@ -185,9 +212,11 @@ def go_units(source: DataFrame, text: str = "text", keys=("path",)) -> DataFrame
         )
 
     def step(acc, f, i):
-        blank, comment, opens, closes = f["blank"], f["comment"], f["opens"], f["closes"]
+        blank = f["blank"]
+        comment, opens, closes, in_block = _comment_state(acc, f)
+        above = F.when(acc["comment_start"] >= 0, acc["comment_start"]).otherwise(i)
         in_group = acc["block"] != ""
-        top = ~in_group & (acc["iface"] == "")
+        top = ~in_group & (acc["iface"] == "") & ~acc["in_block"]
         in_top_iface = ~in_group & (acc["iface"] != "")
         top_iface_close = in_top_iface & f["close_brace"]
         group_close = in_group & (acc["gdepth"] == 0) & f["close_paren"]
@@ -203,20 +232,19 @@ def go_units(source: DataFrame, text: str = "text", keys=("path",)) -> DataFrame
         method_enc = F.when(in_group, acc["block_doc"]).otherwise(acc["iface_doc"])
         new_unit = (
             F.when(top & func_m, unit(F.concat(F.lit("func:"), func_path), F.lit("func"),
-                                      F.when(recv != "", recv), fname, i, F.lit(0), doc, F.lit(False)))
+                                      F.when(recv != "", recv), fname, i, F.lit(0), doc, F.lit(False), above))
             .when(top & (group_m == "") & (type_m != ""),
-                  unit(F.concat(F.lit("type:"), type_m), F.lit("type"), none, type_m, i, F.lit(0), doc, F.lit(False)))
+                  unit(F.concat(F.lit("type:"), type_m), F.lit("type"), none, type_m, i, F.lit(0), doc, F.lit(False), above))
             .when(top & (group_m == "") & (var_m != ""),
-                  unit(F.concat(F.lit("var:"), var_m), F.lit("var"), none, var_m, i, F.lit(0), doc, F.lit(False)))
+                  unit(F.concat(F.lit("var:"), var_m), F.lit("var"), none, var_m, i, F.lit(0), doc, F.lit(False), above))
             .when(at_spec & acc["block"].isin("var", "const") & (spec_m != ""),
-                  unit(F.concat(F.lit("var:"), spec_m), F.lit("var"), none, spec_m, i, indent, doc, acc["block_doc"]))
+                  unit(F.concat(F.lit("var:"), spec_m), F.lit("var"), none, spec_m, i, indent, doc, acc["block_doc"], above))
             .when(at_spec & (acc["block"] == "type") & (spec_m != ""),
-                  unit(F.concat(F.lit("type:"), spec_m), F.lit("type"), none, spec_m, i, indent, doc, acc["block_doc"]))
+                  unit(F.concat(F.lit("type:"), spec_m), F.lit("type"), none, spec_m, i, indent, doc, acc["block_doc"], above))
             .when(in_method_zone & ~blank & ~comment & (meth_m != ""),
                   unit(F.concat(F.lit("func:"), acc["iface"], F.lit("."), meth_m), F.lit("func"), acc["iface"],
-                       meth_m, i, indent, doc, method_enc))
+                       meth_m, i, indent, doc, method_enc, above))
         )
-        units = F.when(new_unit.isNotNull(), F.concat(acc["units"], F.array(new_unit))).otherwise(acc["units"])
         new_gdepth = F.when(top & (group_m != ""), F.lit(0)).when(group_close, F.lit(0)) \
             .when(in_group, acc["gdepth"] + opens - closes).otherwise(F.lit(0))
         block = F.when(group_close, F.lit("")).when(top & (group_m != ""), group_m).otherwise(acc["block"])
@@ -230,12 +258,10 @@ def go_units(source: DataFrame, text: str = "text", keys=("path",)) -> DataFrame
         iface_doc = (F.when(top & (iface_top != ""), doc)
                      .when(at_spec & (iface_spec != ""), acc["block_doc"])
                      .otherwise(acc["iface_doc"]))
-        prev_comment = F.when(blank, acc["prev_comment"]).otherwise(comment)
-        return F.struct(units.alias("units"), prev_comment.alias("prev_comment"), block.alias("block"),
-                        block_doc.alias("block_doc"), new_gdepth.cast("int").alias("gdepth"),
-                        iface.alias("iface"), iface_doc.alias("iface_doc"))
+        return new_unit, _comment_run(acc, comment, blank, in_block, i) | {
+            "block": block, "block_doc": block_doc, "gdepth": new_gdepth.cast("int"), "iface": iface, "iface_doc": iface_doc}
 
-    found = _scan(_lines(F.col(text)), features, init, step)["units"]
+    found = _scan(_lines(F.col(text)), features, unit_t, start, step)
     out = explode_rows(source, found, keys, value="u").select(*keys, "u.*")
     # a multi-name spec yields its first name only: the regex takes the first word.
     out = out.withColumn("exported", is_exported(F.col("identifier")))
@@ -253,30 +279,25 @@ _TS_MEMBER = (r"^\s+((?:(?:public|private|protected|static|readonly|abstract|asy
 
 def ts_units(source: DataFrame, text: str = "text", keys=("path",)) -> DataFrame:
     """Exported TypeScript declarations and the public members of
-    exported classes and interfaces, found by a line scan with brace depth.
+    exported classes, interfaces and type literals, found by a line scan with brace depth.
 
     Kinds: var (first name of a const/let/var statement), func, class, iface,
     type, method, prop. Nothing inside function bodies is reported. Columns as
     ``go_units`` plus ``public``.
     """
     keys = list(keys)
-    unit_t = ("struct<identifier:string,kind:string,owner:string,name:string,line:int,col:int,"
+    unit_t = ("struct<identifier:string,kind:string,owner:string,name:string,line:int,col:int,comment_from:int,"
               "documented:boolean,public:boolean>")
-    init = F.struct(
-        F.array().cast(f"array<{unit_t}>").alias("units"),
-        F.lit(False).alias("prev_comment"),
-        F.lit(0).alias("depth"),
-        F.lit("").alias("owner"),          # exported class/interface whose body we are in
-        F.lit(-1).alias("owner_depth"),
-    )
+    start = {
+        "depth": F.lit(0),
+        "owner": F.lit(""),          # exported class, interface or type whose body we are in
+        "owner_depth": F.lit(-1),
+    }
 
     def features(l):
-        code = F.regexp_replace(l, r"/\*.*?\*/|//.*$", "")
         kw = F.regexp_extract(l, _TS_DECL, 1)
         return F.struct(
-            _is_blank(l).alias("blank"), _is_comment_line(l).alias("comment"),
-            F.when(_is_comment_line(l), 0).otherwise(_count(code, "{")).alias("opens"),
-            F.when(_is_comment_line(l), 0).otherwise(_count(code, "}")).alias("closes"),
+            *_comment_features(l, "{", "}"),
             (F.when(kw.isin("function", "function*"), F.lit("func"))
              .when(kw == "class", F.lit("class"))
              .when(kw == "interface", F.lit("iface"))
@@ -291,10 +312,12 @@ def ts_units(source: DataFrame, text: str = "text", keys=("path",)) -> DataFrame
         )
 
     def step(acc, f, i):
-        blank, comment, opens, closes = f["blank"], f["comment"], f["opens"], f["closes"]
+        blank = f["blank"]
+        comment, opens, closes, in_block = _comment_state(acc, f)
+        above = F.when(acc["comment_start"] >= 0, acc["comment_start"]).otherwise(i)
         depth = acc["depth"]
         kind, nm = f["kind"], f["nm"]
-        top_decl = (depth == 0) & kind.isNotNull()
+        top_decl = (depth == 0) & kind.isNotNull() & ~acc["in_block"]
         in_owner = (acc["owner"] != "") & (depth == acc["owner_depth"] + 1)
         mods, mname, after = f["mods"], f["mname"], f["after"]
         is_member = in_owner & (mname != "") & ~comment & ~f["statement"]
@@ -307,7 +330,7 @@ def ts_units(source: DataFrame, text: str = "text", keys=("path",)) -> DataFrame
         def unit(ident, k, owner, name, pub):
             return F.struct(ident.alias("identifier"), k.alias("kind"), owner.cast("string").alias("owner"),
                             name.alias("name"), i.cast("int").alias("line"), col.cast("int").alias("col"),
-                            doc.alias("documented"), pub.alias("public"))
+                            above.cast("int").alias("comment_from"), doc.alias("documented"), pub.alias("public"))
 
         new_unit = (
             F.when(top_decl, unit(F.concat(kind, F.lit(":"), nm), kind, F.lit(None), nm, F.lit(True)))
@@ -316,19 +339,16 @@ def ts_units(source: DataFrame, text: str = "text", keys=("path",)) -> DataFrame
             .when(is_prop, unit(F.concat(F.lit("prop:"), acc["owner"], F.lit("."), mname),
                                 F.lit("prop"), acc["owner"], mname, public))
         )
-        units = F.when(new_unit.isNotNull(), F.concat(acc["units"], F.array(new_unit))).otherwise(acc["units"])
         new_depth = depth + opens - closes
-        opens_owner = top_decl & kind.isin("class", "iface") & (opens > closes)
+        opens_owner = top_decl & kind.isin("class", "iface", "type") & (opens > closes)
         owner = (F.when(opens_owner, nm)
                  .when((acc["owner"] != "") & (new_depth <= acc["owner_depth"]), F.lit(""))
                  .otherwise(acc["owner"]))
         owner_depth = F.when(opens_owner, depth).when(owner == "", F.lit(-1)).otherwise(acc["owner_depth"])
-        prev_comment = F.when(blank, acc["prev_comment"]).otherwise(comment)
-        return F.struct(units.alias("units"), prev_comment.alias("prev_comment"),
-                        new_depth.cast("int").alias("depth"), owner.alias("owner"),
-                        owner_depth.cast("int").alias("owner_depth"))
+        return new_unit, _comment_run(acc, comment, blank, in_block, i) | {
+            "depth": new_depth.cast("int"), "owner": owner, "owner_depth": owner_depth.cast("int")}
 
-    found = _scan(_lines(F.col(text)), features, init, step)["units"]
+    found = _scan(_lines(F.col(text)), features, unit_t, start, step)
     return explode_rows(source, found, keys, value="u").select(*keys, "u.*")
 
 
@@ -341,33 +361,34 @@ def existing_comment(source: DataFrame, units: DataFrame, text: str = "text", ke
     """The comment block directly above each unit (NULL if none), and the
     line where it starts (``comment_from``; equals ``line`` when none).
 
-    Works on the unit's own row: the text's lines are split once per joined
-    row and walked upward from the unit's line with an ``aggregate`` over the
-    preceding-line indices, so no line is shuffled.
+    ``units`` with a ``comment_from`` column, as the scans give it, need no
+    further look at the lines; else it is taken from a scan of the unit's
+    language (``path`` and ``line`` decide). The units of a text are joined to
+    it as one array, so a text is copied once, whatever its number of units.
     """
     keys = list(keys)
-    j = units.join(source.select(*keys, text), keys, "inner").withColumn("_lines", F.split(F.col(text), "\n"))
-    lines = F.col("_lines")  # a column: the walk below must not re-split the text per step
-    # indices line-1 down to 0, stop at the first non-comment line
-    idx = F.when(F.col("line") > 0, F.sequence(F.col("line") - 1, F.lit(0), F.lit(-1))).otherwise(
-        F.array().cast("array<int>"))
-    init = F.struct(F.lit(True).alias("open"), F.col("line").alias("start"))
-
-    def step(acc, k):
-        l = F.get(lines, k)
-        is_c = _is_comment_line(l)
-        keep = acc["open"] & is_c
-        return F.struct(keep.alias("open"), F.when(keep, k).otherwise(acc["start"]).alias("start"))
-
-    start = F.aggregate(idx, init, step)["start"]
-    j = j.withColumn("comment_from", start.cast("int"))
-    block = F.slice(lines, F.col("comment_from") + 1, F.col("line") - F.col("comment_from"))
-    if strip_markers:
-        block = F.transform(block, lambda l: F.regexp_replace(
-            l, r"^\s*\*/\s*$|^\s*(?://+ ?|/\*\*? ?|\*(?!/) ?)|\s*\*/\s*$", ""))
-        block = F.filter(block, lambda l: F.length(F.trim(l)) > 0)
-    comment = F.when(F.col("comment_from") < F.col("line"), F.array_join(block, "\n"))
-    return j.withColumn("comment", comment).drop(text, "_lines")
+    if "comment_from" not in units.columns:
+        texts = source.select(*keys, text)
+        every = go_units(texts, text, keys).select(*keys, "line", "comment_from").unionByName(
+            ts_units(texts, text, keys).select(*keys, "line", "comment_from"))
+        units = units.join(every.groupBy(*keys, "line").agg(F.min("comment_from").alias("comment_from")), [*keys, "line"], "left")
+        units = units.withColumn("comment_from", F.coalesce("comment_from", "line"))
+    own = [c for c in units.columns if c not in keys]
+    grouped = units.groupBy(*keys).agg(F.collect_list(F.struct(*own)).alias("_units"))
+    j = source.select(*keys, F.split(text, "\n").alias("_lines")).join(grouped, keys)
+    lines = F.col("_lines")
+
+    def comment_of(u):
+        block = F.slice(lines, u["comment_from"] + 1, u["line"] - u["comment_from"])
+        if strip_markers:
+            block = F.transform(block, lambda l: F.regexp_replace(
+                l, r"^\s*\*/\s*$|^\s*(?://+ ?|/\*\*? ?|\*(?!/) ?)|\s*\*/\s*$", ""))
+            block = F.filter(block, lambda l: F.length(F.trim(l)) > 0)
+        return F.when(u["comment_from"] < u["line"], F.array_join(block, "\n"))
+
+    rows = F.transform("_units", lambda u: F.struct(u.alias("u"), comment_of(u).alias("comment")))
+    out = explode_rows(j, rows, keys, value="r")
+    return out.select(*keys, *[F.col(f"r.u.{c}").alias(c) for c in own], "r.comment").select(*units.columns, "comment")
 
 
 def locate_units(units: DataFrame, wanted: DataFrame, keys=("path", "identifier")) -> tuple[DataFrame, DataFrame]:
