@@ -48,7 +48,7 @@ def attach_model(df: DataFrame, models: DataFrame | None = None, model_col: str
 
     With the built-in table (``models=None``) the lookup is a map literal of
     ten entries: no join at all. A custom ``models`` table is a small
-    dimension table and is broadcast into a left join.
+    dimension table; the planner decides how to join it.
     """
     if models is None:
         lookup = F.create_map(*[x for name, ctx in MODEL_LIMITS if name != "default"
@@ -58,7 +58,7 @@ def attach_model(df: DataFrame, models: DataFrame | None = None, model_col: str
     default = F.lit(DEFAULT_CTX)
     m = models.where(F.col("model") != "default").select(
         F.col("model").alias("_m_model"), F.col("ctx_tokens").alias("_m_ctx"))
-    out = df.join(F.broadcast(m), col_of(model_col) == F.col("_m_model"), "left")
+    out = df.join(m, col_of(model_col) == F.col("_m_model"), "left")
     return out.withColumn("ctx_tokens", F.coalesce(F.col("_m_ctx"), default)).drop("_m_model", "_m_ctx")
 
 
@@ -199,19 +199,28 @@ def _ladder_staged(df: DataFrame, text_col: str, rungs: Sequence[Rung], lim: Col
 
 
 def go_rungs() -> list[Rung]:
-    """Default Go reductions, in order: unexported bodies and comments, exported
-    bodies, exported comments, package comment. Line-based; aimed at
-    conventionally formatted source (bodies end with a ``}`` in column 0)."""
-    body_unexp = r"(?ms)^(func (?:\([^)]*\) )?[a-z_][^\n]*?) \{\n.*?^\}"
-    body_exp = r"(?ms)^(func (?:\([^)]*\) )?[A-Z][^\n]*?) \{\n.*?^\}"
-    comment_unexp = r"(?m)^(?://[^\n]*\n)+(?=(?:func (?:\([^)]*\) )?|type |var |const )[a-z_])"
-    comment_exp = r"(?m)^(?://[^\n]*\n)+(?=(?:func (?:\([^)]*\) )?|type |var |const )[A-Z])"
-    pkg_comment = r"(?m)^(?://[^\n]*\n)+(?=package )"
+    """Default Go reductions, in order: bodies and comments of unexported
+    functions and comments of unexported types, exported bodies, exported
+    comments, package comment. Comments of variables and constants stay.
+    Line-based; aimed at conventionally formatted source (a body ends on its
+    own line or with a ``}`` in column 0)."""
+    func = r"func (?:\([^)]*\) )?"
+    comment = r"(?:^//[^\n]*\n|^/\*[^*]*\*+(?:[^/*][^*]*\*+)*/[ \t]*\n)+"
+
+    def bodies(first):
+        head = r"(?m)^(" + func + first + r"[^\n]*?) \{"
+        return lambda c: F.regexp_replace(F.regexp_replace(c, head + r"[^\n]*\}[ \t]*$", "$1"), head + r"\n(?s:.*?)^\}", "$1")
+
+    def comments(before):
+        return lambda c: F.regexp_replace(c, r"(?m)" + comment + "(?=" + before + ")", "")
+
+    low, high = "[a-z_]", "[A-Z]"
+    of = lambda first: "(?:" + func + "|type )" + first
     return [
-        ("unexported", lambda c: F.regexp_replace(F.regexp_replace(c, body_unexp, "$1"), comment_unexp, "")),
-        ("exported_bodies", lambda c: F.regexp_replace(c, body_exp, "$1")),
-        ("exported_comments", lambda c: F.regexp_replace(c, comment_exp, "")),
-        ("package_comment", lambda c: F.regexp_replace(c, pkg_comment, "")),
+        ("unexported", lambda c: comments(of(low))(bodies(low)(c))),
+        ("exported_bodies", bodies(high)),
+        ("exported_comments", comments(of(high))),
+        ("package_comment", comments("package ")),
     ]
 
 

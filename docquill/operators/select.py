@@ -16,9 +16,12 @@ from pyspark.sql import functions as F
 from docquill.functions._util import col_of
 from docquill.functions.globs import globs_regex
 
-# Default extensions, and globs excluded on every walk
+# Extension to language registrations of the two built-in languages.
+DEFAULT_LANGUAGES = [(".go", "go")] + [(ext, "ts") for ext in (".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs")]
+# Without a choice, the registered extensions are read.
+DEFAULT_EXTENSIONS = [ext for ext, _ in DEFAULT_LANGUAGES]
+# Globs excluded on every walk
 # (hidden names, build output, dependencies, test data, generated code).
-DEFAULT_EXTENSIONS = [".go", ".ts"]
 DEFAULT_EXCLUDE = [
     "**/.*/**",
     "**/dist/**",
@@ -30,8 +33,6 @@ DEFAULT_EXCLUDE = [
     "**/*.pb.go",
 ]
 INTERNAL_EXCLUDE = "**/internal/**/*.go"
-# Extension to language registrations of the two built-in languages.
-DEFAULT_LANGUAGES = [(".go", "go"), (".ts", "ts")]
 
 
 def extension(path) -> Column:
@@ -104,11 +105,10 @@ def languages_table(spark: SparkSession, registrations=None) -> DataFrame:
 def dispatch_language(df: DataFrame, languages: DataFrame, path: str = "path") -> tuple[DataFrame, DataFrame]:
     """Language by extension. Returns (dispatched, skipped).
 
-    ``languages`` is a registration table of a handful of rows, so it is
-    broadcast; files are never shuffled for this join.
+    ``languages`` is a registration table; the planner broadcasts it while it is small.
     """
     keyed = df.withColumn("_ext", extension(path))
-    langs = F.broadcast(languages.select(F.col("ext").alias("_ext"), "language"))
+    langs = languages.select(F.col("ext").alias("_ext"), "language")
     hit = keyed.join(langs, "_ext", "inner").drop("_ext")
     skipped = keyed.join(langs, "_ext", "left_anti").withColumnRenamed("_ext", "ext")
     return hit, skipped
@@ -156,13 +156,12 @@ def first_n_files(df: DataFrame, n: int, path: str = "path") -> DataFrame:
     """Rows of the first ``n`` distinct paths in path order; 0 keeps all.
 
     The n paths come from a top-n over distinct paths (map-side dedup, then a
-    bounded sort); the list of n keys is broadcast into a semi-join, so the
-    main rows are not shuffled.
+    bounded sort) that the rows are semi-joined to.
     """
     if n <= 0:
         return df
     first = df.select(path).distinct().orderBy(path).limit(n)
-    return df.join(F.broadcast(first), path, "left_semi")
+    return df.join(first, path, "left_semi")
 
 
 def union_findings(dfs: Sequence[DataFrame]) -> DataFrame:

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docquill.functions._util import bind, explode_rows
+from docquill.functions._util import bind, col_of, explode_rows
 from docquill.functions.identifiers import is_exported
 
 
@@ -403,3 +403,31 @@ def locate_units(units: DataFrame, wanted: DataFrame, keys=("path", "identifier"
                                                                        F.col("identifier")))
         .otherwise(F.concat(F.lit("node not found: "), F.col("identifier"))))
     return found, missing
+
+
+# --------------------------------------------------------------------------
+# Comments of declarations
+
+
+def clear_comments(text) -> Column:
+    """Go code without the comments of its package clause, declarations
+    and the specs of ``var``, ``const`` and ``type`` groups. Comments inside
+    bodies, after code, and in raw strings stay."""
+    def features(l):
+        code = F.regexp_replace(l, r"/\*.*?\*/|//.*$|/\*.*$", "")
+        return F.struct(*_comment_features(l, "{(", "})"), l.alias("line"),
+                        (F.regexp_count(code, F.lit("`")) % 2 == 1).alias("tick"),
+                        F.regexp_like(l, F.lit(r"^(?:var|const|type)\s*\(\s*$")).alias("group"))
+
+    def step(acc, f, i):
+        comment, opens, closes, in_block = _comment_state(acc, f)
+        raw = acc["raw"]
+        depth = F.when(raw, acc["depth"]).otherwise(acc["depth"] + opens - closes)
+        drop = comment & ~raw & ((acc["depth"] == 0) | (acc["group"] & (acc["depth"] == 1)))
+        state = _comment_run(acc, comment, f["blank"], F.when(raw, F.lit(False)).otherwise(in_block), i)
+        return F.when(~drop, f["line"]), state | {
+            "depth": depth.cast("int"), "raw": F.when(f["tick"], ~raw).otherwise(raw),
+            "group": F.when(acc["depth"] == 0, f["group"]).otherwise(acc["group"])}
+
+    start = {"depth": F.lit(0), "raw": F.lit(False), "group": F.lit(False)}
+    return F.array_join(_scan(_lines(col_of(text)), features, "string", start, step), "\n")

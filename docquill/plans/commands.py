@@ -7,9 +7,9 @@
 * ``pos``: line and column of identifiers.
 * ``minify``: shrink texts to a token limit, with the trace of steps.
 
-Go files get ``//`` comments that replace an existing comment block; TypeScript
-files get ``/** */`` blocks inserted at the unit (an existing comment is
-kept, as the reference's TypeScript patcher does).
+Go files get ``//`` comments that replace an existing comment block;
+TypeScript and JavaScript files get ``/** */`` blocks inserted at the unit,
+wrapped to the width its indent leaves (an existing comment is kept).
 """
 
 from __future__ import annotations
@@ -27,11 +27,11 @@ from docquill.operators.annotate import Provider, annotate, build_prompt, dead_l
 from docquill.operators.budget import (DEFAULT_MAX_TOKENS, MODEL_LIMITS, attach_model, completion_budget,
                                        go_rungs, shrink_to_budget, ts_rungs)
 from docquill.operators.patch import apply_edits, replace_comments
-from docquill.operators.units import existing_comment, go_units, locate_units, ts_units
+from docquill.operators.units import clear_comments, go_units, locate_units, ts_units
 from docquill.sources.sinks import write_patched
 from docquill.sources.tables import read_tree
 
-UNIT_COLUMNS = ["path", "language", "identifier", "kind", "name", "line", "col", "documented", "exported"]
+UNIT_COLUMNS = ["path", "language", "identifier", "kind", "name", "line", "col", "comment_from", "documented", "exported"]
 
 
 def source_files(spark: SparkSession, root: str, exts=None, include=None, exclude=None,
@@ -56,8 +56,9 @@ def find(spark: SparkSession, root: str, *, exts=None, include=None, exclude=Non
          kinds: Sequence[str] | None = tuple(DEFAULT_KINDS), include_documented: bool = False,
          include_tests: bool = False, languages=None, src: DataFrame | None = None) -> DataFrame:
     """Findings ``(path, language, identifier, line, col, ...)`` in path and
-    identifier order: exported, public units of the selected kinds, without
-    a comment unless ``include_documented``, without Go tests unless asked.
+    identifier order: exported, public units without a comment unless
+    ``include_documented``, without Go tests unless asked. ``kinds`` selects
+    among TypeScript symbols; Go units of every kind count.
     ``src`` passes already selected files (then the path options are unused)."""
     if src is None:
         src = source_files(spark, root, exts, include, exclude, exclude_internal, languages)
@@ -65,62 +66,62 @@ def find(spark: SparkSession, root: str, *, exts=None, include=None, exclude=Non
     u = SEL.only_public(u)
     u = SEL.exclude_tests(u, enabled=not include_tests)
     u = SEL.only_undocumented(u, include_documented)
-    u = SEL.filter_kinds(u, list(kinds) if kinds else None)
+    if kinds:
+        u = u.where((F.col("language") != "ts") | F.col("kind").isin(list(kinds)))
     u = SEL.match_any(u, "identifier", match)
     return SEL.order_findings(u)
 
 
 def generate(spark: SparkSession, root: str, provider: Provider, *, model: str = "gpt-3.5-turbo",
              max_tokens: int = DEFAULT_MAX_TOKENS, footer: str | None = None, limit_files: int = 0,
-             out: str | None = None, threads: int = 2, durable: bool = True,
-             **find_options) -> tuple[DataFrame, DataFrame]:
+             clear: bool = False, out: str | None = None, threads: int = 2, partitions: int | None = None,
+             src: DataFrame | None = None, **find_options) -> tuple[DataFrame, DataFrame]:
     """Document the findings of ``find`` with ``provider``.
 
     Each file is shrunk once to the model's context (Go rungs must fit, else
-    the file's units go to the dead letters; TypeScript rungs are best
-    effort), joined to its findings on ``path``, prompted, answered, cleaned
-    and formatted, then all edits of a file are applied in one pass.
+    the file's units go to the dead letters without a call; TypeScript rungs
+    are best effort) and, with ``clear``, freed of Go declaration comments. It
+    meets its findings on ``path``; they are prompted, answered once (the
+    answers are checkpointed), cleaned and formatted, then all edits of a file
+    are applied in one pass. ``src`` passes already selected files.
     Returns ``(preview, dead_letter)``; with ``out`` the patched files are
     written there as parquet (never over ``root``).
     """
     selection = {k: find_options.pop(k) for k in ("exts", "include", "exclude", "exclude_internal", "languages")
                  if k in find_options}
-    src = source_files(spark, root, **selection)
+    if src is None:
+        src = source_files(spark, root, **selection)
     findings = find(spark, root, src=src, **find_options)
     findings = SEL.first_n_files(findings, limit_files)
     ctx = dict(MODEL_LIMITS).get(model, dict(MODEL_LIMITS)["default"])
     go = shrink_to_budget(src.where(F.col("language") == "go"), "text", go_rungs(), ctx)
-    ts = shrink_to_budget(src.where(F.col("language") == "ts"), "text", ts_rungs(), ctx, on_overflow="keep")
-    shrunk = go.unionByName(ts).select("path", F.col("text_min").alias("code"),
-                                       F.col("error").alias("shrink_error"))
-    req = findings.select("path", "language", "identifier", "line", "col").join(shrunk, "path")
+    ts = shrink_to_budget(src.where(F.col("language") != "go"), "text", ts_rungs(), ctx, on_overflow="keep")
+    cleared = clear_comments("text_min") if clear else F.col("text_min")
+    shrunk = go.select("path", cleared.alias("code"), F.col("error").alias("shrink_error")).unionByName(
+        ts.select("path", F.col("text_min").alias("code"), F.lit(None).cast("string").alias("shrink_error")))
+    place = ["path", "language", "identifier", "line", "col", "comment_from"]
+    req = findings.select(*place).join(shrunk, "path")
+    too_long = req.where(F.col("shrink_error").isNotNull()).select("path", "identifier", F.col("shrink_error").alias("error"))
+    req = req.where(F.col("shrink_error").isNull())
     req = req.withColumn("prompt", build_prompt("identifier", "language", "path", "code"))
     req = attach_model(req.withColumn("model", F.lit(model)))
-    req = req.withColumn("max_tokens", F.when(F.col("code").isNotNull(),
-                                              completion_budget(token_count("prompt"), "ctx_tokens", max_tokens))
-                         .otherwise(F.lit(0)))
-    answers = annotate(req, provider, keep=["path", "language", "identifier", "line", "col", "model"],
-                       threads=threads, durable=durable)
+    req = req.withColumn("max_tokens", completion_budget(token_count("prompt"), "ctx_tokens", max_tokens))
+    answers = annotate(req, provider, keep=[*place, "model"], threads=threads, partitions=partitions, durable=True)
     docs = finish_docs(answers, footer)
-    bad = dead_letter(docs).select("path", "identifier", "error")
+    bad = dead_letter(docs).select("path", "identifier", "error").unionByName(too_long)
 
     good = docs.where(F.col("error").isNull())
-    go_docs = good.where(F.col("language") == "go")
-    go_src = src.where(F.col("language") == "go")
-    blocks = existing_comment(go_src.select("path", "text"), go_docs.select("path", "identifier", "line", "col"))
-    go_edits = go_docs.join(blocks.select("path", "identifier", "comment_from"), ["path", "identifier"]) \
-        .select("path", "line", F.col("comment_from").alias("from_line"), "identifier",
-                T.line_comment("text").alias("text"))
-    go_preview = replace_comments(go_src, go_edits).withColumn("n_applied", F.lit(None).cast("int")) \
-        .withColumn("n_missed", F.lit(0))
-    ts_docs = good.where(F.col("language") == "ts")
-    ts_edits = ts_docs.select("path", "line", "col", "identifier", T.block_comment("text", 0).alias("text"))
-    ts_preview, _ = apply_edits(src.where(F.col("language") == "ts"), ts_edits)
+    go_edits = good.where(F.col("language") == "go").select(
+        "path", "line", F.col("comment_from").alias("from_line"), "identifier", T.line_comment("text").alias("text"))
+    go_preview = replace_comments(src.where(F.col("language") == "go"), go_edits).withColumn("n_missed", F.lit(0))
+    ts_edits = good.where(F.col("language") != "go").select(
+        "path", "line", "col", "identifier", T.block_comment("text", F.col("col")).alias("text"))
+    ts_preview, misses = apply_edits(src.where(F.col("language") != "go"), ts_edits)
     cols = ["path", "language", "before", "after", "n_missed"]
     preview = go_preview.select(*cols).unionByName(ts_preview.select(*cols))
     if out:
         write_patched(preview, out, source_location=root)
-    return preview, bad
+    return preview, bad.unionByName(misses.select("path", "identifier", "error"))
 
 
 def pos(units: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:

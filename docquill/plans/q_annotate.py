@@ -134,8 +134,8 @@ def q_wrap_noisy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_comment_styles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """I7, I8, I9, I10 on assistant turns wrapped as generated comments."""
-    c = load(spark, sf_dir, "conversations").where(F.col("role") == "assistant")
+    """I7, I8, I9, I10 on all turns wrapped as generated comments."""
+    c = load(spark, sf_dir, "conversations")
     raw = F.concat(F.lit("/**\n * "), F.replace(F.col("text"), F.lit("\n"), F.lit("\n * ")), F.lit("\n */"))
     indented = F.concat(F.lit("\t"), F.replace(F.col("text"), F.lit("\n"), F.lit("\n    ")))
     return c.select("conv_id", "turn",
@@ -320,7 +320,7 @@ _STRIPPED = f"""{S.reflow(S.trim_ws("array_to_string(list_filter(list_transform(
 ORACLE["comment_styles"] = f"""WITH c AS (
   SELECT conv_id, turn, text, '/**' || chr(10) || ' * ' || replace(text, chr(10), chr(10) || ' * ') || chr(10) || ' */' AS raw,
          chr(9) || replace(text, chr(10), chr(10) || '    ') AS indented
-  FROM conversations WHERE role = 'assistant'),
+  FROM conversations),
 s AS (SELECT *, {_STRIPPED} AS stripped FROM c),
 w AS (SELECT *, string_split({S.wrap('stripped', 73)}, chr(10)) AS wl FROM s),
 d AS (SELECT *, list_transform(string_split(indented, chr(10)),

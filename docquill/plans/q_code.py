@@ -16,7 +16,7 @@ from docquill.operators.budget import MODEL_LIMITS as B_LIMITS
 from docquill.operators.annotate import PROMPT_TEMPLATES
 from docquill.plans import sqlgen as S
 from docquill.operators import select as SEL
-from docquill.operators.units import existing_comment, go_units, locate_units, ts_units
+from docquill.operators.units import clear_comments, existing_comment, go_units, locate_units, ts_units
 from docquill.sources.tables import load
 
 
@@ -142,7 +142,7 @@ def q_strip_comments(spark, sf_dir):
 def q_clear_comments(spark, sf_dir):
     """Go code with its comments removed before prompting."""
     src = go_code(spark, sf_dir)
-    return src.select("path", F.md5(T.clear_comments("text")).alias("cleared_md5"))
+    return src.select("path", F.md5(clear_comments("text")).alias("cleared_md5"))
 
 
 CODE_MODEL = "gpt-3.5-turbo"
@@ -172,7 +172,7 @@ def q_annotate_code(spark, sf_dir):
     req = attach_model(req.withColumn("model", F.lit(CODE_MODEL)))
     req = req.withColumn("max_tokens", completion_budget(token_count("prompt"), "ctx_tokens"))
     docs = finish_docs(annotate(req, WordSpanProvider(), keep=["path", "identifier", "line", "col"],
-                                threads=1))
+                                threads=2, partitions=int(spark.conf.get("spark.sql.shuffle.partitions"))))
     edits = docs.withColumn("text", F.when(F.col("error").isNull(),
                                            F.concat(T.line_comment("text"), F.lit("\n"))))
     preview, _ = apply_edits(src, edits.select("path", "line", "col", "identifier", "text", "error"))

@@ -114,21 +114,13 @@ def q_identifier_roundtrip(spark, sf_dir):
 
 
 def q_exported_flag(spark, sf_dir):
-    """B7 on every word of every document, as ``func:<word>``.
-
-    Words are exploded so the rule runs as a compiled column expression, then
-    counted per document; the documents are already hash-partitioned by
-    ``doc_id``, so the grouping adds no shuffle."""
+    """B7 on every word of every document, as ``func:<word>``. The words stay
+    in their row: no shuffle but the scan's own."""
     from docquill.functions.text import words
-    d = load(spark, sf_dir, "documents")
-    w = explode_rows(d, words("text"), ["doc_id"], pos="pos", value="word")
-    w = w.withColumn("exp", is_exported(F.concat(F.lit("func:"), F.col("word"))))
-    g = w.groupBy("doc_id").agg(
-        F.count(F.lit(1)).alias("n_words"),
-        F.count(F.when(F.col("exp"), 1)).alias("n_exported"),
-        F.sort_array(F.collect_list(F.when(F.col("exp"), F.struct("pos", "word")))).alias("ex"))
-    return g.select("doc_id", "n_words", "n_exported",
-                    F.md5(F.array_join(F.transform("ex", lambda x: x["word"]), " ")).alias("exported_md5"))
+    d = load(spark, sf_dir, "documents").select("doc_id", words("text").alias("w"))
+    d = d.withColumn("ex", F.filter("w", lambda x: is_exported(F.concat(F.lit("func:"), x))))
+    return d.select("doc_id", F.size("w").cast("bigint").alias("n_words"), F.size("ex").cast("bigint").alias("n_exported"),
+                    F.md5(F.array_join("ex", " ")).alias("exported_md5"))
 
 
 # ---- G1, G2, H1, E6, E7 ----------------------------------------------------
@@ -197,18 +189,28 @@ def q_findings_json(spark, sf_dir):
 
 
 def q_parse_findings(spark, sf_dir):
+    """The reports of all pages; those of every seventh page are cut off
+    before the end and must come back as bad."""
     j = findings_json(page_units(spark, sf_dir), key="page_id")
-    ok, _ = parse_findings(j, "findings_json")
+    whole = F.col("findings_json")
+    j = j.withColumn("findings_json", F.when(F.col("page_id") % 7 == 0, F.concat(F.lit("{"), whole)).otherwise(whole))
+    ok, bad = parse_findings(j, "findings_json")
     return ok.select("page_id", F.size("identifiers").cast("bigint").alias("n_parsed"),
-                     F.get("identifiers", 0).alias("first_identifier"))
+                     F.md5(F.array_join("identifiers", "\n")).alias("identifiers_md5"),
+                     F.lit(None).cast("string").alias("error")).unionByName(
+        bad.select("page_id", F.lit(None).cast("bigint").alias("n_parsed"),
+                   F.lit(None).cast("string").alias("identifiers_md5"), F.md5("error").alias("error")))
 
 
 def q_parse_props(spark, sf_dir):
-    """A7 on ``events.props``: position-style parse; a missing field is an error."""
+    """Positions. ``events.props`` has no position, so every second event's
+    becomes one, from its own number; the others are errors."""
     e = load(spark, sf_dir, "events").select("event_id", "props")
     k = F.from_json("props", "k int")["k"]
+    at = F.format_string('{"line": %d, "character": %d}', k, F.col("event_id") % 80)
+    e = e.withColumn("k", k).withColumn("props", F.when(F.col("event_id") % 2 == 0, at).otherwise(F.col("props")))
     p = parse_position(e, "props")
-    return p.select("event_id", k.alias("k"), F.col("error").isNotNull().alias("is_error"))
+    return p.select("event_id", "k", "line", "col", F.col("error").isNotNull().alias("is_error"))
 
 
 QUERIES = {
@@ -326,7 +328,12 @@ FROM u GROUP BY page_id""",
 SELECT page_id, count(*) AS n_findings, md5(CAST(to_json(list_sort(list(identifier))) AS VARCHAR)) AS json_md5
 FROM u GROUP BY page_id""",
     "parse_findings": "WITH " + _UNITS + """
-SELECT page_id, count(*) AS n_parsed, list_sort(list(identifier))[1] AS first_identifier FROM u GROUP BY page_id""",
+SELECT page_id, CASE WHEN page_id % 7 <> 0 THEN count(*) END AS n_parsed,
+       CASE WHEN page_id % 7 <> 0 THEN md5(array_to_string(list_sort(list(identifier)), chr(10))) END AS identifiers_md5,
+       CASE WHEN page_id % 7 = 0 THEN md5('invalid findings JSON: {' || CAST(to_json(list_sort(list(identifier))) AS VARCHAR)) END AS error
+FROM u GROUP BY page_id""",
     "parse_props": """SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k,
-       json_extract(props, '$.line') IS NULL AS is_error FROM events""",
+       CASE WHEN event_id % 2 = 0 THEN CAST(json_extract(props, '$.k') AS INTEGER) END AS line,
+       CASE WHEN event_id % 2 = 0 THEN CAST(event_id % 80 AS INTEGER) END AS col,
+       event_id % 2 <> 0 AS is_error FROM events""",
 }

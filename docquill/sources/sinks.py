@@ -36,6 +36,16 @@ def parse_position(df: DataFrame, json_col: str) -> DataFrame:
         "error", F.when(F.col("line").isNull(), F.concat(F.lit("invalid position JSON: "), F.col(json_col))))
 
 
+def _plain(location: str) -> str:
+    """A location without a local scheme, doubled or trailing slashes, so that
+    two spellings of one folder compare equal."""
+    scheme, sep, rest = location.partition(":/")
+    path = ("/" + rest.lstrip("/")) if sep and scheme == "file" else location
+    head, sep, tail = path.partition("://")
+    parts = (tail if sep else path).split("/")
+    return (head + sep if sep else "") + "/".join(x for i, x in enumerate(parts) if x not in ("", ".") or i == 0).rstrip("/")
+
+
 def write_patched(preview: DataFrame, out: str, partition_by: str | None = "language",
                   source_location: str | None = None) -> None:
     """A4: write patched texts (``path``, ``after`` as ``text``) as parquet.
@@ -43,8 +53,10 @@ def write_patched(preview: DataFrame, out: str, partition_by: str | None = "lang
     Refuses to write over the location it was read from: a failed or retried
     job must never destroy its own input.
     """
-    if source_location and out.rstrip("/") == source_location.rstrip("/"):
-        raise ValueError("refusing to overwrite the input location")
+    if source_location:
+        here, there = _plain(out), _plain(source_location)
+        if (here + "/").startswith(there + "/") or (there + "/").startswith(here + "/"):
+            raise ValueError("refusing to write over the input location, inside it or around it")
     cols = ["path", F.col("after").alias("text")]
     if partition_by and partition_by in preview.columns:
         cols.append(partition_by)

@@ -22,7 +22,9 @@ class DocProvider(Provider):
 
 def make_tree():
     root = tempfile.mkdtemp(prefix="docquill-cmd-")
-    files = {"shapes/a.go": GO, "web/b.ts": TS, "vendor/v.go": "package v\n\nfunc V() {}\n",
+    files = {"shapes/a.go": GO, "web/b.ts": TS, "web/c.tsx": "export const view = 1\n",
+             "web/d.mjs": "export type Alias = {\n  size: number\n  grow(): void\n}\nexport function run() { /* note */\n}\nexport const last = 2\n",
+             "big/large.go": "package big\n\nfunc Large() {}\n\nvar text = `" + "word " * 5000 + "`\n", "vendor/v.go": "package v\n\nfunc V() {}\n",
              "pkg/internal/i.go": "package i\n\nfunc I() {}\n", "README.md": "# readme\n"}
     for rel, body in files.items():
         os.makedirs(os.path.dirname(os.path.join(root, rel)) or root, exist_ok=True)
@@ -39,7 +41,12 @@ def test_find(spark):
     assert ("shapes/a.go", "func:TestArea") not in got and ("shapes/a.go", "func:perimeter") not in got
     assert got == sorted(got)
     ts = {i for p, i in got if p.endswith(".ts")}
-    assert ts == {"var:answer", "class:Counter", "method:Counter.guard", "iface:Named"} - {"method:Counter.guard"}
+    assert ts == {"var:answer", "class:Counter", "iface:Named"}
+    assert {i for p, i in got if p == "web/c.tsx"} == {"var:view"}
+    assert {i for p, i in got if p == "web/d.mjs"} == {"method:Alias.grow", "func:run", "var:last"}
+    every = {r.identifier for r in C.find(spark, root, kinds=None).where("path = 'web/d.mjs'").collect()}
+    assert every == {"type:Alias", "prop:Alias.size", "method:Alias.grow", "func:run", "var:last"}
+    assert any(i.startswith("type:") for p, i in got if p.endswith(".go"))
 
 
 def test_generate_and_write(spark):
@@ -50,11 +57,12 @@ def test_generate_and_write(spark):
     go = after["shapes/a.go"]
     assert "// Documents function \"Box.Get()\".\nfunc (b Box[T]) Get() T {" in go
     assert "\t// Red is documented.\n\tRed = 1\n\t// Documents variable \"Blue\".\n\tBlue, Green = 2, 3" in go
-    assert "Documents type" not in go  # types are not among the default kinds
+    assert "// Documents type \"" in go
     assert "func (s *Shape) Rename" in go and "Documents function \"(*Shape).Rename()\"" not in go
     ts = after["web/b.ts"]
     assert "/** Documents class \"Counter\". */\nexport class Counter {" in ts
-    assert [r.identifier for r in dead.collect()] == ["func:(*Shape).Rename"]
+    errors = {r.identifier: r.error for r in dead.collect()}
+    assert set(errors) == {"func:(*Shape).Rename", "func:Large"} and "exceeds" in errors["func:Large"]
     written = {r.path: r.text for r in spark.read.parquet(out).collect()}
     assert written["shapes/a.go"] == go
 
