@@ -53,6 +53,8 @@ def among(df: DataFrame, key: str, keys: DataFrame, bits: int = 25) -> DataFrame
     ``keys`` become a bitmap of 2 ** ``bits`` bits, built by a grouping. Only
     that bitmap is broadcast: 4 MB, however many keys there are. With far
     more keys than bits it lets more rows pass; the join after it is exact.
+    Let that be an inner join with unique keys: the optimizer moves a semi
+    join below this step.
     """
     slot = lambda c: F.col(c).bitwiseAND(F.lit((1 << bits) - 1))
     maps = (keys.select(slot(key).alias("_slot"))

@@ -112,15 +112,15 @@ def _near(docs: DataFrame, lines: DataFrame, first: DataFrame) -> DataFrame:
     keyed = lines.where(F.size("keys") > 0).select(F.explode("keys").alias("key"), "h")
     shared = keyed.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo <> hi").select("key")
     shared = saved(shared)
-    some = saved(among(keyed, "key", shared).join(shared, "key", "left_semi").select("h").distinct())
+    some = saved(among(keyed, "key", shared).join(shared, "key").select("h").distinct())
     # The words of those lines, from the texts.
     worded = _lines(docs).where(F.col("n") >= MIN_WORDS).select(_hash().alias("h"), "words")
-    texts = saved(among(worded, "h", some).join(some, "h", "left_semi").groupBy("h").agg(F.first("words").alias("words")))
+    texts = saved(among(worded, "h", some).join(some, "h").groupBy("h").agg(F.first("words").alias("words")))
     variants = saved(_variants(texts))
     met = variants.groupBy("v").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo <> hi").select("v")
     met = saved(met)
     place = among(first.select("h", "o"), "h", some).groupBy("h").agg(F.min("o").alias("o"))
-    rows = saved(among(variants, "v", met).join(met, "v", "left_semi").join(place, "h"))
+    rows = saved(among(variants, "v", met).join(met, "v").join(place, "h"))
     # Earliest line by variant and place of deletion, and by variant: whole lines, shortened lines.
     replaced = rows.where("i > 0").groupBy("v", "i").agg(F.min(F.struct("o", "h")).alias("m"))
     either = rows.groupBy("v").agg(F.min(F.when(F.col("i") == 0, F.struct("o", "h"))).alias("whole"),
