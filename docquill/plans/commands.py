@@ -29,7 +29,7 @@ from docquill.operators.budget import (DEFAULT_MAX_TOKENS, MODEL_LIMITS, attach_
 from docquill.operators.patch import apply_edits, replace_comments
 from docquill.operators.units import clear_comments, go_units, locate_units, ts_units
 from docquill.sources.sinks import write_patched
-from docquill.sources.tables import read_tree
+from docquill.sources.tables import read_tree, unreadable_files
 
 UNIT_COLUMNS = ["path", "language", "identifier", "kind", "name", "line", "col", "comment_from", "documented", "exported"]
 
@@ -84,13 +84,17 @@ def generate(spark: SparkSession, root: str, provider: Provider, *, model: str =
     meets its findings on ``path``; they are prompted, answered once (the
     answers are checkpointed), cleaned and formatted, then all edits of a file
     are applied in one pass. ``src`` passes already selected files.
+    Files that are not UTF-8 text are dead letters without an identifier.
     Returns ``(preview, dead_letter)``; with ``out`` the patched files are
     written there as parquet (never over ``root``).
     """
     selection = {k: find_options.pop(k) for k in ("exts", "include", "exclude", "exclude_internal", "languages")
                  if k in find_options}
+    unread = None
     if src is None:
         src = source_files(spark, root, **selection)
+        unread = SEL.select_paths(unreadable_files(spark, root), *[selection.get(k) for k in ("exts", "include", "exclude")],
+                                  selection.get("exclude_internal", True))
     findings = find(spark, root, src=src, **find_options)
     findings = SEL.first_n_files(findings, limit_files)
     ctx = dict(MODEL_LIMITS).get(model, dict(MODEL_LIMITS)["default"])
@@ -121,7 +125,8 @@ def generate(spark: SparkSession, root: str, provider: Provider, *, model: str =
     preview = go_preview.select(*cols).unionByName(ts_preview.select(*cols))
     if out:
         write_patched(preview, out, source_location=root)
-    return preview, bad.unionByName(misses.select("path", "identifier", "error"))
+    bad = bad.unionByName(misses.select("path", "identifier", "error"))
+    return preview, bad if unread is None else bad.unionByName(unread.withColumn("identifier", F.lit(None).cast("string")))
 
 
 def pos(units: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:

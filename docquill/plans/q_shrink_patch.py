@@ -14,7 +14,7 @@ from docquill.plans.q_annotate import noisy_conversations
 from docquill.sources.tables import documents_source, load
 
 PAGE_LIMIT = 300
-NOISY_LIMIT = 120
+NOISY_LIMIT = 240
 
 
 def _shrunk_pages(spark: SparkSession, sf_dir: str, on_overflow: str = "null"):
@@ -45,7 +45,7 @@ def noisy_rungs():
     return [
         ("blank_lines", T.drop_empty_lines),
         ("reflow", T.reflow),
-        ("first_paragraph", lambda c: F.split_part(c, F.lit("\n\n"), F.lit(1))),
+        ("short_words", lambda c: F.array_join(F.filter(F.split(c, " "), lambda w: F.length(w) > 4), " ")),
     ]
 
 
@@ -142,7 +142,7 @@ _NOISY = f"""noisy AS (
   FROM conversations GROUP BY conv_id),
 s1 AS (SELECT *, {S.trim_ws("regexp_replace(t0, '(?m)^\\s*[\\r\\n]+', '', 'g')")} AS t1 FROM noisy),
 s2 AS (SELECT *, {S.reflow('t1')} AS t2 FROM s1),
-s3 AS (SELECT *, split_part(t2, chr(10) || chr(10), 1) AS t3 FROM s2),
+s3 AS (SELECT *, array_to_string(list_filter(string_split(t2, ' '), lambda w: length(w) > 4), ' ') AS t3 FROM s2),
 n AS (SELECT *, {S.n_tokens('t0')} AS n0, {S.n_tokens('t1')} AS n1, {S.n_tokens('t2')} AS n2,
              {S.n_tokens('t3')} AS n3 FROM s3),
 r AS (SELECT *, CASE WHEN n0 <= {NOISY_LIMIT} OR length(t0) = 0 THEN 0 WHEN n1 <= {NOISY_LIMIT} THEN 1

@@ -22,22 +22,24 @@ BASE_CONF = {
 }
 
 
-def get_spark(master: str | None = None, shuffle_partitions: int = 8,
+def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
               app_name: str = "docquill", conf: dict | None = None) -> SparkSession:
     """Create (or reuse) a session with the engine's base settings plus
-    ``conf``."""
+    ``conf``. The cluster's shuffle partitions and driver memory stay as they
+    are, unless given here (``DOCQUILL_DRIVER_MEMORY`` for the latter)."""
     builder = SparkSession.builder.appName(app_name)
     for key, value in (conf or {}).items():
         builder = builder.config(key, value)
     if master:
         builder = builder.master(master)
-    builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-    builder = builder.config("spark.driver.memory", os.environ.get("DOCQUILL_DRIVER_MEMORY", "16g"))
+    if shuffle_partitions:
+        builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    if os.environ.get("DOCQUILL_DRIVER_MEMORY"):
+        builder = builder.config("spark.driver.memory", os.environ["DOCQUILL_DRIVER_MEMORY"])
     for key, value in BASE_CONF.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
     return spark
 
 
@@ -55,6 +57,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return configured
     if current:
         return current
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     local = tempfile.mkdtemp(prefix="docquill-ckpt-")
     spark.conf.set("spark.checkpoint.dir", local)
     spark.sparkContext.setCheckpointDir(local)

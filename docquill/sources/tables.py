@@ -14,33 +14,27 @@ PRIMARY_KEYS = {"documents": "doc_id", "pages": "page_id", "conversations": "con
                 "events": "event_id", "benchmark": "item_id", "labels": "doc_id", "embeddings": "vec_id"}
 
 
-def spread(df: DataFrame, key: str | None, rebalance="auto") -> DataFrame:
-    """Spread rows over the cluster when the scan cannot.
-
-    A table stored as fewer files than the session's parallelism (e.g. one
-    file with one row group) is read by a handful of tasks, and every per-row
-    text operator would then run on those few cores. In that case (only)
-    rows are hash-partitioned by their key: deterministic, so a retried task
-    sees the same rows, and the shuffle is bounded by those few files. Tables
-    made of many files are left as the scan splits them. ``rebalance`` may
-    also be False (never) or an int (always, to that many partitions).
+SPREAD = "docquill.spread.partitions"
+
+
+def spread(df: DataFrame, key: str | None, rebalance: int | bool | None = None) -> DataFrame:
+    """Rows hash-partitioned by ``key`` into as many partitions as the caller asks.
+
+    For small tables in one or two files, which a handful of tasks would read
+    while the other cores wait. ``rebalance`` is a number of partitions, or
+    False; without it the session's ``docquill.spread.partitions`` counts, and
+    where that is unset too, the scan's own splits stay. Never decided by the
+    data. The partitioning is deterministic, so a retried task sees the same rows.
     """
-    if rebalance is False or rebalance is None:
-        return df
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    # As many partitions as a shuffle would use, so that a later join or
-    # grouping on the same key can reuse this partitioning; but not more than
-    # a few tasks per core, since every task of a Python stage has a cost.
-    shuffle_n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    n = int(rebalance) if not isinstance(rebalance, str) else max(1, min(shuffle_n, 4 * cores))
-    if isinstance(rebalance, str) and len(df.inputFiles()) >= cores:
+    if rebalance is None:
+        rebalance = int(df.sparkSession.conf.get(SPREAD, "0"))
+    if not rebalance:
         return df
-    return df.repartition(n, key) if key else df.repartition(n)
+    return df.repartition(int(rebalance), key) if key else df.repartition(int(rebalance))
 
 
-def load(spark: SparkSession, sf_dir: str, name: str, rebalance="auto") -> DataFrame:
-    """One driver table: ``{sf_dir}/{name}.parquet``, spread if needed."""
+def load(spark: SparkSession, sf_dir: str, name: str, rebalance: int | bool | None = None) -> DataFrame:
+    """One driver table: ``{sf_dir}/{name}.parquet``, spread if the caller asks."""
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
     return spread(df, PRIMARY_KEYS.get(name), rebalance)
 
@@ -81,21 +75,29 @@ def pages_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(p, "path")
 
 
+def _tree(spark: SparkSession, root: str, glob: str | None) -> DataFrame:
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    if glob:
+        reader = reader.option("pathGlobFilter", glob)
+    rel = F.regexp_replace(F.col("path"), r"^(?:file:)?/*" + _escape(root.rstrip("/").lstrip("/")) + "/", "")
+    text = F.col("content").cast("string")
+    return reader.load(root).select(rel.alias("path"), text.alias("text"), F.is_valid_utf8(text).alias("_valid"))
+
+
 def read_tree(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
-    """A1: every file under ``root`` as ``(path, text)``; ``path`` relative to
-    ``root`` with forward slashes, text decoded as UTF-8.
+    """A1: every UTF-8 file under ``root`` as ``(path, text)``; ``path`` relative
+    to ``root`` with forward slashes. Other files are in ``unreadable_files``.
 
     Uses the ``binaryFile`` source (one row per file, read in parallel).
     Note: Spark's file sources skip names starting with ``_`` or ``.`` at any
     depth; such files are not listed.
     """
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    df = reader.load(root)
-    base = root.rstrip("/")
-    rel = F.regexp_replace(F.col("path"), r"^(?:file:)?/*" + _escape(base.lstrip("/")) + "/", "")
-    return df.select(rel.alias("path"), F.decode(F.col("content"), "UTF-8").alias("text"))
+    return _tree(spark, root, glob).where("_valid").drop("_valid")
+
+
+def unreadable_files(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
+    """``(path, error)`` of the files under ``root`` that are not UTF-8 text."""
+    return _tree(spark, root, glob).where("not _valid").select("path", F.lit("not UTF-8 text").alias("error"))
 
 
 def _escape(s: str) -> str:

@@ -24,6 +24,14 @@ Annotate = Callable[[DataFrame], DataFrame]
 Finish = Callable[[DataFrame, DataFrame], DataFrame]
 
 
+def _is_file(spark: SparkSession, path: str) -> bool:
+    """Asks the file system that ``path`` belongs to; a glob is no file."""
+    sc = spark.sparkContext
+    p = sc._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(sc._jsc.hadoopConfiguration())
+    return fs.exists(p) and fs.getFileStatus(p).isFile()
+
+
 def _write_batch(df: DataFrame, path: str, batch_id: int) -> None:
     (df.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite")
      .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path))
@@ -43,12 +51,12 @@ def annotate_stream(spark: SparkSession, source_path: str, out_dir: str, checkpo
     ``out_dir/ok`` and ``out_dir/dead_letter`` (parquet, partitioned by
     ``batch_id``); progress is kept in ``checkpoint``. With ``available_now``
     the query processes what is there, stops and is returned; otherwise it
-    runs every ``processing_time``. ``key`` spreads a micro-batch read from
-    few files over the cluster (see ``sources.tables.spread``).
+    runs every ``processing_time``. ``key``: the column that
+    ``sources.tables.spread`` deals a micro-batch by, if the session asks for it.
     """
     schema = spark.read.format(fmt).load(source_path).schema
     reader = spark.readStream.format(fmt).schema(schema)
-    if os.path.isfile(source_path):
+    if _is_file(spark, source_path):
         # A single file: watch it through an exact glob under its folder.
         folder, name = os.path.split(source_path)
         reader = reader.option("basePath", folder)
@@ -60,10 +68,12 @@ def annotate_stream(spark: SparkSession, source_path: str, out_dir: str, checkpo
     ok_path, dead_path = os.path.join(out_dir, "ok"), os.path.join(out_dir, "dead_letter")
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
-        # A micro-batch of few files would otherwise run on few cores.
         batch = spread(batch, key)
-        _write_batch(annotate_fn(batch), ann_path, batch_id)
-        docs = batch.sparkSession.read.parquet(ann_path).where(F.col("batch_id") == batch_id).drop("batch_id")
+        answers = annotate_fn(batch)
+        _write_batch(answers, ann_path, batch_id)
+        known = answers.withColumn("batch_id", F.lit(batch_id)).schema      # a batch without units writes no file
+        docs = (batch.sparkSession.read.schema(known).parquet(ann_path)
+                .where(F.col("batch_id") == batch_id).drop("batch_id"))
         _write_batch(finish_fn(batch, docs), ok_path, batch_id)
         _write_batch(docs.where(F.col("error").isNotNull()), dead_path, batch_id)
 

@@ -17,7 +17,8 @@ def spark():
     from docquill.session import get_spark
     import tempfile
     s = get_spark("local[4]", shuffle_partitions=4, app_name="docquill-tests",
-                  conf={"spark.sql.warehouse.dir": tempfile.mkdtemp(prefix="docquill-warehouse-")})
+                  conf={"spark.sql.warehouse.dir": tempfile.mkdtemp(prefix="docquill-warehouse-"),
+                        "spark.driver.memory": "8g"})
     yield s
     s.stop()
 

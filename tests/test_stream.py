@@ -38,3 +38,13 @@ def test_stream_matches_batch_and_is_incremental(spark):
     # a restart with the same checkpoint finds nothing new
     run()
     assert spark.read.parquet(os.path.join(out, "ok")).count() == batch.count()
+
+
+def test_first_batch_without_units(spark):
+    base = tempfile.mkdtemp(prefix="docquill-stream-")
+    spark.read.parquet(f"{SMOKE}/documents.parquet").limit(3).withColumn("text", F.lit(None).cast("string")) \
+        .coalesce(1).write.parquet(os.path.join(base, "in"))
+    annotate_stream(spark, os.path.join(base, "in"), os.path.join(base, "out"), os.path.join(base, "ckpt"),
+                    annotate_fn=lambda b: A.annotation_results(spark, SMOKE, src=A._as_documents_source(b)),
+                    finish_fn=lambda b, d: A.patch_summary(A._as_documents_source(b), d))
+    assert spark.read.parquet(os.path.join(base, "out", "ok")).count() == 3
