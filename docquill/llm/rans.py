@@ -51,31 +51,35 @@ class Table:
 def _encode(rows: np.ndarray, t: Table):
     """States and words of equal blocks; rows: symbol numbers, (blocks, steps, LANES)."""
     blocks, steps, lanes = rows.shape
-    x = np.full((blocks, lanes), LOW, np.uint64)
-    bits = np.uint64(t.bits)
+    by_step = np.ascontiguousarray(rows.transpose(1, 0, 2)).reshape(steps, blocks * lanes)
+    x = np.full(blocks * lanes, LOW, np.uint64)
+    bits, limit = np.uint64(t.bits), t.freqs * np.uint64((int(LOW) >> t.bits) << 32)
     out = []
     for s in range(steps - 1, -1, -1):
-        f, c = t.freqs[rows[:, s]], t.cum[rows[:, s]]
-        full = x >= (((LOW >> bits) << W) * f)
-        b, lane = np.nonzero(full)
-        if len(b):
-            v = x[b, lane]
-            out.append((b, np.full(len(b), s), lane, v.astype(np.uint32)))
-            x[b, lane] = v >> W
+        k = by_step[s]
+        f = t.freqs[k]
+        full = np.flatnonzero(x >= limit[k])
+        if len(full):
+            v = x[full]
+            out.append((full, v.astype("<u4")))
+            x[full] = v >> W
         q = x // f
-        x = (q << bits) + (x - q * f) + c
+        x -= q * f
+        x += (q << bits) + t.cum[k]
     if not out:
-        return x, [b""] * blocks
-    b, s, lane, v = (np.concatenate(p) for p in zip(*out))
-    order = np.lexsort((lane, s, b))
-    v, n = v[order].astype("<u4"), np.bincount(b, minlength=blocks)
+        return x.reshape(blocks, lanes), [b""] * blocks
+    # Words by step already, then by block: a stable sort by block number is all that is left.
+    at, v = (np.concatenate(p[::-1]) for p in zip(*out))
+    block = at // lanes
+    order = np.argsort(block.astype(np.uint16) if blocks <= 1 << 16 else block, kind="stable")
+    v, n = v[order], np.bincount(block, minlength=blocks)
     ends = np.cumsum(n)
-    return x, [v[e - k:e].tobytes() for e, k in zip(ends, n)]
+    return x.reshape(blocks, lanes), [v[e - k:e].tobytes() for e, k in zip(ends, n)]
 
 
 def encode(ids: np.ndarray, t: Table) -> list[dict]:
     """Blocks of ``ids``: n, states, words and the checksum of both and of the ids."""
-    number = np.zeros(int(t.symbols.max()) + 1, np.int64)
+    number = np.zeros(int(t.symbols.max()) + 1, np.int32)
     number[t.symbols] = np.arange(len(t.symbols))
     rows = number[ids]
     whole = len(rows) // BLOCK * BLOCK

@@ -50,6 +50,10 @@ class Remembered:
     def __init__(self, make):
         self.make, self.young, self.old = make, _Table(), {}
 
+    def peek(self, word):
+        """The value of a word if it is kept."""
+        return self.young.get(word) or self.old.get(word)
+
     def of(self, words: list) -> list:
         young = self.young
         out = list(map(young.__getitem__, words))
@@ -101,9 +105,9 @@ class WordIds:
         self.letters = byte_letters()
         self.marks = {"": b""}
         self.plain = False
+        self.words = Remembered(self._make)
         tests = [w + m for w in ("the", "Thhaen", "A", "ÀÖß", "øÿ", "ciónñga", "Größe", "x" * 40) for m in ("", ".", ",!?")]
         self.plain = self._make([w.encode() for w in tests]) == [self._plain(PLAIN.fullmatch(w)) for w in tests]
-        self.words = Remembered(self._make)
 
     def _library(self, words: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast([" " + w for w in words], add_special_tokens=False)
@@ -112,12 +116,15 @@ class WordIds:
     def _plain(self, match) -> bytes:
         word, marks = match.groups()
         word = word.lower()
-        if not word.isascii():
-            word = "".join(map(self.letters.__getitem__, word.encode()))
-        ids = [t.id for t in self.tokenizer.model.tokenize(word)]
         if marks not in self.marks:
             self.marks[marks] = self._library([marks])[0]
-        return struct.pack(f"<{len(ids)}I", *ids) + self.marks[marks]
+        known = self.words.peek(word.encode())
+        if known is None:
+            if not word.isascii():
+                word = "".join(map(self.letters.__getitem__, word.encode()))
+            ids = [t.id for t in self.tokenizer.model.tokenize(word)]
+            known = struct.pack(f"<{len(ids)}I", *ids)
+        return known + self.marks[marks]
 
     def _make(self, words: list[bytes]) -> list[bytes]:
         texts = [w.decode() for w in words]
