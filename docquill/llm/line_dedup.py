@@ -39,30 +39,30 @@ from docquill.llm.quality_rules import SPACE, SPACE_CHARS
 MIN_WORDS = 5
 
 
-def _tier(n: str) -> str:
-    """The largest power of two up to half of ``n`` words."""
-    return f"shiftleft(1, length(bin(cast(({n}) div 2 as bigint))) - 1)"
-
-
 def _half_keys() -> Column:
     """Hashes of the first and last words of a line, for partners of as many words or one more, and of one less."""
+    def tier(n):            # the largest power of two up to half of n
+        return f"shiftleft(1, length(bin(cast(({n}) div 2 as bigint))) - 1)"
+
     def pair(n):
-        m = F.expr(_tier(n))
-        return F.array(F.xxhash64(F.lit("first"), m, F.slice("words", F.lit(1), m)),
-                       F.xxhash64(F.lit("last"), m, F.slice("words", F.col("n") - m + 1, m)))
-    both = F.when(F.expr(f"{_tier('n')} = {_tier('n - 1')}"), pair("n")).otherwise(F.concat(pair("n"), pair("n - 1")))
+        m = tier(n)
+        return F.expr(f"array(xxhash64('first', {m}, substring_index(line, ' ', {m})), xxhash64('last', {m}, substring_index(line, ' ', -{m})))")
+
+    both = F.when(F.expr(f"{tier('n')} = {tier('n - 1')}"), pair("n")).otherwise(F.concat(pair("n"), pair("n - 1")))
     return F.when(F.col("n") >= MIN_WORDS, both).otherwise(F.expr("cast(array() as array<bigint>)"))
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """(id, th, pos, words, n): the lines with a word of rows (id, th, text)."""
+    """(id, th, pos, line, n): the lines with a word of rows (id, th, text), as
+    words with one space between them, and their number of words."""
     every = explode_rows(docs, F.split("text", "\n"), ["id", "th"], pos="pos", value="line")
     every = every.withColumn("line", F.btrim("line", F.lit(SPACE_CHARS))).where("line <> ''")
-    return every.select("id", "th", "pos", F.split("line", SPACE).alias("words")).withColumn("n", F.size("words"))
-
-
-def _hash(words: str = "words") -> Column:
-    return F.xxhash64(F.array_join(words, " "))
+    odd = F.contains("line", F.lit("  "))       # most lines need no rewriting
+    for c in SPACE_CHARS.replace(" ", "").replace("\n", ""):
+        odd = odd | F.contains("line", F.lit(c))
+    line = F.when(odd, F.regexp_replace("line", SPACE, " ")).otherwise(F.col("line"))
+    n = F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "), F.lit(""))) + 1
+    return every.select("id", "th", "pos", line.alias("line")).withColumn("n", n)
 
 
 ORDER = ("id", "th", "pos")     # nulls first, as in any ascending order
@@ -114,8 +114,9 @@ def _near(docs: DataFrame, lines: DataFrame, first: DataFrame) -> DataFrame:
     shared = saved(shared)
     some = saved(among(keyed, "key", shared).join(shared, "key").select("h").distinct())
     # The words of those lines, from the texts.
-    worded = _lines(docs).where(F.col("n") >= MIN_WORDS).select(_hash().alias("h"), "words")
-    texts = saved(among(worded, "h", some).join(some, "h").groupBy("h").agg(F.first("words").alias("words")))
+    worded = _lines(docs).where(F.col("n") >= MIN_WORDS).select(F.xxhash64("line").alias("h"), "line")
+    texts = saved(among(worded, "h", some).join(some, "h").groupBy("h").agg(F.first("line").alias("line"))
+                  .select("h", F.split("line", " ").alias("words")))
     variants = saved(_variants(texts))
     met = variants.groupBy("v").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo <> hi").select("v")
     met = saved(met)
@@ -139,8 +140,7 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     as a struct (id, th, pos); th is the hash of the document's text."""
     d = docs.select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
     d = d.where(F.col("text").isNotNull())
-    lines = saved(_lines(d).select("id", "th", "pos", _hash().alias("h"),
-                                   F.xxhash64(F.lit("line"), F.array_join("words", " ")).alias("h2"),
+    lines = saved(_lines(d).select("id", "th", "pos", F.xxhash64("line").alias("h"), F.xxhash64(F.lit("line"), "line").alias("h2"),
                                    _half_keys().alias("keys")).distinct())
     first = saved(lines.groupBy("h", "h2").agg(F.min(F.struct(*ORDER)).alias("o"), F.count(F.lit(1)).alias("n")))
     near = _near(d, lines, first)
