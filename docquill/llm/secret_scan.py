@@ -3,8 +3,11 @@
 1. Every whole text is read once. The three patterns give the base spans.
    Candidates are runs of secret-like characters of ``MIN_RUN`` or more in a
    sensitive context: a sensitive word stands among the ``BEFORE`` characters
-   before them. They leave with the code or prose around them (``AROUND``
-   characters on either side).
+   before them. A run with ``=`` inside is cut there (padding at the end of a
+   part stays with it): each part is a candidate of its own, with the part
+   before it, its name, as context. The whole run counts only where none of
+   its parts does. Candidates leave with the code or prose around them
+   (``AROUND`` characters on either side).
 2. The identifiers around all candidates of the corpus are counted; the most
    frequent ones, up to ``DICTIONARY_BYTES``, become a zstandard dictionary.
 3. A candidate's novelty is its marginal compressed size: compressed bytes of
@@ -41,6 +44,7 @@ BASE = {
 HEX_RUN = re.compile(r"[0-9a-f]{24,}")      # same matches as BASE["hex"] once short ones are dropped
 SENSITIVE = re.compile(r"key|secret|token|passw|pwd|credential|auth|bearer|private|signature|cert|login", re.I | re.A)
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")     # MIN_RUN or more
+PART = re.compile(r"[A-Za-z0-9+/_-]+(?:=+(?![A-Za-z0-9+/_=-]))?")     # of a run, with its padding
 DIGIT, LETTER = re.compile("[0-9]"), re.compile("[A-Za-z]")     # a plain word has no digit
 MIN_RUN = 16
 BEFORE = 48
@@ -64,19 +68,27 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def secret_like(run: str) -> bool:
+    return len(run) >= MIN_RUN and bool(DIGIT.search(run) and LETTER.search(run))
+
+
 def candidates(text: str, base: list) -> list[tuple[int, int, str, str]]:
-    """(start, end, before, after) of runs in a sensitive context that no base span covers."""
+    """(start, end, before, after) of runs and their parts in a sensitive context that no base span covers;
+    the parts of a run come before the whole."""
     out = []
     if not DIGIT.search(text):
         return out
     for m in RUN.finditer(text):
         a, b = m.span()
-        if any(s <= a and b <= e for s, _, e in base):
-            continue
-        if not (DIGIT.search(m[0]) and LETTER.search(m[0])):
+        if not secret_like(m[0]):
             continue
-        if SENSITIVE.search(text, max(0, a - BEFORE), a):
-            out.append((a, b, text[max(0, a - AROUND):a], text[b:b + AROUND]))
+        parts = [p.span() for p in PART.finditer(text, a, b)] if "=" in m[0] else []
+        name = a                        # start of the part before
+        for c, d in [*parts, (a, b)] if parts != [(a, b)] else parts:
+            if secret_like(text[c:d]) and not any(s <= c and d <= e for s, _, e in base) \
+                    and SENSITIVE.search(text, max(0, min(name, c - BEFORE)), c):
+                out.append((c, d, text[max(0, c - AROUND):c], text[d:d + AROUND]))
+            name = c
     return out
 
 
@@ -158,7 +170,11 @@ def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             out = []
             for base, cand in zip(batch.column(5).to_pylist(), batch.column(6).to_pylist()):
                 spans = [(s["a"], s["k"], s["b"]) for s in base]
-                spans += [(c["a"], 3, c["b"]) for c in cand if novelty.is_secret(c["before"], c["run"], c["after"])]
+                last = -1               # start of the last part found
+                for c in cand:
+                    if c["a"] > last and novelty.is_secret(c["before"], c["run"], c["after"]):
+                        spans.append((c["a"], 3, c["b"]))
+                        last = c["a"]
                 out.append([{"kind": KINDS[k], "start": a, "end": b} for a, k, b in sorted(spans)])
             kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(out, kind)],

@@ -121,6 +121,19 @@ def test_novel_strings_are_found(spark):
     assert got == {0: [("novel", 16, 40)], 1: [], 2: []}
 
 
+def novel(spark, texts):
+    """The reported novel strings of each text."""
+    got = {r.id: r.spans for r in secret_scan.secrets(frame(spark, texts)).collect()}
+    return [[t[s.start:s.end] for s in got[i] if s.kind == "novel"] for i, t in enumerate(texts)]
+
+
+def test_secrets_after_a_name(spark):
+    run, key = "q9Zk3LmX0vTr8WbY2nHs5JdF", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYzT4hQk8sLv"
+    texts = [f"export AWS_SECRET_ACCESS_KEY={key}", f"run with private_key={run} now", f"https://h.io/x?sig=1&auth_id={run}==&n=2",
+             f"the auth key: SOME_NAME={run}", f"a plain name={run} here", "the key a1b2c3Zk=q9Zk3LmX0vTr8 ends"]
+    assert novel(spark, texts) == [[key], [run], [run + "=="], [run], [], ["a1b2c3Zk=q9Zk3LmX0vTr8"]]
+
+
 # SimHash --------------------------------------------------------------------
 
 def brute_fingerprint(t, k=3):
