@@ -7,9 +7,12 @@
    part stays with it): each part is a candidate of its own, with the part
    before it, its name, as context. The whole run counts only where none of
    its parts does. Candidates leave with the code or prose around them
-   (``AROUND`` characters on either side).
-2. The identifiers around all candidates of the corpus are counted; the most
-   frequent ones, up to ``DICTIONARY_BYTES``, become a zstandard dictionary.
+   (``AROUND`` characters on either side), in which all secret-like runs,
+   their parts and the base spans are blank: copies and neighbours of a secret
+   do not make it known.
+2. The identifiers in the distinct contexts of all candidates of the corpus
+   are counted, once a context; the most frequent ones, up to
+   ``DICTIONARY_BYTES``, become a zstandard dictionary.
 3. A candidate's novelty is its marginal compressed size: compressed bytes of
    context and candidate less those of the context alone, both primed with
    the dictionary, per byte of the candidate. Runs that hardly compress
@@ -72,24 +75,39 @@ def secret_like(run: str) -> bool:
     return len(run) >= MIN_RUN and bool(DIGIT.search(run) and LETTER.search(run))
 
 
+def blanked(text: str, spans) -> str:
+    """``text`` with spaces in place of the (start, end) ``spans``."""
+    out, at = [], 0
+    for a, b in sorted(spans):
+        if b > at:
+            out += [text[at:max(at, a)], " " * (b - max(at, a))]
+            at = b
+    return "".join(out) + text[at:]
+
+
 def candidates(text: str, base: list) -> list[tuple[int, int, str, str]]:
     """(start, end, before, after) of runs and their parts in a sensitive context that no base span covers;
     the parts of a run come before the whole."""
-    out = []
+    found, blank = [], [(a, b) for a, _, b in base]
     if not DIGIT.search(text):
-        return out
+        return []
     for m in RUN.finditer(text):
         a, b = m.span()
         if not secret_like(m[0]):
             continue
         parts = [p.span() for p in PART.finditer(text, a, b)] if "=" in m[0] else []
+        like = [(c, d) for c, d in parts if secret_like(text[c:d])]
+        blank += like or [(a, b)]
         name = a                        # start of the part before
         for c, d in [*parts, (a, b)] if parts != [(a, b)] else parts:
             if secret_like(text[c:d]) and not any(s <= c and d <= e for s, _, e in base) \
                     and SENSITIVE.search(text, max(0, min(name, c - BEFORE)), c):
-                out.append((c, d, text[max(0, c - AROUND):c], text[d:d + AROUND]))
+                found.append((c, d))
             name = c
-    return out
+    if not found:
+        return []
+    rest = blanked(text, blank)
+    return [(a, b, rest[max(0, a - AROUND):a], rest[b:b + AROUND]) for a, b in found]
 
 
 def joined(spans) -> str:
@@ -124,10 +142,11 @@ def _found(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def identifiers(found: DataFrame, size: int = DICTIONARY_BYTES) -> bytes:
-    """The most frequent identifiers around all candidates, up to ``size`` bytes, the most frequent last
-    (zstandard reaches the end of a dictionary most cheaply). Only that many reach the driver."""
-    around = found.select(F.explode("candidates").alias("c")).select(F.concat_ws(" ", "c.before", "c.after").alias("t"))
-    words = around.select(F.explode(F.regexp_extract_all("t", F.lit(r"([\p{L}_][\p{L}\p{N}_]{2,})"), F.lit(1))).alias("w"))
+    """The identifiers of most contexts of candidates, up to ``size`` bytes, the most frequent last
+    (zstandard reaches the end of a dictionary most cheaply). Equal contexts count once. Only that many reach the driver."""
+    around = found.select(F.explode("candidates").alias("c")).select(F.concat_ws(" ", "c.before", "c.after").alias("t")).distinct()
+    each = F.array_distinct(F.regexp_extract_all("t", F.lit(r"([\p{L}_][\p{L}\p{N}_]{2,})"), F.lit(1)))
+    words = around.select(F.explode(each).alias("w"))
     top = words.groupBy("w").count().orderBy(F.desc("count"), "w").limit(size // 4).collect()
     out, total = [], 0
     for row in top:

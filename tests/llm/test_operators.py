@@ -134,6 +134,19 @@ def test_secrets_after_a_name(spark):
     assert novel(spark, texts) == [[key], [run], [run + "=="], [run], [], ["a1b2c3Zk=q9Zk3LmX0vTr8"]]
 
 
+def test_repeated_secrets_are_found(spark):
+    rng = random.Random(8)
+    chars = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    keys = ["7x" + "".join(rng.choices(chars, k=38)) for _ in range(50)]
+    twice = [f"the auth key is {k} and once more the key is {k} here" for k in keys]
+    bare = [f"the auth key is {k} here. {'Much later in the text of this row ' * 2}it says {k} again" for k in keys]
+    a, b = keys[0], keys[1]
+    hot = [f"Row {i % 9}: login key {a} with secret word {b} of the host" for i in range(1000)]
+    got = novel(spark, twice + bare + hot)
+    assert got[:50] == [[k, k] for k in keys] and got[50:100] == [[k] for k in keys]
+    assert got[100:] == [[a, b]] * 1000
+
+
 # SimHash --------------------------------------------------------------------
 
 def brute_fingerprint(t, k=3):
