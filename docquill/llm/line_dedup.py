@@ -20,6 +20,14 @@ number, is like it. Lines without a word always stay.
 4. The edit distance of each line and its earliest partners is verified on
    the words, and the earliest verified line is kept.
 
+With ``words_per_edit`` the bound grows: two lines are also alike if their word
+edit distance is at most one edit per so many words of the shorter one. For
+pairs of more than one edit, a line is cut into blocks, more of them than its
+edits, so that one block stands unchanged in the other line, shifted by no more
+words than there are edits. Blocks meet the windows of earlier lines, and the
+edit distance of the pairs is verified on the words. A passage that stands at
+like places in many lines makes pairs with the square of their number.
+
 Before each join the larger side passes a bitmap of the other's keys of 4 MB.
 
 Defined results: null texts stay null and have no lines; rows that agree in
@@ -37,6 +45,7 @@ from docquill.llm.common import among, read, saved
 from docquill.llm.quality_rules import SPACE, SPACE_CHARS
 
 MIN_WORDS = 5
+WORDS_PER_EDIT = 10         # of the query op1_line_dedup_by_length
 
 
 def _half_keys() -> Column:
@@ -135,25 +144,74 @@ def _near(docs: DataFrame, lines: DataFrame, first: DataFrame) -> DataFrame:
     return checked.groupBy("h").agg(F.min("other").alias("other"))
 
 
-def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _block(n: str, w: int) -> str:
+    """Words in a block of a line of n words: a power of two, for more blocks than edits."""
+    return f"shiftleft(1, length(bin(cast(({n}) div (({n}) div {w} + 1) as bigint))) - 1)"
+
+
+def _within(bound: Column) -> Column:
+    """True if the word arrays a and b are at most ``bound`` edits apart: words become characters of their own."""
+    def spelled(words, known):
+        codes = F.transform(words, lambda x: F.lpad(F.hex(F.array_position(known, x) + F.lit(0x10000)), 8, "0"))
+        return F.decode(F.unhex(F.array_join(codes, "")), "UTF-32")
+    return bind(F.array_distinct(F.concat("a", "b")),
+                lambda known: F.call_function("levenshtein", spelled(F.col("a"), known), spelled(F.col("b"), known)) <= bound)
+
+
+def _near_more(docs: DataFrame, first: DataFrame, w: int) -> DataFrame:
+    """(h, other): as ``_near``, for lines of 2 * w words or more and one edit per w words of the shorter line."""
+    worded = _lines(docs).where(F.col("n") >= 2 * w).select(F.xxhash64("line").alias("h"), "line", "n")
+    texts = worded.groupBy("h").agg(F.first("line").alias("line"), F.first("n").alias("n"))
+    place = first.groupBy("h").agg(F.min("o").alias("o"))
+    texts = saved(texts.join(place, "h").select("h", "n", "o", F.split("line", " ").alias("words")))
+    hashed = texts.select("h", "n", "o", F.transform("words", lambda x: F.xxhash64(x)).alias("wh"))
+    key = "xxhash64(slice(wh, i + 1, m), m)"
+    at = f"named_struct('key', {key}, 's', i)"
+    cut = F.expr(f"transform(array({_block('n', w)}), m -> transform(sequence(0, n div m - 1), k -> "
+                 f"transform(array(int(k * m)), i -> {at})[0]))[0]")
+    # Partners have up to n div w words more, or lose up to as many as their own bound allows.
+    sizes = F.expr(f"array_distinct(transform(sequence(greatest({2 * w}, n - n div {w}), n + n div {w}), p -> int({_block('p', w)})))")
+    every = F.expr(f"flatten(transform(sizes, m -> transform(sequence(0, n - m), i -> {at})))")
+    blocks = saved(explode_rows(hashed, cut, ["h", "n", "o"], value="x").select("x.key", "x.s", "h", "n", "o"))
+    windows = explode_rows(hashed.withColumn("sizes", sizes), every, ["h"], value="x").select("x.key", F.col("x.s").alias("t"), F.col("h").alias("g"))
+    windows = saved(among(windows, "key", blocks.select("key").distinct()))
+    shared = windows.groupBy("key").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo <> hi").select("key")
+    shared = saved(shared)
+    windows = among(windows, "key", shared).join(shared, "key").join(texts.select(F.col("h").alias("g"), F.col("n").alias("gn"), F.col("o").alias("other")), "g")
+    bound = F.expr(f"least(n, gn) div {w}")
+    blocks = among(blocks, "key", shared).join(shared, "key")
+    pairs = blocks.join(windows, (blocks["key"] == windows["key"]) & (F.col("other") < F.col("o"))
+                        & (F.abs(F.col("s") - F.col("t")) <= bound) & (F.abs(F.col("n") - F.col("gn")) <= bound))
+    pairs = saved(pairs.select("h", "g", "other", bound.alias("bound")).distinct())
+    checked = (pairs.join(texts.select("h", F.col("words").alias("a")), "h")
+               .join(texts.select(F.col("h").alias("g"), F.col("words").alias("b")), "g").where(_within(F.col("bound"))))
+    return checked.groupBy("h").agg(F.min("other").alias("other"))
+
+
+def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_edit: int | None = None) -> DataFrame:
     """(id, th, pos, kept): every dropped line's place and the earliest line alike,
-    as a struct (id, th, pos); th is the hash of the document's text."""
+    as a struct (id, th, pos); th is the hash of the document's text. The bound is
+    one edit, or with ``words_per_edit`` one for every so many words, where that is more."""
+    if words_per_edit is not None and words_per_edit < MIN_WORDS:
+        raise ValueError(f"words_per_edit must be {MIN_WORDS} or more")
     d = docs.select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
     d = d.where(F.col("text").isNotNull())
     lines = saved(_lines(d).select("id", "th", "pos", F.xxhash64("line").alias("h"), F.xxhash64(F.lit("line"), "line").alias("h2"),
                                    _half_keys().alias("keys")).distinct())
     first = saved(lines.groupBy("h", "h2").agg(F.min(F.struct(*ORDER)).alias("o"), F.count(F.lit(1)).alias("n")))
     near = _near(d, lines, first)
+    if words_per_edit:
+        near = near.unionByName(_near_more(d, first, words_per_edit)).groupBy("h").agg(F.min("other").alias("other"))
     state = first.join(near, "h", "left").select("h", "h2", "o", "n", F.least("o", "other").alias("kept"))
     state = saved(state.where("n > 1 or kept < o"))
     return (among(lines, "h", state).join(state, ["h", "h2"]).where(F.struct(*ORDER) != F.col("kept"))
             .select("id", "th", "pos", "kept"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_edit: int | None = None) -> DataFrame:
     """``docs`` with the dropped lines taken out of the text, all columns kept,
     plus ``_dropped``: array of (pos, kept), null where nothing was dropped."""
-    gone = dropped_lines(docs, id_col, text_col)
+    gone = dropped_lines(docs, id_col, text_col, words_per_edit)
     gone = saved(gone.groupBy("id", "th").agg(F.sort_array(F.collect_list(F.struct("pos", "kept"))).alias("_dropped")))
     d = docs.withColumn("_id", F.col(id_col).cast("bigint")).withColumn("_th", F.xxhash64(text_col))
     g = gone.select(F.col("id").alias("_gid"), F.col("th").alias("_gth"), "_dropped")
@@ -167,15 +225,20 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return both.select(*[text.alias(c) if c == text_col else F.col(c) for c in docs.columns], "_dropped")
 
 
-def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+def query(spark: SparkSession, sf_dir: str, words_per_edit: int | None = None) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    out = dedup_lines(docs.select("doc_id", "text"))
+    out = dedup_lines(docs.select("doc_id", "text"), words_per_edit=words_per_edit)
     one = lambda x: F.concat_ws(":", x["pos"], x["kept"]["id"], x["kept"]["pos"])
     dropped = F.array_join(F.transform("_dropped", one), ",")
     return out.select("doc_id", F.coalesce(F.size("_dropped"), F.lit(0)).cast("bigint").alias("n_dropped"),
                       F.coalesce(dropped, F.lit("")).alias("dropped"), "text")
 
 
+def query_by_length(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The query with one edit for every ``WORDS_PER_EDIT`` words."""
+    return query(spark, sf_dir, WORDS_PER_EDIT)
+
+
 ORACLE = r"""
 WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents),
 occ AS (

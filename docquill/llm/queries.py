@@ -6,6 +6,7 @@ from docquill.llm import decontaminate, licenses, line_crf, line_dedup, packing,
 
 QUERIES = {
     "op1_line_dedup": line_dedup.query,
+    "op1_line_dedup_by_length": line_dedup.query_by_length,
     "op2_secrets": secret_scan.query,
     "op3_simhash": simhash.query,
     "op4_packing": packing.query,

@@ -98,6 +98,37 @@ def test_line_dedup_null_and_repeated_ids(spark):
     assert got == [(False, "same line here"), (True, ""), (True, ""), (True, "other")]
 
 
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_line_dedup_by_length(spark):
+    rng = random.Random(21)
+    vocab = [f"w{i}" for i in range(300)]
+    lines = [[rng.choice(vocab) for _ in range(n)] for n in (4, 8, 19, 20, 23, 24, 30, 31, 42, 55, 80, 130)]
+    for base in list(lines):
+        for k in (1, 2, 3, 4, 5, 8, 13, 14, 31):
+            w = list(base)
+            for _ in range(k):
+                p, how = rng.randrange(len(w)), rng.choice("ird")
+                w[p:p + (how != "i")] = ["x" + rng.choice(vocab)] * (how != "d")
+                w = w or ["x"]
+            lines.append(w)
+    rng.shuffle(lines)
+    got = {r.doc_id: r._dropped for r in line_dedup.dedup_lines(frame(spark, [" ".join(w) for w in lines]), words_per_edit=10).collect()}
+    more = 0
+    for i, a in enumerate(lines):
+        alike = [j for j, b in enumerate(lines[:i]) if near(a, b) or abs(len(a) - len(b)) <= (m := min(len(a), len(b)) // 10) and edits(a, b) <= m]
+        assert [x.kept.id for x in got[i] or ()] == alike[:1], i
+        more += bool(alike) and not any(near(a, b) for b in lines[:i])
+    assert more > 20
+
+
 # Secrets --------------------------------------------------------------------
 
 def test_secrets(spark, docs):
