@@ -12,6 +12,12 @@
    directories and ancestors, then between files and directories, so a
    directory with a third of all files costs one row in the first join.
 
+With ``in_prose`` the words around each marker are windows too, inside a line
+or across lines up to the end of the text: for every template the window that
+lies as the template's own words do around its marker. It is compared with the
+templates of its size. A marked line then has the best license of each marker,
+and that of its header windows if no marker scores as high.
+
 Defined results: a null or empty text has no license of its own; null paths
 inherit nothing; rows that agree in path and text are one file, each gets its
 result; of several licence files in a directory the first by path counts, of
@@ -73,6 +79,26 @@ TEMPLATES = [
 ]
 
 
+# Close variants, tags and sentences, beside TEMPLATES: license id, names in notices.
+NAMES = [
+    ("AGPL-3.0", "GNU Affero General Public License, version 3"), ("Apache-2.0", "Apache License, Version 2.0"),
+    ("BSD-2-Clause", "BSD 2-Clause License"), ("BSD-3-Clause", "BSD 3-Clause License"),
+    ("CC-BY-4.0", "Creative Commons Attribution 4.0 International License"),
+    ("CC-BY-NC-4.0", "Creative Commons Attribution-NonCommercial 4.0 International License"),
+    ("CC-BY-NC-SA-4.0", "Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License"),
+    ("CC-BY-SA-4.0", "Creative Commons Attribution-ShareAlike 4.0 International License"), ("GPL-2.0", "GNU General Public License, version 2"),
+    ("GPL-3.0", "GNU General Public License, version 3"), ("ISC", "ISC License"), ("LGPL-2.1", "GNU Lesser General Public License, version 2.1"),
+    ("LGPL-3.0", "GNU Lesser General Public License, version 3"), ("MIT", "MIT License"), ("MPL-2.0", "Mozilla Public License, version 2.0"),
+]
+TAGS = sorted({k for k, _ in TEMPLATES + NAMES})
+MORE_TEMPLATES = (
+    [(k, f"{how} the {x}") for k, x in NAMES for how in ("under", "under the terms of")]
+    + [(k, f"Licensed under {x}.") for k, x in (("CC-BY-SA-4.0", "CC BY-SA 4.0"), ("CC-BY-NC-SA-4.0", "CC BY-NC-SA 4.0"))]
+    + [(k, f"This work is licensed under a {x}.") for k, x in NAMES if "ShareAlike" in x]
+    + [(k, f"SPDX-License-Identifier: {k}{more}") for k in TAGS for more in ("", "-only", "-or-later")[:3 if "GPL" in k else 1]])
+MARKER_WORD = r"licen[cs]e|copyright|spdx|^(redistribution|permission|public)$"
+
+
 def _low(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
@@ -110,6 +136,60 @@ def headers(files: DataFrame) -> DataFrame:
         "path", "th", "line", "lines", F.array_join(F.slice("all", F.col("line") + 1, F.col("lines")), "\n").alias("x"))
 
 
+def shapes(templates) -> list[tuple[int, int]]:
+    """(words before the marker, words in all) for every marker word of every template."""
+    import re
+
+    split = [re.findall("[a-z0-9]+", x.lower()) for _, x in templates]
+    return sorted({(i, len(w)) for w in split for i, x in enumerate(w) if re.search(MARKER_WORD, x)})
+
+
+def prose_matches(files: DataFrame, templates, min_cosine: float = MIN_COSINE) -> DataFrame:
+    """(path, th, line, license, cosine): the best template of the windows of words around each marker."""
+    vectors, unknown = template_vectors(files.sparkSession, templates)
+    size = F.broadcast(vectors.groupBy("t").agg(F.sum(F.round(F.col("weight") / F.col("idf"))).cast("int").alias("k")))
+    vectors = F.broadcast(vectors.join(size, "t"))
+    idf = F.broadcast(vectors.select("w", "idf").distinct())
+    shape = shapes(templates)
+    far = max(k for _, k in shape)
+    marked = files.where(F.regexp_like(_low("text"), F.lit(MARKER))).select("path", "th", "text").distinct()
+    lines = F.transform(F.split("text", "\n"), lambda x, i: F.transform(_words(x), lambda w: F.struct(w.alias("w"), i.alias("line"))))
+    spots = bind(F.flatten(lines), lambda ws: F.transform(
+        F.filter(F.transform(ws, lambda x, i: F.struct(x["w"].alias("w"), x["line"].alias("line"), i.alias("i"))),
+                 lambda x: F.regexp_like(x["w"], F.lit(MARKER_WORD))),
+        lambda x: F.struct(x["line"].alias("line"), x["i"].alias("i"), F.least(x["i"], F.lit(far)).alias("at"),
+                           F.slice(ws, F.greatest(x["i"] - far, F.lit(0)) + 1, F.lit(2 * far))["w"].alias("near"))))
+    spot = saved(explode_rows(marked, spots, ["path", "th"], value="s").select("path", "th", "s.*"))
+    key = ["path", "th", "line", "i"]
+    # Equal surroundings are scored once.
+    spot = spot.withColumn("g", F.xxhash64("at", "near"))
+    once = spot.groupBy("g").agg(F.first("at").alias("at"), F.first("near").alias("near"))
+    each = F.array(*[F.struct(F.lit(b).alias("b"), F.lit(k).alias("k")) for b, k in shape])
+    win = once.select("g", "at", "near", F.explode(each).alias("x")).where("x.b <= at").select(
+        "g", F.col("x.b").alias("b"), F.col("x.k").alias("k"), F.slice("near", F.col("at") - F.col("x.b") + 1, F.col("x.k")).alias("words"))
+    tf = win.select("g", "b", "k", F.explode("words").alias("w")).groupBy("g", "b", "k", "w").count()
+    tf = tf.join(idf, "w", "left").withColumn("weight", F.col("count") * F.coalesce("idf", F.lit(unknown))).drop("idf")
+    own = tf.groupBy("g", "b", "k").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("own"))
+    dots = (tf.join(vectors.select("w", "t", "license", "k", F.col("weight").alias("tw"), "length"), ["w", "k"])
+            .groupBy("g", "b", "k", "t", "license", "length").agg(F.sum(F.col("weight") * F.col("tw")).alias("dot")))
+    cos = dots.join(own, ["g", "b", "k"]).withColumn("cosine", F.round(F.col("dot") / F.col("own") / F.col("length"), 6))
+    # Of equal cosines the longer template says more.
+    best = cos.groupBy("g").agg(F.min(F.struct((-F.col("cosine")).alias("c"), (-F.col("k")).alias("k"), "license")).alias("m"))
+    best = best.select("g", F.col("m.license").alias("license"), (-F.col("m.c")).alias("cosine")).where(F.col("cosine") >= min_cosine)
+    found = spot.select("g", *key).join(best, "g")
+    return found.groupBy("path", "th", "line", "license").agg(F.max("cosine").alias("cosine"))
+
+
+def all_matches(files: DataFrame, templates, min_cosine: float) -> DataFrame:
+    """The matches of header windows and of words; a line's header match counts if no word window of the line scores as high."""
+    words, head = saved(prose_matches(files, templates, min_cosine)), matches(files, templates, min_cosine)
+    on = ["path", "th", "line"]
+    top = words.groupBy(*on).agg(F.max("cosine").alias("top")).select(*[F.col(c).alias("_" + c) for c in on], "top")
+    same = F.col("path").eqNullSafe(F.col("_path")) & (F.col("th") == F.col("_th")) & (F.col("line") == F.col("_line"))
+    more = head.join(top, same, "left").where("top is null or cosine > top").select(words.columns)
+    return words.unionByName(more).groupBy(*on, "license").agg(F.max("cosine").alias("cosine"))
+
+
 def matches(files: DataFrame, templates=TEMPLATES, min_cosine: float = MIN_COSINE) -> DataFrame:
     """(path, th, line, license, cosine): the best template of each marked line of files (path, th, text)."""
     vectors, unknown = template_vectors(files.sparkSession, templates)
@@ -130,7 +210,7 @@ def matches(files: DataFrame, templates=TEMPLATES, min_cosine: float = MIN_COSIN
 
 
 def scan(files: DataFrame, is_license_file: Column | None = None, path_col: str = "path", text_col: str = "text",
-         templates=TEMPLATES, min_cosine: float = MIN_COSINE) -> DataFrame:
+         templates=TEMPLATES, min_cosine: float = MIN_COSINE, in_prose: bool = False) -> DataFrame:
     """One row per file: (path, th, licenses, n_matches, cosine, inherited, license_dir).
 
     ``licenses``: own ids, sorted and comma-joined, or the inherited one.
@@ -139,7 +219,7 @@ def scan(files: DataFrame, is_license_file: Column | None = None, path_col: str
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     f = files.select(F.col(path_col).alias("path"), F.xxhash64(text).alias("th"), text.alias("text"))
-    found = saved(matches(f, templates, min_cosine))
+    found = saved((all_matches if in_prose else matches)(f, templates, min_cosine))
     own = found.groupBy("path", "th").agg(
         F.array_join(F.array_sort(F.collect_set("license")), ",").alias("own"), F.count(F.lit(1)).alias("n_matches"),
         F.max("cosine").alias("cosine"), F.min(F.struct("line", "license")).alias("first"))
@@ -165,15 +245,20 @@ def scan(files: DataFrame, is_license_file: Column | None = None, path_col: str
                       inherits.alias("inherited"), F.when(inherits, F.col("above")).alias("license_dir"))
 
 
-def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+def query(spark: SparkSession, sf_dir: str, **how) -> DataFrame:
     """Documents as files ``source/doc_id div 1000/doc_id.txt``; a document that opens with its license speaks for its directory."""
     docs = read(spark, sf_dir, "documents")
     path = F.format_string("%s/%d/%d.txt", F.col("source"), F.expr("doc_id div 1000"), F.col("doc_id"))
-    out = scan(docs.select(path.alias("path"), "text"), is_license_file=F.col("first_line") == 0)
+    out = scan(docs.select(path.alias("path"), "text"), is_license_file=F.col("first_line") == 0, **how)
     doc_id = F.regexp_extract("path", r"([0-9-]+)\.txt$", 1).try_cast("bigint")
     return out.select(doc_id.alias("doc_id"), "path", "licenses", "n_matches", "cosine", "inherited", "license_dir")
 
 
+def query_in_prose(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The query with windows of words and all templates."""
+    return query(spark, sf_dir, templates=TEMPLATES + MORE_TEMPLATES, in_prose=True)
+
+
 def oracle(templates=TEMPLATES) -> str:
     rows = ", ".join("({}, '{}', '{}')".format(i, k, x.replace("'", "''")) for i, (k, x) in enumerate(templates))
     low = "translate({}, '%s', '%s')" % (UPPER, LOWER)

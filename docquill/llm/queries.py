@@ -13,6 +13,7 @@ QUERIES = {
     "op5_token_counts": token_counts.query,
     "op6_token_files": token_files.query,
     "op7_licenses": licenses.query,
+    "op7_licenses_in_prose": licenses.query_in_prose,
     "op8_decontaminate": decontaminate.query,
     "op9_line_crf": line_crf.query,
     "op10_quality_rules": quality_rules.query,

@@ -334,6 +334,23 @@ def test_licenses_and_inheritance(spark):
                           ("q/w.py", "Apache-2.0", True, ""), ("q/w.py", "Apache-2.0", True, "")], key=str)
 
 
+def test_licenses_in_prose(spark):
+    prose = "The old mill by the river was rebuilt last year and many people came to see how the great wheel turned again"
+    said = [(k, f"SPDX-License-Identifier: {k}") for k in licenses.TAGS] + [
+        ("GPL-3.0", "// SPDX-License-Identifier: GPL-3.0-or-later"), ("MIT", f"{prose} released under the MIT License and {prose}"),
+        ("Apache-2.0", f"{prose}. Licensed under the Apache License, Version 2.0. {prose}"), ("CC-BY-4.0", f"{prose}. Licensed under CC BY 4.0. {prose}"),
+        ("LGPL-3.0", f"{prose}; licensed under the GNU Lesser General Public License, version 3. {prose}"),
+        ("GPL-3.0", f"{prose}. This work is licensed under the GNU General Public License, version 3. {prose}"),
+        ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+        ("Apache-2.0,MIT", f"{prose}. Licensed under the MIT License. {prose}. Licensed under the Apache License, Version 2.0."),
+        ("MIT", f"{prose}\nwhich is released under\nthe MIT License."), (None, f"{prose}, a license for {prose}"),
+        (None, "SPDX-License-Identifier: Zlib"), (None, f"a copyright and a licence, {prose}")]
+    d = spark.createDataFrame([(f"{i}/x.py", t) for i, (_, t) in enumerate(said)], "path string, text string")
+    every = licenses.TEMPLATES + licenses.MORE_TEMPLATES
+    got = {r.path: r.licenses for r in licenses.scan(d, templates=every, in_prose=True).collect()}
+    assert [got[f"{i}/x.py"] for i in range(len(said))] == [k for k, _ in said]
+
+
 # Decontamination ------------------------------------------------------------
 
 def bench_words(t):
