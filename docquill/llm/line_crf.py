@@ -3,9 +3,10 @@
 Every line is a node with the states bad and good. Its features describe the
 line and its two neighbours; transition weights tie neighbouring states. The
 weights are fitted once, on the driver, to a bounded sample of labelled
-documents (``TRAIN_DOCS`` documents of up to ``TRAIN_LINES`` lines, chosen by
-a hash of the id among rows that are not held out; each line takes its
-document's label). Scoring reads every whole text in Arrow batches:
+documents (``TRAIN_DOCS`` documents, chosen by a hash of the id among rows
+that are not held out; each line takes its document's label; of a document of
+more than ``TRAIN_LINES`` lines a run of that many takes part, its place given
+by a hash of the id). Scoring reads every whole text in Arrow batches:
 forward-backward gives each line's probability of being good, and a
 document's score is their mean weighted by line length.
 
@@ -17,6 +18,7 @@ an empty table gives an empty result; extra columns play no part.
 
 from __future__ import annotations
 
+import zlib
 from operator import eq
 
 import numpy as np
@@ -145,6 +147,15 @@ def fit(docs: list[np.ndarray], labels: list[int], steps: int = STEPS, l2: float
     return Model(theta[:f], theta[f:].reshape(2, 2))
 
 
+def some_lines(own: np.ndarray, id_: int) -> np.ndarray:
+    """A run of ``TRAIN_LINES`` lines of a longer document, the whole of others."""
+    spare = len(own) - TRAIN_LINES
+    if spare <= 0:
+        return own
+    at = zlib.crc32(str(id_).encode()) % (spare + 1)
+    return own[at:at + TRAIN_LINES]
+
+
 def held_out(id_: Column) -> Column:
     """True for the rows that never take part in training."""
     return F.coalesce(F.pmod(F.crc32(id_.cast("string")), F.lit(3)) == 1, F.lit(False))
@@ -161,12 +172,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def run(batches):
         for batch in batches:
-            out = [line_features(lines_of(t.as_py())).astype(np.float32).tobytes() for t in batch.column(2)]
+            out = [some_lines(line_features(lines_of(t.as_py())), i.as_py()).astype(np.float32).tobytes()
+                   for i, t in zip(batch.column(0), batch.column(2))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["id", "y", "x"])
 
     d = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     d = d.join(F.broadcast(known), "id").select("id", "y", "t")       # ``rows`` rows at most
-    d = d.where(F.length("t") - F.length(F.replace("t", F.lit("\n"))) < TRAIN_LINES)
     found = sorted((r["id"], bytes(r["x"]), r["y"]) for r in d.mapInArrow(run, "id bigint, y int, x binary")
                    .orderBy("id", "x").limit(2 * rows).collect())
     x = [np.frombuffer(b, np.float32).reshape(-1, N_OWN).astype(np.float64) for _, b, _ in found]

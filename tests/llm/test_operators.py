@@ -455,6 +455,14 @@ def test_classifier_edges(spark, docs):
     assert len(got) == len(TEXTS) and all(0 <= r.score <= 1 for r in got)
 
 
+def test_classifier_learns_from_long_documents(spark):
+    good, bad = "A plain sentence of some words stands here.", "### $$$ !!! BUY BUY BUY NOW"
+    long = frame(spark, ["\n".join([(bad, good)[i % 2]] * (64 + i)) for i in range(60)])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id bigint, quality int")
+    got = line_crf.quality(long, line_crf.train(long, labels)).collect()
+    assert all((r.score > 0.5) == (r.id % 2 == 1) for r in got)
+
+
 # Quality rules --------------------------------------------------------------
 
 def brute_rules(t):
