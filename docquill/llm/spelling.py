@@ -161,20 +161,22 @@ def first_states(edges: DataFrame) -> DataFrame:
     return replaced.unionByName(inner).unionByName(leaf)
 
 
-def advance(states: DataFrame, level: int, edges: DataFrame, below: DataFrame) -> DataFrame:
-    """Both places of each state moved along one equal letter. ``edges``: those of ``level``; ``below``: of the next."""
-    e = _renamed(edges, "e")
-    b_next = _letter(F.col("bw"), F.lit(level) + F.col("longer"))
-    moved = states.where("a is not null").join(e, F.col("a") == F.col("ep")).where(F.col("bw").isNull() | (F.col("ec") == b_next))
-    moved = moved.select("at", "longer", F.col("ec").alias("c"), F.col("ex").alias("a"), F.col("ew").alias("aw"),
+def advance(states: DataFrame, edges: DataFrame, below: DataFrame) -> DataFrame:
+    """Both places of each state moved along one equal letter. ``edges``: those
+    of the states' level ``d``; ``below``: of the next. The level is a column,
+    so that all levels run the same compiled code."""
+    e, up = _renamed(edges, "e"), (F.col("d") + 1).alias("d")
+    moved = states.where("a is not null").join(e, F.col("a") == F.col("ep"))
+    moved = moved.where(F.col("bw").isNull() | (F.col("ec") == _letter(F.col("bw"), F.col("d") + F.col("longer"))))
+    moved = moved.select("d", "at", "longer", F.col("ec").alias("c"), F.col("ex").alias("a"), F.col("ew").alias("aw"),
                          F.col("en").alias("an"), "b", "bw", "bn")
-    along = states.where("aw is not null").select("at", "longer", _letter(F.col("aw"), F.lit(level)).alias("c"), "a", "aw", "an",
+    along = states.where("aw is not null").select("d", "at", "longer", _letter(F.col("aw"), F.col("d")).alias("c"), "a", "aw", "an",
                                                   "b", "bw", "bn")
-    half = moved.unionByName(along)
     g = _renamed(edges.unionByName(below), "g")
-    inner = half.where("b is not null").join(g, (F.col("b") == F.col("gp")) & (F.col("c") == F.col("gc")))
-    inner = inner.select("at", "longer", "a", "aw", "an", F.col("gx").alias("b"), F.col("gw").alias("bw"), F.col("gn").alias("bn"))
-    return inner.unionByName(half.where("bw is not null").select(*STATE))
+    half = moved.unionByName(along).where("b is not null")
+    inner = half.join(g, (F.col("b") == F.col("gp")) & (F.col("c") == F.col("gc")))
+    inner = inner.select(up, "at", "longer", "a", "aw", "an", F.col("gx").alias("b"), F.col("gw").alias("bw"), F.col("gn").alias("bn"))
+    return inner.unionByName(moved.where("bw is not null").select(up, *STATE))
 
 
 def verified(pairs: DataFrame) -> DataFrame:
@@ -186,26 +188,27 @@ def verified(pairs: DataFrame) -> DataFrame:
     return pairs.where(same).select(F.col("aw").alias("a"), "an", F.col("bw").alias("b"), "bn")
 
 
+def _by_level(df: DataFrame, level: str) -> DataFrame:
+    """``df`` saved in a folder for each level."""
+    path = shared_path(df.sparkSession)
+    df.write.partitionBy(level).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _short_pairs(words: DataFrame, long: int) -> DataFrame:
     """Near words of which one has less than ``long`` code points."""
     spark = words.sparkSession
-    at = lambda df, path: df.write.partitionBy("depth").parquet(path) or path
-    path = at(edge_table(words.where(F.char_length("word") <= long)), shared_path(spark))
-    table = spark.read.schema(EDGE).parquet(path)
-    deepest = table.agg(F.max("depth")).first()[0]
+    table = _by_level(edge_table(words.where(F.char_length("word") <= long)), "depth")
+    starts = _by_level(first_states(table), "d")
     level_of = lambda d: table.where(F.col("depth") == d)
-    began = shared_path(spark)
-    first_states(table).write.partitionBy("d").parquet(began)
-    if deepest is None:
-        deepest = -1
-    starts = spark.read.schema("at int, longer int, a bigint, aw string, an bigint, b bigint, bw string, bn bigint, d int").parquet(began)
+    deepest = table.agg(F.coalesce(F.max("depth"), F.lit(-1))).first()[0]
     both = "aw is not null and bw is not null"
-    found, moved = [starts.where(both).select(*STATE)], None
+    found, moved = [starts.where(both)], None
     for level in range(1, deepest + 1):
-        here = starts.where((F.col("d") == level) & ~F.expr(both)).select(*STATE)
+        here = starts.where((F.col("d") == level) & ~F.expr(both))
         if moved is not None:
             here = here.unionByName(moved.where(f"not ({both})"))
-        moved = saved(advance(here, level, level_of(level), level_of(level + 1)))
+        moved = saved(advance(here, level_of(level), level_of(level + 1)))
         found.append(moved.where(both))
     out = found[0]
     for df in found[1:]:
