@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docquill.llm import decontaminate, licenses, line_crf, line_dedup, packing, quality_rules, secret_scan, simhash, spelling, token_counts, token_files
+from docquill.llm import decontaminate, licenses, line_crf, line_dedup, packing, quality_rules, secret_scan, simhash, spelling, token_counts, token_files, toxicity, whitening
 
 QUERIES = {
     "op1_line_dedup": line_dedup.query,
@@ -17,7 +17,9 @@ QUERIES = {
     "op8_decontaminate": decontaminate.query,
     "op9_line_crf": line_crf.query,
     "op10_quality_rules": quality_rules.query,
+    "op11_toxicity": toxicity.query,
     "op12_spelling": spelling.query,
+    "op13_whitening": whitening.query,
 }
 
 ORACLE = {
