@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from docquill.llm.common import per_worker, read, ready, saved
 from docquill.llm.token_counts import vocabulary
-from docquill.llm.tokens import WordIds
+from docquill.llm.tokens import WordIds, slices
 
 CAPACITY = 4096
 SHARD_PIECES = 16_384       # wanted pieces of a shard
@@ -43,23 +43,26 @@ def pieces(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end_id: int =
            id_col: str = "doc_id", text_col: str = "text", find=vocabulary) -> DataFrame:
     """(id, piece, start, length, ids_crc32): the pieces of every row of ``docs``."""
     ready(docs.sparkSession)
-    end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
         coder = per_worker(f"ids:{tokenizer}", lambda: WordIds(find(tokenizer)))
         for batch in batches:
-            rows = []
-            for name, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = coder.ids(text.as_py()) + end
-                for k, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[at:at + 4 * capacity]
-                    rows.append((name, k, at // 4, len(part) // 4, zlib.crc32(part)))
-            cols = list(zip(*rows)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(
-                cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))],
-                ["id", "piece", "start", "length", "ids_crc32"])
-
-    text = F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8")
+            names, at = batch.column(0), 0
+            for texts in slices(batch.column(1)):
+                ids, sizes = coder.ids(texts, end_id)
+                cuts = -(-sizes // capacity)
+                row = np.repeat(np.arange(len(sizes)), cuts)
+                piece = np.arange(len(row)) - np.repeat(np.cumsum(cuts) - cuts, cuts)
+                start = piece * capacity
+                length = np.minimum(sizes[row] - start, capacity)
+                first = (np.cumsum(sizes) - sizes)[row] + start
+                crc = [zlib.crc32(ids[a:a + n]) for a, n in zip(first.tolist(), length.tolist())]
+                yield pa.RecordBatch.from_arrays([
+                    names.slice(at, len(sizes)).take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length),
+                    pa.array(crc, pa.int64())], ["id", "piece", "start", "length", "ids_crc32"])
+                at += len(sizes)
+
+    text = F.coalesce(F.col(text_col), F.lit(""))
     return docs.select(F.col(id_col).cast("bigint").alias("id"), text.alias("t")).mapInArrow(
         run, "id bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
 

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from docquill.llm import rans
 from docquill.llm.common import per_worker, read, ready, shared_path
 from docquill.llm.token_counts import vocabulary
-from docquill.llm.tokens import WordIds
+from docquill.llm.tokens import WordIds, slices
 
 PART_BYTES = 32 << 20       # text of a file part
 SEGMENT_TOKENS = 1 << 22    # tokens after which a segment ends, at the end of a document
@@ -37,14 +37,13 @@ BLOCK_TYPE = pa.list_(pa.struct([("n", pa.int64()), ("states", pa.binary()), ("w
                                  ("crc", pa.int64()), ("ids_crc", pa.int64())]))
 
 
-def _segment(seq: int, docs: list, ids: list[bytes]) -> pa.RecordBatch:
-    flat = np.frombuffer(b"".join(ids), "<u4")
+def _segment(seq: int, docs: list, lengths: list, flat: np.ndarray) -> pa.RecordBatch:
     table = rans.Table.of(flat)
     return pa.RecordBatch.from_arrays([
         pa.array([seq], pa.int64()), pa.array([len(flat)], pa.int64()),
         pa.array([table.symbols.astype("<u4").tobytes()], pa.binary()),
         pa.array([table.freqs.astype("<u4").tobytes()], pa.binary()), pa.array([table.bits], pa.int32()),
-        pa.array([docs], pa.list_(pa.int64())), pa.array([[len(x) // 4 for x in ids]], pa.list_(pa.int64())),
+        pa.array([docs], pa.list_(pa.int64())), pa.array([lengths], pa.list_(pa.int64())),
         pa.array([rans.encode(flat, table)], BLOCK_TYPE)],
         ["seq", "n_tokens", "symbols", "freqs", "bits", "doc_ids", "lengths", "blocks"])
 
@@ -54,26 +53,35 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str = "word_bpe_49k
                       segment_tokens: int = SEGMENT_TOKENS, find=vocabulary) -> None:
     """Write the ids of every text, each followed by ``end_id``, in id order under ``path``."""
     ready(docs.sparkSession)
-    end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
         coder = per_worker(f"ids:{tokenizer}", lambda: WordIds(find(tokenizer)))
-        seq, names, ids, size = 0, [], [], 0
+        seq, names, lengths, parts, size = 0, [], [], [], 0
         for batch in batches:
-            for name, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                got = coder.ids(text.as_py()) + end
-                names.append(name)
-                ids.append(got)
-                size += len(got) // 4
-                if size >= segment_tokens:
-                    yield _segment(seq, names, ids)
-                    seq, names, ids, size = seq + 1, [], [], 0
+            at = 0
+            for texts in slices(batch.column(1)):
+                ids, sizes = coder.ids(texts, end_id)
+                own = batch.column(0).slice(at, len(sizes)).to_pylist()
+                at, begin, first = at + len(sizes), 0, 0
+                ends = np.cumsum(sizes)
+                while begin < len(sizes):       # whole documents up to the segment's size
+                    most = int(np.searchsorted(ends, first + segment_tokens - size)) + 1
+                    stop = min(most, len(sizes))
+                    last = int(ends[stop - 1])
+                    names += own[begin:stop]
+                    lengths += sizes[begin:stop].tolist()
+                    parts.append(ids[first:last])
+                    size += last - first
+                    begin, first = stop, last
+                    if size >= segment_tokens:
+                        yield _segment(seq, names, lengths, np.concatenate(parts))
+                        seq, names, lengths, parts, size = seq + 1, [], [], [], 0
         if names:
-            yield _segment(seq, names, ids)
+            yield _segment(seq, names, lengths, np.concatenate(parts))
 
     text = F.coalesce(F.col(text_col), F.lit(""))
     size = docs.agg(F.coalesce(F.sum(F.octet_length(text) + 64), F.lit(0))).first()[0]
-    d = docs.select(F.col(id_col).cast("bigint").alias("id"), F.encode(text, "UTF-8").alias("t"))
+    d = docs.select(F.col(id_col).cast("bigint").alias("id"), text.alias("t"))
     d = d.withColumn("h", F.xxhash64("t")).repartitionByRange(max(1, -(-size // part_bytes)), "id", "h")
     d = d.sortWithinPartitions("id", "h").select("id", "t")
     out = d.mapInArrow(run, SEGMENT).select(F.spark_partition_id().cast("bigint").alias("part"), "*")

@@ -2,22 +2,46 @@
 
 Both libraries used here cut a text at white space before they merge pieces
 (checked from the vocabulary where it matters), so the ids of a text are those
-of its words in order. A worker keeps the result of each word that it has
-seen, in tables of bounded size, and asks the library for new
-words only, in batches balanced by bytes.
+of its words in order. Arrow splits the texts of a slice of bounded size and
+numbers their distinct words; only these are looked at one by one. A worker
+keeps the result of each word that it has seen, in tables of bounded size, and
+asks the library for new words only, in batches balanced by bytes. numpy then
+lays out the ids of all words of the slice in one array.
 """
 
 from __future__ import annotations
 
 import os
 import re
-import struct
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 WORDS = 400_000             # words of a generation that a worker remembers
 BATCH_BYTES = 1 << 20       # new text sent to the library at a time
 LONG_WORD = 64              # longer words are not remembered
+SLICE_BYTES = 16 << 20      # text whose words are numbered together; a longer text is a slice of its own
+
+
+def slices(texts: pa.Array, limit: int = SLICE_BYTES):
+    """Runs of whole texts of at most ``limit`` bytes, at least one text each."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends, at = np.cumsum(sizes), 0
+    while at < len(texts):
+        most = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + limit, "right"))
+        n = max(1, most - at)
+        yield texts.slice(at, n)
+        at += n
+
+
+def coded_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """(number of each word of all texts, words of each text, distinct words), cut at ASCII white space; white
+    space at an end, or nothing, gives empty words."""
+    lists = pc.ascii_split_whitespace(texts.cast(pa.large_string()))
+    sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    words = lists.flatten().dictionary_encode()
+    return words.indices.to_numpy(zero_copy_only=False), sizes, words.dictionary
 
 
 def batches(words: list, limit: int = BATCH_BYTES):
@@ -50,10 +74,6 @@ class Remembered:
     def __init__(self, make):
         self.make, self.young, self.old = make, _Table(), {}
 
-    def peek(self, word):
-        """The value of a word if it is kept."""
-        return self.young.get(word) or self.old.get(word)
-
     def of(self, words: list) -> list:
         young = self.young
         out = list(map(young.__getitem__, words))
@@ -74,7 +94,8 @@ class Remembered:
 
 # Letters that one word of the vocabulary's pattern takes together, and marks
 # that it takes together after them; anything else goes to the library whole.
-PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?]*)")
+LETTERS = "^[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+$"
+MARKS = ".,;:!?"
 
 
 def byte_letters() -> dict[int, str]:
@@ -85,14 +106,33 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+class Ids:
+    """Id sequences laid end to end: sequence k is ``flat[first[k]:first[k] + n[k]]``."""
+
+    def __init__(self, flat: np.ndarray, n: np.ndarray):
+        self.flat, self.n, self.first = flat, n, np.cumsum(n) - n
+
+    @classmethod
+    def of(cls, parts: list[bytes]) -> "Ids":
+        return cls(np.frombuffer(b"".join(parts), "<u4"), np.fromiter(map(len, parts), np.int64, len(parts)) >> 2)
+
+    def take(self, which: np.ndarray) -> "Ids":
+        many = self.n[which]
+        ends = np.cumsum(many)
+        place = np.repeat(self.first[which] - (ends - many), many)
+        place += np.arange(len(place))
+        return Ids(self.flat[place], many)
+
+
 class WordIds:
     """Ids by the ``tokenizers`` library for a vocabulary that drops white space.
 
     A word is sent with a space before it, so that a combining mark at its
     start meets what it meets in the text. Special strings inside a text are
     found by the library in the word that holds them. Plain words (Latin
-    letters, then marks) go straight to the library's merge model, if that
-    gives the same ids for a set of test words.
+    letters, then marks) are split into letters in lower case and marks, so
+    that all their forms are one word, and the letters go straight to the
+    library's merge model, if that gives the same ids for a set of test words.
     """
 
     def __init__(self, path: str):
@@ -102,39 +142,59 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.letters = byte_letters()
-        self.marks = {"": b""}
-        self.plain = False
-        self.words = Remembered(self._make)
+        self.merges = Tokenizer(self.tokenizer.model)
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)    # ids that end a word
+        self.last[[i for t, i in vocabulary.items() if suffix and t.endswith(suffix)]] = True
+        letters = byte_letters()
+        self.letters = {c: "".join(map(letters.get, chr(c).encode())) for c in range(0xC0, 0x100)}
+        self.marks, self.words, self.bodies = Remembered(self._library), Remembered(self._library), Remembered(self._merged)
+        self.plain = True
         tests = [w + m for w in ("the", "Thhaen", "A", "ÀÖß", "øÿ", "ciónñga", "Größe", "x" * 40) for m in ("", ".", ",!?")]
-        self.plain = self._make([w.encode() for w in tests]) == [self._plain(PLAIN.fullmatch(w)) for w in tests]
+        self.plain = bool(suffix) and self._distinct(pa.array(tests, pa.large_string())).flat.tobytes() == b"".join(self._library(tests))
 
     def _library(self, words: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast([" " + w for w in words], add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in found]
 
-    def _plain(self, match) -> bytes:
-        word, marks = match.groups()
-        word = word.lower()
-        if marks not in self.marks:
-            self.marks[marks] = self._library([marks])[0]
-        known = self.words.peek(word.encode())
-        if known is None:
-            if not word.isascii():
-                word = "".join(map(self.letters.__getitem__, word.encode()))
-            ids = [t.id for t in self.tokenizer.model.tokenize(word)]
-            known = struct.pack(f"<{len(ids)}I", *ids)
-        return known + self.marks[marks]
-
-    def _make(self, words: list[bytes]) -> list[bytes]:
-        texts = [w.decode() for w in words]
-        plain = [PLAIN.fullmatch(w) if self.plain and len(w) <= LONG_WORD else None for w in texts]
-        other = iter(self._library([w for w, m in zip(texts, plain) if not m]))
-        return [self._plain(m) if m else next(other) for m in plain]
-
-    def ids(self, text: bytes) -> bytes:
-        """The ids of UTF-8 text as little-endian unsigned 32-bit integers."""
-        return b"".join(self.words.of(text.split()))
+    def _merged(self, words: list[str]) -> list[bytes]:
+        """Ids of words of Latin letters in lower case; the last piece of each word is one that ends words."""
+        spelt = [w if w.isascii() else w.translate(self.letters) for w in words]
+        ids = np.array(self.merges.encode(spelt, is_pretokenized=True, add_special_tokens=False).ids, "<u4")
+        ends = (np.flatnonzero(self.last[ids]) + 1) * 4
+        if len(ends) != len(words):
+            return self._library(words)
+        data = ids.tobytes()
+        return [data[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
+
+    def _distinct(self, words: pa.Array) -> Ids:
+        """Ids of distinct words."""
+        bodies = pc.utf8_rtrim(words, MARKS)
+        plain = pc.and_(pc.match_substring_regex(bodies, LETTERS), pc.less_equal(pc.binary_length(words), LONG_WORD))
+        plain = plain.to_numpy(zero_copy_only=False) & self.plain
+        own, other = np.flatnonzero(plain), np.flatnonzero(~plain)
+        body = pc.utf8_lower(bodies.take(pa.array(own))).dictionary_encode()
+        marks = pc.replace_substring_regex(words.take(pa.array(own)), f"^[^{MARKS}]+", "").dictionary_encode()
+        units = Ids.of([*self.bodies.of(body.dictionary.to_pylist()), *self.marks.of(marks.dictionary.to_pylist()),
+                        *self.words.of(words.take(pa.array(other)).to_pylist()), b""])
+        n, m = len(body.dictionary), len(marks.dictionary)
+        which = np.full((len(words), 2), len(units.n) - 1)      # a word's letters and its marks
+        which[own, 0] = body.indices.to_numpy(zero_copy_only=False)
+        which[own, 1] = n + marks.indices.to_numpy(zero_copy_only=False)
+        which[other, 0] = n + m + np.arange(len(other))
+        both = units.take(which.reshape(-1))
+        return Ids(both.flat, both.n.reshape(-1, 2).sum(1))
+
+    def ids(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts end to end, number of each text), each text closed by ``end_id``."""
+        codes, sizes, words = coded_words(texts)
+        known = self._distinct(words)
+        known = Ids(np.append(known.flat, np.array(end_id, "<u4")), np.append(known.n, 1))
+        closed = np.insert(codes.astype(np.int64), np.cumsum(sizes), len(words))
+        out = known.take(closed)
+        last = np.cumsum(out.n)[np.cumsum(sizes + 1) - 1] if len(sizes) else np.zeros(0, np.int64)
+        return out.flat, np.diff(last, prepend=0)
 
 
 class PieceCounts:

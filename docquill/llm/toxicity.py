@@ -9,7 +9,7 @@ probability. A text is read whole, as overlapping windows (each begins
 ``STRIDE`` words after the one before, the last ends with the text); its score
 is that of its most toxic window.
 
-Training is plain numpy on the driver, over a bounded sample: at most
+Training is plain numpy in one task, over a bounded sample: at most
 ``TRAIN_DOCS`` labelled documents that are not held out, half of them toxic if
 there are so many, chosen by a hash of the id; of a longer one a run of
 ``TRAIN_WORDS`` words, its place given by a hash of the id. Labels are of whole
@@ -28,6 +28,7 @@ whatever their names, play no part.
 
 from __future__ import annotations
 
+import pickle
 import zlib
 
 import numpy as np
@@ -47,10 +48,11 @@ GRAMS = (3, 4, 5)
 HIDDEN = 10                 # states of one direction
 ATTENTION = 10
 LEAST_DOCS = 5              # training documents that must share a table row for it to be learnt
-EPOCHS = 12
+EPOCHS = 10
 RATE = 0.01
 BATCH = 256                 # windows of a training step, fewer where an epoch has less than 24 such steps
 SIDE_BY_SIDE = 2048         # windows that scoring steps through at once
+BLOCK_WORDS = 1 << 15       # distinct words whose n-grams are summed at a time
 SLICE_BYTES = 12 << 20       # text encoded at a time
 EDGE_MARK = "\x01"
 TRIM = ".,;:!?\"'()[]{}<>|*#-_/\\" + EDGE_MARK
@@ -135,8 +137,8 @@ def inputs(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
                 if 0 < j < k - 1:
                     inside &= ~edge[j:j + n]
             start = np.flatnonzero(inside)
-            at.append(number[start])
-            rows.append(_mixed(h[start], GRAM_ROWS))
+            at.append(number[start].astype(np.int32))
+            rows.append(_mixed(h[start], GRAM_ROWS).astype(np.int32))
     at, rows = np.concatenate(at), np.concatenate(rows)
     order = np.argsort(at, kind="stable")
     return _mixed(whole, WORD_ROWS), at[order], rows[order]
@@ -184,10 +186,15 @@ def gathered(at: np.ndarray, values: np.ndarray, rows: int) -> np.ndarray:
 def word_vectors(p, words, grams_at, grams) -> tuple[np.ndarray, np.ndarray]:
     """Inputs of distinct words (table rows ``words``), and the number of n-grams of each."""
     n = np.bincount(grams_at, minlength=len(words))
+    ends = np.cumsum(n)
     mean = np.zeros((len(words), GRAM_DIM), np.float32)
-    some = np.flatnonzero(n)
-    if len(some):
-        mean[some] = np.add.reduceat(p["gram"][grams], (np.cumsum(n) - n)[some], axis=0) / n[some, None]
+    for k in range(0, len(words), BLOCK_WORDS):
+        own = n[k:k + BLOCK_WORDS]
+        some = np.flatnonzero(own)
+        if len(some):
+            first = ends[k] - n[k]
+            vectors = p["gram"][grams[first:first + own.sum()]]
+            mean[k + some] = np.add.reduceat(vectors, (np.cumsum(own) - own)[some], axis=0) / own[some, None]
     return np.hstack([p["word"][words], mean]), n
 
 
@@ -431,19 +438,25 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     d = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     d = d.join(F.broadcast(chosen), "id").select("id", "y", "t")        # ``rows`` rows at most
     found = d.mapInArrow(run, "id bigint, y int, run string").groupBy("id").agg(F.first("y").alias("y"), F.min("run").alias("run"))
-    found = sorted((r["id"], r["run"], r["y"]) for r in found.collect())
-    return fit([t for _, t, _ in found], [y for *_, y in found])
+
+    def learn(batches):
+        rows = sorted((i, run, y) for b in batches for i, y, run in zip(*(b.column(k).to_pylist() for k in range(3))))
+        model = fit([run for _, run, _ in rows], [y for *_, y in rows])
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((model.p, model.share))], pa.binary())], ["model"])
+
+    return Model(*pickle.loads(found.select("id", "y", "run").coalesce(1).mapInArrow(learn, "model binary").first()[0]))
 
 
 def toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, score): one row per row of ``docs``."""
     spark = docs.sparkSession
     ready(spark)
-    shared = spark.sparkContext.broadcast(model)        # some 2 MB, whatever the corpus
+    shared = spark.sparkContext.broadcast((model.p, model.share))       # some 3 MB, whatever the corpus
 
     def run(batches):
+        model = Model(*shared.value)
         for batch in batches:
-            scores = shared.value.scores(batch.column(1))
+            scores = model.scores(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], ["id", "score"])
 
     d = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))

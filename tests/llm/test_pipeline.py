@@ -4,6 +4,7 @@ import random
 import tempfile
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
@@ -83,5 +84,5 @@ def test_words_alone_give_the_libraries_ids(monkeypatch, kept):
              "ᅡ", "ᄀ", "漢", "̈́", ".", "the", "in", ",", "À", "×", "!", "Ø", "\t", "\x00", "</s>", "x" * 70]
     texts = ["", " ", "a" + " " * 70 + "b" + " " * 33] + ["".join(rng.choices(parts, k=rng.randint(1, 14))) for _ in range(1500)]
     for t in texts:
-        assert np.frombuffer(ids.ids(t.encode()), "<u4").tolist() == ids.tokenizer.encode(t, add_special_tokens=False).ids, repr(t)
+        assert ids.ids(pa.array([t]), 7)[0].tolist()[:-1] == ids.tokenizer.encode(t, add_special_tokens=False).ids, repr(t)
         assert pieces.count(t) == len(pieces.model.encode(t)), repr(t)
