@@ -3,8 +3,9 @@
 Every line is a node with the states bad and good. Its features describe the
 line and its two neighbours; transition weights tie neighbouring states. The
 weights are fitted once, on the driver, to a bounded sample of labelled
-documents (``TRAIN_DOCS`` documents, chosen by a hash of the id among rows
-that are not held out; each line takes its document's label; of a document of
+documents (``TRAIN_DOCS`` ids, chosen by a hash of the id among rows
+that are not held out, and at most twice as many rows where ids repeat, the
+least by id and features; each line takes its document's label; of a document of
 more than ``TRAIN_LINES`` lines a run of that many takes part, its place given
 by a hash of the id). Scoring reads every whole text in Arrow batches:
 forward-backward gives each line's probability of being good, and a
@@ -27,6 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docquill.llm.common import read, ready
+from docquill.llm.tokens import slices
 
 TRAIN_DOCS = 4000
 TRAIN_LINES = 64
@@ -34,11 +36,14 @@ STEPS = 250
 L2 = 1e-3
 SYMBOLS = "#*$%&|<>"
 N_OWN = 15                  # features of a line itself
+CHUNK = 4096                # lines whose features are held at a time
+BLOCK = 256                 # lines of a chain that numpy steps through beside other blocks
+SLICE_BYTES = 8 << 20       # text scored at a time; a longer text is scored alone
 
 
-def line_features(lines: list[str]) -> np.ndarray:
-    """(lines, N_OWN): shape of each line: size, case, symbols, repetition, end, earlier copies."""
-    rows, seen = [], set()
+def line_features(lines: list[str], seen: set | None = None) -> np.ndarray:
+    """(lines, N_OWN): shape of each line: size, case, symbols, repetition, end, earlier copies (``seen``: lines before these)."""
+    rows, seen = [], set() if seen is None else seen
     for line in lines:
         words = line.split()
         n = len(words)
@@ -102,19 +107,82 @@ def marginals(score: np.ndarray, lengths: np.ndarray, trans: np.ndarray, pairs:
     return p[:, 1], both.sum(0)
 
 
+def long_marginals(score: np.ndarray, lengths: np.ndarray, trans: np.ndarray) -> np.ndarray:
+    """P(good) per node as ``marginals`` gives it, for chains of any length. A chain is cut into blocks of ``BLOCK``
+    nodes; the 2 x 2 products of whole blocks, made side by side, carry the messages from block to block, and then
+    all blocks step forward and backward side by side."""
+    node = np.stack([sigmoid(-score), sigmoid(score)], 1)
+    t = np.exp(trans - trans.max())
+    count = -(-lengths // BLOCK)
+    chain_of = np.repeat(np.arange(len(lengths)), count)
+    number = np.arange(len(chain_of)) - np.repeat(np.cumsum(count) - count, count)
+    size = np.minimum(lengths[chain_of] - number * BLOCK, BLOCK)
+    begin = (np.cumsum(lengths) - lengths)[chain_of] + number * BLOCK
+    order = np.argsort(-size, kind="stable")
+    size, begin, number = size[order], begin[order], number[order]
+    steps = int(size.max(initial=0))
+    active = [int(np.searchsorted(-size, -k, "left")) for k in range(steps)]      # blocks longer than k
+    into, out = np.ones((len(size), 2)), np.ones((len(size), 2))    # messages into a block and back into its last node
+    if (count > 1).any():
+        product = np.where((number == 0)[:, None, None], np.eye(2), t) * node[begin][:, None, :]
+        for k in range(1, steps):
+            p = product[:active[k]] @ (t * node[begin[:active[k]] + k][:, None, :])
+            product[:active[k]] = p / p.sum((1, 2), keepdims=True)
+        place = np.empty(len(order), int)
+        place[order] = np.arange(len(order))
+        first = np.cumsum(count) - count
+        for c in np.flatnonzero(count > 1):
+            own = place[first[c]:first[c] + count[c]]
+            v, w = np.ones(2), np.ones(2)
+            for b, a in zip(own[1:], own):
+                v = v @ product[a]
+                into[b] = v = v / v.sum()
+            for a, b in zip(own[-2::-1], own[::-1]):
+                w = product[b] @ w
+                out[a] = w = w / w.sum()
+    alpha, beta = np.empty_like(node), np.empty_like(node)
+    a = node[begin] * np.where((number == 0)[:, None], 1.0, into @ t)
+    alpha[begin] = a / a.sum(1, keepdims=True)
+    beta[begin + size - 1] = out
+    for k in range(1, steps):
+        at = begin[:active[k]] + k
+        a = node[at] * (alpha[at - 1] @ t)
+        alpha[at] = a / a.sum(1, keepdims=True)
+    for k in range(steps - 1, 0, -1):
+        at = begin[:active[k]] + k
+        b = (node[at] * beta[at]) @ t.T
+        beta[at - 1] = b / b.sum(1, keepdims=True)
+    p = alpha * beta
+    return p[:, 1] / p.sum(1)
+
+
 class Model:
     def __init__(self, weights: np.ndarray, trans: np.ndarray):
         self.weights, self.trans = weights, trans
 
+    def potentials(self, lines: list[str]) -> np.ndarray:
+        """Log potential of each line of one text, from its features and its neighbours'; features are made
+        for ``CHUNK`` lines at a time."""
+        own = self.weights[1:].reshape(3, N_OWN).T
+        seen: set = set()
+        parts = np.vstack([line_features(lines[k:k + CHUNK], seen) @ own for k in range(0, len(lines), CHUNK)])
+        score = self.weights[0] + parts[:, 0]
+        score[1:] += parts[:-1, 1]
+        score[:-1] += parts[1:, 2]
+        return score
+
     def scores(self, texts: list[str]) -> np.ndarray:
         """Length-weighted mean of P(good) over the lines of each text."""
         if not texts:
             return np.empty(0)
-        split = [lines_of(t) for t in texts]
-        lengths = np.array([len(x) for x in split])
-        x = np.vstack([chain(line_features(x)) for x in split])
-        p = marginals(x @ self.weights, lengths, self.trans)
-        weight = np.array([len(line) for x in split for line in x], np.float64)
+        lengths, score, weight = [], [], []
+        for text in texts:
+            lines = lines_of(text)
+            lengths.append(len(lines))
+            score.append(self.potentials(lines))
+            weight.append(np.fromiter(map(len, lines), np.float64, len(lines)))
+        lengths, weight = np.array(lengths), np.concatenate(weight)
+        p = long_marginals(np.concatenate(score), lengths, self.trans)
         first = np.cumsum(lengths) - lengths
         total = np.add.reduceat(weight, first)
         bare = np.repeat(total == 0, lengths)
@@ -193,7 +261,7 @@ def quality(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     def run(batches):
         m = Model(*shared.value)
         for batch in batches:
-            scores = m.scores(batch.column(1).to_pylist())
+            scores = np.concatenate([np.empty(0), *[m.scores(part.to_pylist()) for part in slices(batch.column(1), SLICE_BYTES)]])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], ["id", "score"])
 
     d = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))

@@ -208,26 +208,32 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             .select("id", "th", "pos", "kept"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_edit: int | None = None) -> DataFrame:
-    """``docs`` with the dropped lines taken out of the text, all columns kept,
-    plus ``_dropped``: array of (pos, kept), null where nothing was dropped."""
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_edit: int | None = None,
+                dropped_col: str | None = None) -> DataFrame:
+    """``docs`` with the dropped lines taken out of the text, all columns kept
+    whatever their names. ``dropped_col`` adds an array of (pos, kept), null where
+    nothing was dropped; it replaces a column of that name."""
     gone = dropped_lines(docs, id_col, text_col, words_per_edit)
-    gone = saved(gone.groupBy("id", "th").agg(F.sort_array(F.collect_list(F.struct("pos", "kept"))).alias("_dropped")))
-    d = docs.withColumn("_id", F.col(id_col).cast("bigint")).withColumn("_th", F.xxhash64(text_col))
-    g = gone.select(F.col("id").alias("_gid"), F.col("th").alias("_gth"), "_dropped")
-    both = d.join(g, d["_id"].eqNullSafe(g["_gid"]) & (d["_th"] == g["_gth"]), "left")
+    gone = saved(gone.groupBy("id", "th").agg(F.sort_array(F.collect_list(F.struct("pos", "kept"))).alias("dropped")))
+    g = gone.select(F.col("id").alias("gone_id"), F.col("th").alias("gone_th"), "dropped")
+    # The caller's row stays one struct, so that no name of its columns meets ours.
+    d = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("bigint").alias("id"), F.xxhash64(text_col).alias("th"))
+    both = d.join(g, F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("th") == F.col("gone_th")), "left")
+    own = F.col("row").getField(text_col)
 
     def without(lines):
-        stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_dropped.pos"))
+        stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("dropped.pos"))
         return F.array_join(F.transform(stay, lambda p: F.get(lines, p)), "\n")
 
-    text = F.when(F.col("_dropped").isNull(), F.col(text_col)).otherwise(bind(F.split(text_col, "\n"), without))
-    return both.select(*[text.alias(c) if c == text_col else F.col(c) for c in docs.columns], "_dropped")
+    text = F.when(F.col("dropped").isNull(), own).otherwise(bind(F.split(own, "\n"), without))
+    both = both.select("row", text.alias("text"), "dropped")
+    kept = [(F.col("text") if c == text_col else F.col("row").getField(c)).alias(c) for c in docs.columns if c != dropped_col]
+    return both.select(*kept, *([F.col("dropped").alias(dropped_col)] if dropped_col else []))
 
 
 def query(spark: SparkSession, sf_dir: str, words_per_edit: int | None = None) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    out = dedup_lines(docs.select("doc_id", "text"), words_per_edit=words_per_edit)
+    out = dedup_lines(docs.select("doc_id", "text"), words_per_edit=words_per_edit, dropped_col="_dropped")
     one = lambda x: F.concat_ws(":", x["pos"], x["kept"]["id"], x["kept"]["pos"])
     dropped = F.array_join(F.transform("_dropped", one), ",")
     return out.select("doc_id", F.coalesce(F.size("_dropped"), F.lit(0)).cast("bigint").alias("n_dropped"),

@@ -28,6 +28,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -89,6 +91,9 @@ def candidates(text: str, base: list) -> list[tuple[int, int, str, str]]:
     """(start, end, before, after) of runs and their parts in a sensitive context that no base span covers;
     the parts of a run come before the whole."""
     found, blank = [], [(a, b) for a, _, b in base]
+    starts = [a for a, _, _ in base]                            # rising
+    reach = list(accumulate((b for _, _, b in base), max))      # the furthest end of a span up to each
+    covered = lambda c, d: (k := bisect_right(starts, c)) > 0 and reach[k - 1] >= d
     if not DIGIT.search(text):
         return []
     for m in RUN.finditer(text):
@@ -100,7 +105,7 @@ def candidates(text: str, base: list) -> list[tuple[int, int, str, str]]:
         blank += like or [(a, b)]
         name = a                        # start of the part before
         for c, d in [*parts, (a, b)] if parts != [(a, b)] else parts:
-            if secret_like(text[c:d]) and not any(s <= c and d <= e for s, _, e in base) \
+            if secret_like(text[c:d]) and not covered(c, d) \
                     and SENSITIVE.search(text, max(0, min(name, c - BEFORE)), c):
                 found.append((c, d))
             name = c

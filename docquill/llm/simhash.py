@@ -232,10 +232,13 @@ def one_of_each(docs: DataFrame, shingle: int = 3, max_bits: int = 3, id_col: st
     with the smallest id stays (null ids last), all columns unchanged."""
     found = near_duplicates(docs, shingle, max_bits, id_col, text_col)
     chosen = found.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "text_hash")).alias("k"))
-    keep = chosen.select(F.col("k.id").alias("_keep_id"), F.col("k.text_hash").alias("_keep_hash"))
-    d = docs.withColumn("_text_hash", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    on = d[id_col].cast("bigint").eqNullSafe(keep["_keep_id"]) & (d["_text_hash"] == keep["_keep_hash"])
-    return d.join(keep, on, "left_semi").dropDuplicates([id_col, "_text_hash"]).drop("_text_hash")
+    keep = chosen.select(F.col("k.id").alias("keep_id"), F.col("k.text_hash").alias("keep_hash"))
+    # The caller's row stays one struct, so that no name of its columns meets ours.
+    d = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("bigint").alias("id"),
+                    F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_hash"))
+    on = F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("text_hash") == F.col("keep_hash"))
+    return d.join(keep, on, "left_semi").dropDuplicates(["id", "text_hash"]).select(
+        *[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
