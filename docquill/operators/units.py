@@ -11,9 +11,13 @@ Two forms:
   one ``aggregate`` pass over the line array of the same row. Texts are never
   exploded across the cluster for this; only the units found are emitted.
 
-Limits of line scans: declarations split over lines, several on one line,
-braces or comment markers inside strings, comments between a comment block
-and its declaration, and non-standard indentation are approximated.
+The lines come from the text's tokens: literals and comments are emptied first
+(``lexer.hollow``), so nothing inside them is taken for code, and brackets are
+counted in code only.
+
+Limits of line scans: declarations that start on one line and name what they
+declare on another, several on one line, comments between a comment block and
+its declaration, and non-standard indentation are approximated.
 """
 
 from __future__ import annotations
@@ -21,6 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docquill.functions import lexer
 from docquill.functions._util import bind, col_of, explode_rows
 from docquill.functions.identifiers import is_exported
 
@@ -71,8 +76,9 @@ def extract_by_rules(source: DataFrame, rules, text: str = "text",
 
 
 
-def _lines(text: Column) -> Column:
-    return F.split(text, "\n")
+def _lines(text: Column, language: str) -> Column:
+    """The lines of a text, literals and comments emptied."""
+    return F.split(lexer.hollow(text, language), "\n")
 
 
 def _is_blank(l: Column) -> Column:
@@ -194,7 +200,7 @@ def go_units(source: DataFrame, text: str = "text", keys=("path",)) -> DataFrame
 
     def features(l):
         return F.struct(
-            *_comment_features(l, "{(", "})"),
+            *_comment_features(l, "{(\\[", "})\\]"),
             F.regexp_like(l, F.lit(r"^\}")).alias("close_brace"),
             F.regexp_like(l, F.lit(r"^\)")).alias("close_paren"),
             F.regexp_like(l, F.lit(_GO_FUNC)).alias("func_m"),
@@ -261,7 +267,7 @@ def go_units(source: DataFrame, text: str = "text", keys=("path",)) -> DataFrame
         return new_unit, _comment_run(acc, comment, blank, in_block, i) | {
             "block": block, "block_doc": block_doc, "gdepth": new_gdepth.cast("int"), "iface": iface, "iface_doc": iface_doc}
 
-    found = _scan(_lines(F.col(text)), features, unit_t, start, step)
+    found = _scan(_lines(F.col(text), "go"), features, unit_t, start, step)
     out = explode_rows(source, found, keys, value="u").select(*keys, "u.*")
     # a multi-name spec yields its first name only: the regex takes the first word.
     out = out.withColumn("exported", is_exported(F.col("identifier")))
@@ -297,7 +303,7 @@ def ts_units(source: DataFrame, text: str = "text", keys=("path",)) -> DataFrame
     def features(l):
         kw = F.regexp_extract(l, _TS_DECL, 1)
         return F.struct(
-            *_comment_features(l, "{", "}"),
+            *_comment_features(l, "{(\\[", "})\\]"),
             (F.when(kw.isin("function", "function*"), F.lit("func"))
              .when(kw == "class", F.lit("class"))
              .when(kw == "interface", F.lit("iface"))
@@ -348,7 +354,7 @@ def ts_units(source: DataFrame, text: str = "text", keys=("path",)) -> DataFrame
         return new_unit, _comment_run(acc, comment, blank, in_block, i) | {
             "depth": new_depth.cast("int"), "owner": owner, "owner_depth": owner_depth.cast("int")}
 
-    found = _scan(_lines(F.col(text)), features, unit_t, start, step)
+    found = _scan(_lines(F.col(text), "ts"), features, unit_t, start, step)
     return explode_rows(source, found, keys, value="u").select(*keys, "u.*")
 
 
@@ -430,4 +436,4 @@ def clear_comments(text) -> Column:
             "group": F.when(acc["depth"] == 0, f["group"]).otherwise(acc["group"])}
 
     start = {"depth": F.lit(0), "raw": F.lit(False), "group": F.lit(False)}
-    return F.array_join(_scan(_lines(col_of(text)), features, "string", start, step), "\n")
+    return F.array_join(_scan(F.split(col_of(text), "\n"), features, "string", start, step), "\n")
