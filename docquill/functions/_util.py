@@ -41,3 +41,39 @@ def bind(expr: Column, fn):
     of a one-element ``transform``). Inside a lambda an outer expression is
     re-evaluated at every call; a bound value is not."""
     return F.get(F.transform(F.array(expr), fn), 0)
+
+
+# Items that one inner fold takes.
+_CHUNK = 256
+
+
+def fold(items: Column, features, unit_t: str, start: dict[str, Column], step) -> Column:
+    """Left fold over the lines or tokens of a text; the array of units (``unit_t``) found.
+
+    ``features(item)`` returns a STRUCT of the item's regex tests; it is
+    evaluated once per item in a ``transform`` (lambdas get no common
+    subexpression elimination, so tests used in several branches of the fold
+    would otherwise run repeatedly). ``step(acc, f, i)`` only combines those
+    fields with the running state and returns (unit or NULL, new state).
+
+    A fold copies its whole state at every step. So an inner fold gathers the
+    units of ``_CHUNK`` items, and an outer one appends them to all units once
+    per chunk.
+    """
+    none = F.array().cast(f"array<{unit_t}>")
+    state = lambda units, s: F.struct(units.alias("units"), *[s[c].alias(c) for c in start])
+
+    def one(acc, p):
+        unit, now = step(acc, p["f"], p["i"])
+        new = F.filter(F.array(unit), lambda u: u.isNotNull())
+        return state(F.concat(acc["units"], new), now)
+
+    def all_items(pairs):
+        def chunk(acc, k):
+            found = F.aggregate(F.slice(pairs, k * _CHUNK + 1, F.lit(_CHUNK)), state(none, acc), one)
+            return bind(found, lambda r: state(F.concat(acc["units"], r["units"]), r))
+        chunks = F.sequence(F.lit(0), F.floor((F.size(pairs) - 1) / _CHUNK).cast("int"))
+        return F.aggregate(chunks, state(none, start), chunk, lambda acc: acc["units"])
+
+    idx = F.sequence(F.lit(0), F.greatest(F.size(items) - 1, F.lit(0)))
+    return bind(F.arrays_zip(F.transform(items, features).alias("f"), idx.alias("i")), all_items)

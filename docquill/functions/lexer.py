@@ -37,6 +37,13 @@ def tokens(text: Column, language: str, brackets: bool = True) -> Column:
     return F.regexp_extract_all(text, F.lit("|".join([*kinds, code, "(?s:.)"])), F.lit(0))
 
 
+def code_parts(text: Column, language: str) -> Column:
+    """The text cut at its literals only: literals, and code with its comments between them."""
+    plain = "|".join([*COMMENTS[language], r"[^/\"'`]++"])
+    slash = "/" + "".join(f"(?!{m})" for m in ("/", r"\*")) if language == "go" else f"(?!{_PATTERN})/"
+    return F.regexp_extract_all(text, F.lit("|".join([*LITERALS[language], f"(?:{plain}|{slash})++", "(?s:.)"])), F.lit(0))
+
+
 def is_comment(token: Column) -> Column:
     return F.startswith(token, F.lit("//")) | F.startswith(token, F.lit("/*"))
 

@@ -8,7 +8,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docquill.functions._util import bind, col_of
+from docquill.functions import lexer
+from docquill.functions._util import bind, col_of, fold
 from docquill.functions.tokens import token_count
 
 # Context sizes per model name; unknown models get "default".
@@ -198,29 +199,78 @@ def _ladder_staged(df: DataFrame, text_col: str, rungs: Sequence[Rung], lim: Col
     return out.drop(*[f"_{c}{k}" for c in "tnfr" for k in range(last + 1)])
 
 
+def drop_go_bodies(text: Column, exported: bool) -> Column:
+    """Go code without the bodies of its exported (or its other) functions and methods.
+
+    A fold over the text's tokens keeps the bracket depth. A function opens
+    with ``func`` at the start of a line outside all brackets; its body is the
+    first pair of braces outside brackets that does not belong to a struct or
+    interface type of its results, and goes with the white space before it.
+    Literals and comments are tokens of their own, so no bracket in them counts.
+    """
+    def features(t):
+        last = F.regexp_extract(t, r"(?:\A|\n)func(?:\s+(\w+))?\s*\z", 0)
+        return F.struct(
+            t.alias("t"), t.isin("{", "(", "[").alias("opens"), t.isin("}", ")", "]").alias("closes"),
+            (lexer.is_comment(t) | lexer.is_literal(t)).alias("apart"), F.contains(t, F.lit("\n")).alias("breaks"),
+            (last != "").alias("func"), F.regexp_extract(last, r"func\s+(\w+)", 1).alias("name"),
+            F.regexp_extract(t, r"\A[ \t]*(\w+)", 1).alias("word"),
+            F.regexp_like(t, F.lit(r"\b(?:struct|interface)\s*\z")).alias("type"))
+
+    # state: '' outside, 'func' (name not read yet), 'head' (name read), 'body' of a function to cut
+    def step(acc, f, i):
+        depth = acc["depth"]
+        top, code = depth == 0, ~f["opens"] & ~f["closes"] & ~f["apart"]
+        opens_body = top & (f["t"] == "{") & acc["at"].isin("func", "head") & ~acc["type"] & (acc["name"] != "")
+        wanted = F.regexp_like(acc["name"], F.lit("^[A-Z]" if exported else "^[a-z_]"))
+        cut = opens_body & wanted
+        inside = acc["at"] == "body"
+        now = depth + F.when(f["opens"], 1).when(f["closes"], -1).otherwise(0)
+        ends = inside & (now <= 0)
+        new_func = top & code & f["func"]
+        # A line break outside brackets ends a signature that has no body.
+        ended = top & code & f["breaks"] & ~new_func
+        at = (F.when(inside, F.when(ends, F.lit("")).otherwise(F.lit("body")))
+              .when(new_func, F.when(f["name"] != "", F.lit("head")).otherwise(F.lit("func")))
+              .when(ended, F.lit(""))
+              .when(opens_body, F.when(cut, F.lit("body")).otherwise(F.lit("")))
+              .when(top & code & (acc["at"] == "func") & (f["word"] != ""), F.lit("head"))
+              .otherwise(acc["at"]))
+        name = (F.when(new_func, f["name"]).when(top & code & (acc["at"] == "func") & (f["word"] != ""), f["word"])
+                .otherwise(acc["name"]))
+        # The token before is written once it is known whether a body follows it.
+        write = F.when(cut, F.regexp_replace(acc["held"], r"[ \t]+\z", "")).otherwise(acc["held"])
+        held = F.when(inside | cut, F.lit("")).otherwise(f["t"])
+        return F.when(write != "", write), {
+            "depth": F.greatest(now, F.lit(0)).cast("int"), "at": at, "name": name, "held": held,
+            "type": F.when(code, f["type"]).otherwise(F.when(f["apart"], acc["type"]).otherwise(F.lit(False)))}
+
+    start = {"depth": F.lit(0), "at": F.lit(""), "name": F.lit(""), "held": F.lit(""), "type": F.lit(False)}
+    ended = F.concat(lexer.tokens(text, "go"), F.array(F.lit("")))
+    return F.array_join(fold(ended, features, "string", start, step), "")
+
+
+def drop_go_comments(text: Column, before: str) -> Column:
+    """Go code without the comment lines right above declarations that begin with the pattern ``before``.
+
+    Code with its comments is taken between literals, so that nothing in a raw string is a comment."""
+    comment = r"(?<=\n)(?://[^\n]*+\n|/\*(?:[^*]++|\*(?!/))*+\*/[ \t]*+\n)++(?=" + before + ")"
+    parts = lexer.code_parts(F.concat(F.lit("\n"), text), "go")
+    kept = F.transform(parts, lambda t: F.when(lexer.is_literal(t), t).otherwise(F.regexp_replace(t, comment, "")))
+    return bind(F.array_join(kept, ""), lambda t: F.substring(t, F.lit(2), F.length(t)))
+
+
 def go_rungs() -> list[Rung]:
     """Default Go reductions, in order: bodies and comments of unexported
     functions and comments of unexported types, exported bodies, exported
-    comments, package comment. Comments of variables and constants stay.
-    Line-based; aimed at conventionally formatted source (a body ends on its
-    own line or with a ``}`` in column 0)."""
+    comments, package comment. Comments of variables and constants stay."""
     func = r"func (?:\([^)]*\) )?"
-    comment = r"(?:^//[^\n]*\n|^/\*[^*]*\*+(?:[^/*][^*]*\*+)*/[ \t]*\n)+"
-
-    def bodies(first):
-        head = r"(?m)^(" + func + first + r"[^\n]*?) \{"
-        return lambda c: F.regexp_replace(F.regexp_replace(c, head + r"[^\n]*\}[ \t]*$", "$1"), head + r"\n(?s:.*?)^\}", "$1")
-
-    def comments(before):
-        return lambda c: F.regexp_replace(c, r"(?m)" + comment + "(?=" + before + ")", "")
-
-    low, high = "[a-z_]", "[A-Z]"
     of = lambda first: "(?:" + func + "|type )" + first
     return [
-        ("unexported", lambda c: comments(of(low))(bodies(low)(c))),
-        ("exported_bodies", bodies(high)),
-        ("exported_comments", comments(of(high))),
-        ("package_comment", comments("package ")),
+        ("unexported", lambda c: drop_go_comments(drop_go_bodies(c, False), of("[a-z_]"))),
+        ("exported_bodies", lambda c: drop_go_bodies(c, True)),
+        ("exported_comments", lambda c: drop_go_comments(c, of("[A-Z]"))),
+        ("package_comment", lambda c: drop_go_comments(c, "package ")),
     ]
 
 

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docquill.functions import lexer
-from docquill.functions._util import bind, col_of, explode_rows
+from docquill.functions._util import col_of, explode_rows, fold
 from docquill.functions.identifiers import is_exported
 
 
@@ -111,41 +111,9 @@ def _comment_state(acc, f):
             F.when(inside, ~f["ends"]).otherwise(f["starts"]))
 
 
-# Lines that one inner fold of a scan takes.
-_CHUNK = 256
-
-
 def _scan(lines: Column, features, unit_t: str, start: dict[str, Column], step) -> Column:
-    """Left fold over the lines of a text; the array of units (``unit_t``) found.
-
-    ``features(line)`` returns a STRUCT of the line's regex tests; it is
-    evaluated once per line in a ``transform`` (lambdas get no common
-    subexpression elimination, so tests used in several branches of the fold
-    would otherwise run repeatedly). ``step(acc, f, i)`` only combines those
-    fields with the running state and returns (unit or NULL, new state).
-
-    A fold copies its whole state at every step. So an inner fold gathers the
-    units of ``_CHUNK`` lines, and an outer one appends them to all units once
-    per chunk.
-    """
-    none = F.array().cast(f"array<{unit_t}>")
-    start = {"in_block": F.lit(False), "comment_start": F.lit(-1), "prev_comment": F.lit(False)} | start
-    state = lambda units, s: F.struct(units.alias("units"), *[s[c].alias(c) for c in start])
-
-    def line(acc, p):
-        unit, now = step(acc, p["f"], p["i"])
-        new = F.filter(F.array(unit), lambda u: u.isNotNull())
-        return state(F.concat(acc["units"], new), now)
-
-    def all_lines(pairs):
-        def chunk(acc, k):
-            found = F.aggregate(F.slice(pairs, k * _CHUNK + 1, F.lit(_CHUNK)), state(none, acc), line)
-            return bind(found, lambda r: state(F.concat(acc["units"], r["units"]), r))
-        chunks = F.sequence(F.lit(0), F.floor((F.size(pairs) - 1) / _CHUNK).cast("int"))
-        return F.aggregate(chunks, state(none, start), chunk, lambda acc: acc["units"])
-
-    idx = F.sequence(F.lit(0), F.greatest(F.size(lines) - 1, F.lit(0)))
-    return bind(F.arrays_zip(F.transform(lines, features).alias("f"), idx.alias("i")), all_lines)
+    """``fold`` over lines, with the state of the comment lines above."""
+    return fold(lines, features, unit_t, {"in_block": F.lit(False), "comment_start": F.lit(-1), "prev_comment": F.lit(False)} | start, step)
 
 
 def _comment_run(acc, comment: Column, blank: Column, in_block: Column, i: Column) -> dict[str, Column]:

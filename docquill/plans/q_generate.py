@@ -177,9 +177,12 @@ def _prompt(key: str) -> str:
     return S.render(PROMPT_TEMPLATES[key], {"target": "phrase", "name": "name", "path": "CAST(doc_id AS VARCHAR)", "code": "text"})
 
 
-_COMMENT = T.COMMENT.replace("'", "''")
+# The oracle's own statement: one pattern per kind, one pass each.
+_COMMENT = r"(?://[^\n]*|/\*[^*]*\*+(?:[^/*][^*]*\*+)*/)"
+_STATEMENTS = {"variables": "var|let|const", "functions": "function", "classes": "class", "interfaces": "interface"}
+_STARTS = {k: rf"(?:export\s+)?(?:{w})\s" for k, w in _STATEMENTS.items()} | {"properties": r"\w+\s*:\s*\w", "methods": r"\w+\s*\("}
 _STRIP = "s0 AS (SELECT conv_id, code AS c0 FROM ts0)" + "".join(
-    f",\ns{i + 1} AS (SELECT conv_id, regexp_replace(c{i}, '{_COMMENT}\\s*({T.declaration_start(k)})', '\\1', 'g') AS c{i + 1} FROM s{i})"
+    f",\ns{i + 1} AS (SELECT conv_id, regexp_replace(c{i}, '{_COMMENT}\\s*({_STARTS[k]})', '\\1', 'g') AS c{i + 1} FROM s{i})"
     for i, k in enumerate(T.STRIP_ORDER))
 _STRIPPED = S.trim_ws(f"regexp_replace(c{len(T.STRIP_ORDER)}, '(?m)^\\s*[\\r\\n]+', '', 'g')")
 

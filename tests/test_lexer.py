@@ -63,3 +63,92 @@ def test_ts_code_in_literals(spark):
     assert units(spark, ts_units, text) == [
         "class:C", "prop:C.a", "prop:C.b", "method:C.m", "prop:C.r", "var:x", "iface:I", "prop:I.p", "method:I.f", "method:I.g", "prop:I.list",
         "func:last", "type:T", "prop:T.z"]
+
+
+GO_BODIES = """// Package p.
+package p
+
+// low does it.
+func low(a interface{}, b struct{ c int }) (x interface{ M() }, err error) {
+\ts := `
+}
+// not a comment
+func low2() {
+`
+\tif a { return "}" }
+}
+
+/* high
+   does too */
+func (t *T[K]) High(f func() error) struct {
+\tA int
+} {
+\treturn '}' // }
+}
+func Short() int { return len("{") }
+func low3() {}
+func extern(a int) int
+
+// T is a type.
+type T struct {
+\tf func() // {
+}
+
+var raw = `
+// kept
+func kept() {
+}
+`
+"""
+
+
+def test_go_bodies_by_their_own_brackets(spark):
+    from docquill.operators import budget as B
+    low = one(spark, B.drop_go_bodies(F.col("t"), False), GO_BODIES)
+    assert "func low(a interface{}, b struct{ c int }) (x interface{ M() }, err error)\n\n/* high" in low
+    assert "func low3()\nfunc extern(a int) int\n" in low and "return '}' // }\n}" in low and 'Short() int { return len("{") }' in low
+    high = one(spark, B.drop_go_bodies(F.col("t"), True), GO_BODIES)
+    assert "High(f func() error) struct {\n\tA int\n}\nfunc Short() int\nfunc low3() {}" in high and "// not a comment\nfunc low2()" in high
+    for out in (low, high):
+        assert out.endswith("var raw = `\n// kept\nfunc kept() {\n}\n`\n") and "type T struct {\n\tf func() // {\n}" in out
+    text = GO_BODIES
+    for _, rung in B.go_rungs():
+        text = one(spark, rung(F.col("t")), text)
+    assert text == ("package p\n\nfunc low(a interface{}, b struct{ c int }) (x interface{ M() }, err error)\n\n"
+                    "func (t *T[K]) High(f func() error) struct {\n\tA int\n}\nfunc Short() int\nfunc low3()\nfunc extern(a int) int\n\n"
+                    "type T struct {\n\tf func() // {\n}\n\nvar raw = `\n// kept\nfunc kept() {\n}\n`\n")
+
+
+def test_go_comments_in_raw_strings_stay(spark):
+    from docquill.operators import budget as B
+    text = "// first\nfunc a() {\n\tx := `\n// in a string\nfunc b()`// beside\n}\n// second\n/* third */\nfunc c()\n"
+    assert one(spark, B.drop_go_comments(F.col("t"), "func "), text) == \
+        "func a() {\n\tx := `\n// in a string\nfunc b()`// beside\n}\nfunc c()\n"
+
+
+@pytest.mark.parametrize("kinds,gone", [(["variables"], "12"), (["functions"], "3"), (["classes"], "4"), (["properties"], "5"),
+                                        (["methods"], "6"), (["interfaces"], "7"), (None, "1234567"), ([], "")])
+def test_ts_comments_by_the_declaration_that_follows(spark, kinds, gone):
+    from docquill.functions import text as T
+    marks = {k: f"/* c{k} */" for k in "1234567"}
+    code = (f"{marks['1']}\nexport const a = \"// s\\n const\"\n{marks['2']} let b = `/* t */ var`\n// x\n{marks['3']}\nfunction f() {{}}\n"
+            f"{marks['4']}\nexport class C {{\n  {marks['5']}\n  p: string = '// q'\n  {marks['6']}\n  m() {{ return /\\/\\* r/ }}\n}}\n"
+            f"{marks['7']}\nexport interface I {{}}\n// end\n")
+    got = one(spark, T.strip_comments("t", kinds, empty_lines=False), code)
+    assert all((m in got) == (k not in gone) for k, m in marks.items())
+    assert all(x in got for x in ('"// s\\n const"', "`/* t */ var`", "'// q'", "/\\/\\* r/", "// x\n", "// end\n"))
+
+
+def test_long_go_text_in_linear_time(spark):
+    import time
+    from docquill.operators import budget as B
+
+    def seconds(n):
+        text = "".join(f"// f{k} does.\nfunc f{k}(a int) int {{\n\tx := \"{{\" // }}\n\treturn a\n}}\n" for k in range(n))
+        df = spark.createDataFrame([(text,)], "t string").select(F.length(B.drop_go_bodies(F.col("t"), False)).alias("n"))
+        df.collect()
+        began = time.time()
+        df.collect()
+        return time.time() - began
+
+    assert seconds(8000) < 12 * seconds(2000) + 2
