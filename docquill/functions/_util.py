@@ -75,5 +75,8 @@ def fold(items: Column, features, unit_t: str, start: dict[str, Column], step) -
         chunks = F.sequence(F.lit(0), F.floor((F.size(pairs) - 1) / _CHUNK).cast("int"))
         return F.aggregate(chunks, state(none, start), chunk, lambda acc: acc["units"])
 
-    idx = F.sequence(F.lit(0), F.greatest(F.size(items) - 1, F.lit(0)))
-    return bind(F.arrays_zip(F.transform(items, features).alias("f"), idx.alias("i")), all_items)
+    def numbered(found):
+        idx = F.sequence(F.lit(0), F.greatest(F.size(found) - 1, F.lit(0)))
+        return bind(F.arrays_zip(found.alias("f"), idx.alias("i")), all_items)
+
+    return bind(F.transform(items, features), numbered)
