@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 WORDS = 400_000             # words of a generation that a worker remembers
 BATCH_BYTES = 1 << 20       # new text sent to the library at a time
 LONG_WORD = 64              # longer words are not remembered
-SLICE_BYTES = 16 << 20      # text whose words are numbered together; a longer text is a slice of its own
+SLICE_BYTES = 8 << 20       # text whose words are numbered together; a longer text is a slice of its own
 
 
 def slices(texts: pa.Array, limit: int = SLICE_BYTES):
