@@ -30,6 +30,7 @@ from docquill.operators.patch import apply_edits, replace_comments
 from docquill.operators.units import clear_comments, go_units, locate_units, ts_units
 from docquill.sources.sinks import write_patched
 from docquill.sources.tables import read_tree, unreadable_files
+from docquill.sources.tree import write_tree
 
 UNIT_COLUMNS = ["path", "language", "identifier", "kind", "name", "line", "col", "comment_from", "documented", "exported"]
 
@@ -74,7 +75,7 @@ def find(spark: SparkSession, root: str, *, exts=None, include=None, exclude=Non
 
 def generate(spark: SparkSession, root: str, provider: Provider, *, model: str = "gpt-3.5-turbo",
              max_tokens: int = DEFAULT_MAX_TOKENS, footer: str | None = None, limit_files: int = 0,
-             clear: bool = False, out: str | None = None, threads: int = 2, partitions: int | None = None,
+             clear: bool = False, out: str | None = None, out_tree: str | None = None, threads: int = 2, partitions: int | None = None,
              src: DataFrame | None = None, **find_options) -> tuple[DataFrame, DataFrame]:
     """Document the findings of ``find`` with ``provider``.
 
@@ -86,7 +87,8 @@ def generate(spark: SparkSession, root: str, provider: Provider, *, model: str =
     are applied in one pass. ``src`` passes already selected files.
     Files that are not UTF-8 text are dead letters without an identifier.
     Returns ``(preview, dead_letter)``; with ``out`` the patched files are
-    written there as parquet (never over ``root``).
+    written there as parquet, with ``out_tree`` as files at their own paths in a
+    new folder (never over ``root``).
     """
     selection = {k: find_options.pop(k) for k in ("exts", "include", "exclude", "exclude_internal", "languages")
                  if k in find_options}
@@ -125,6 +127,8 @@ def generate(spark: SparkSession, root: str, provider: Provider, *, model: str =
     preview = go_preview.select(*cols).unionByName(ts_preview.select(*cols))
     if out:
         write_patched(preview, out, source_location=root)
+    if out_tree:
+        write_tree(preview, out_tree, text="after", source_location=root)
     bad = bad.unionByName(misses.select("path", "identifier", "error"))
     return preview, bad if unread is None else bad.unionByName(unread.withColumn("identifier", F.lit(None).cast("string")))
 

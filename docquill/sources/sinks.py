@@ -46,6 +46,14 @@ def _plain(location: str) -> str:
     return (head + sep if sep else "") + "/".join(x for i, x in enumerate(parts) if x not in ("", ".") or i == 0).rstrip("/")
 
 
+def refuse_input(out: str, source_location: str | None) -> None:
+    """Raise where ``out`` is the input location, inside it or around it."""
+    if source_location:
+        here, there = _plain(out), _plain(source_location)
+        if (here + "/").startswith(there + "/") or (there + "/").startswith(here + "/"):
+            raise ValueError("refusing to write over the input location, inside it or around it")
+
+
 def write_patched(preview: DataFrame, out: str, partition_by: str | None = "language",
                   source_location: str | None = None) -> None:
     """A4: write patched texts (``path``, ``after`` as ``text``) as parquet.
@@ -53,10 +61,7 @@ def write_patched(preview: DataFrame, out: str, partition_by: str | None = "lang
     Refuses to write over the location it was read from: a failed or retried
     job must never destroy its own input.
     """
-    if source_location:
-        here, there = _plain(out), _plain(source_location)
-        if (here + "/").startswith(there + "/") or (there + "/").startswith(here + "/"):
-            raise ValueError("refusing to write over the input location, inside it or around it")
+    refuse_input(out, source_location)
     cols = ["path", F.col("after").alias("text")]
     if partition_by and partition_by in preview.columns:
         cols.append(partition_by)

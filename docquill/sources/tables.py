@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docquill.sources.tree import local_path, scan_tree
+
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
@@ -76,28 +78,35 @@ def pages_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _tree(spark: SparkSession, root: str, glob: str | None) -> DataFrame:
+    if local_path(root) is not None:
+        found = scan_tree(spark, root).where(F.col("kind").isin("file", "unreadable"))
+        if glob:
+            from docquill.functions.globs import globs_regex
+            found = found.where(F.regexp_like(F.regexp_extract("path", "[^/]*$", 0), F.lit(globs_regex([glob]) or r"\A\b")))
+        return found.select("path", "text", "error")
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     rel = F.regexp_replace(F.col("path"), r"^(?:file:)?/*" + _escape(root.rstrip("/").lstrip("/")) + "/", "")
     text = F.col("content").cast("string")
-    return reader.load(root).select(rel.alias("path"), text.alias("text"), F.is_valid_utf8(text).alias("_valid"))
+    return reader.load(root).select(rel.alias("path"), text.alias("text"),
+                                    F.when(~F.is_valid_utf8(text), F.lit("not UTF-8 text")).alias("error"))
 
 
 def read_tree(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
     """A1: every UTF-8 file under ``root`` as ``(path, text)``; ``path`` relative
     to ``root`` with forward slashes. Other files are in ``unreadable_files``.
 
-    Uses the ``binaryFile`` source (one row per file, read in parallel).
-    Note: Spark's file sources skip names starting with ``_`` or ``.`` at any
-    depth; such files are not listed.
+    Mounted storage is walked in tasks (``sources/tree.py``) and hides no name.
+    Other schemes go through Spark's ``binaryFile`` source, which skips names
+    starting with ``_`` or ``.`` at any depth.
     """
-    return _tree(spark, root, glob).where("_valid").drop("_valid")
+    return _tree(spark, root, glob).where("error is null").drop("error")
 
 
 def unreadable_files(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
-    """``(path, error)`` of the files under ``root`` that are not UTF-8 text."""
-    return _tree(spark, root, glob).where("not _valid").select("path", F.lit("not UTF-8 text").alias("error"))
+    """``(path, error)`` of what lies under ``root`` and is no readable UTF-8 text."""
+    return _tree(spark, root, glob).where("error is not null").select("path", "error")
 
 
 def _escape(s: str) -> str:
