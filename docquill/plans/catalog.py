@@ -3,9 +3,9 @@ matching DuckDB oracle SQL where one exists."""
 
 from __future__ import annotations
 
-from docquill.plans import q_annotate, q_code, q_generate, q_literals, q_select, q_shrink_patch, q_tree
+from docquill.plans import q_annotate, q_code, q_generate, q_literals, q_provider, q_select, q_shrink_patch, q_tree
 
-_MODULES = [q_annotate, q_select, q_shrink_patch, q_code, q_generate, q_literals, q_tree]
+_MODULES = [q_annotate, q_select, q_shrink_patch, q_code, q_generate, q_literals, q_tree, q_provider]
 
 
 def queries():
