@@ -102,22 +102,31 @@ def order_rules(docs: DataFrame, rules: list[Rule] = RULES, text_col: str = "tex
                 rows: int = SAMPLE_ROWS) -> list[Rule]:
     """The rules by rejection per cost, best first, as found on a sample.
 
-    The sample is a random share of all rows of about ``rows`` rows; each
-    rule runs alone over it and is timed. Without rows the given order stays.
+    The sample is a random share of all rows of about ``rows`` rows. Each rule
+    runs alone over it, twice; its cost is the faster run, code already
+    compiled, less that of a run without a rule (the job and the words, which
+    all rules share). Without rows the given order stays.
     """
     n = docs.count()
     if not n:
         return list(rules)
     sample = saved(docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
                    .sample(fraction=min(1.0, rows / n), seed=7))
+    t, w = F.col("text"), words_of(F.col("text"))
+
+    def timed(bad):
+        best = float("inf")
+        for _ in range(2):
+            began = time.perf_counter()
+            got = sample.agg(F.count_if(bad).alias("bad"), F.count(F.lit(1)).alias("n")).first()
+            best = min(best, time.perf_counter() - began)
+        return got["bad"] / max(1, got["n"]), best
+
+    _, bare = timed(F.size(w) < 0)
     worth = []
     for k, rule in enumerate(rules):
-        t, w = F.col("text"), words_of(F.col("text"))
-        out = rule.rejects({c: COUNTS[c](t, w) for c in rule.needs})
-        began = time.perf_counter()
-        got = sample.agg(F.count_if(out).alias("bad"), F.count(F.lit(1)).alias("n")).first()
-        cost = time.perf_counter() - began
-        worth.append((-(got["bad"] / max(1, got["n"])) / cost, k))
+        share, seconds = timed(rule.rejects({c: COUNTS[c](t, w) for c in rule.needs}))
+        worth.append((-share / max(seconds - bare, 1e-3), k))
     return [rules[k] for _, k in sorted(worth)]
 
 
@@ -134,16 +143,16 @@ def cascade(text: Column, rules: list[Rule]) -> Column:
 
 
 def measure(docs: DataFrame, rules: list[Rule] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All counts and both verdicts per row: (id, counts, base_failed, kept)."""
+    """All counts and both verdicts per row: (id, counts, base_failed, kept). A
+    row that fails the base is judged; the others go through the cascade of the
+    other ``rules``, which makes a rule's counts only where none before it rejects."""
     d = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     d = d.select(id_col, "_text", words_of(F.col("_text")).alias("_words"))
-    d = d.select(id_col, *[make(F.col("_text"), F.col("_words")).alias(c) for c, make in COUNTS.items()])
+    d = d.select(id_col, "_text", *[make(F.col("_text"), F.col("_words")).alias(c) for c, make in COUNTS.items()])
     counts = {c: F.col(c) for c in COUNTS}
     base = BASE_RULES[0].rejects(counts) | BASE_RULES[1].rejects(counts)
-    out = F.when(base, F.lit(False))
-    for rule in rules:
-        out = out.when(rule.rejects(counts), F.lit(False))
-    return d.select(id_col, *COUNTS, base.alias("base_failed"), out.otherwise(F.lit(True)).alias("kept"))
+    judged = cascade(F.col("_text"), [r for r in rules if r not in BASE_RULES])
+    return d.select(id_col, *COUNTS, base.alias("base_failed"), F.when(base, F.lit(False)).otherwise(judged).alias("kept"))
 
 
 def kept_documents(docs: DataFrame, rules: list[Rule] | None = None, text_col: str = "text") -> DataFrame:
