@@ -209,10 +209,10 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_edit: int | None = None,
-                dropped_col: str | None = None) -> DataFrame:
+                dropped_col: str | None = "_dropped") -> DataFrame:
     """``docs`` with the dropped lines taken out of the text, all columns kept
-    whatever their names. ``dropped_col`` adds an array of (pos, kept), null where
-    nothing was dropped; it replaces a column of that name."""
+    whatever their names. ``dropped_col`` (None: no such column) adds an array of
+    (pos, kept), null where nothing was dropped; it replaces a column of that name."""
     gone = dropped_lines(docs, id_col, text_col, words_per_edit)
     gone = saved(gone.groupBy("id", "th").agg(F.sort_array(F.collect_list(F.struct("pos", "kept"))).alias("dropped")))
     g = gone.select(F.col("id").alias("gone_id"), F.col("th").alias("gone_th"), "dropped")
@@ -233,7 +233,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def query(spark: SparkSession, sf_dir: str, words_per_edit: int | None = None) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    out = dedup_lines(docs.select("doc_id", "text"), words_per_edit=words_per_edit, dropped_col="_dropped")
+    out = dedup_lines(docs.select("doc_id", "text"), words_per_edit=words_per_edit)
     one = lambda x: F.concat_ws(":", x["pos"], x["kept"]["id"], x["kept"]["pos"])
     dropped = F.array_join(F.transform("_dropped", one), ",")
     return out.select("doc_id", F.coalesce(F.size("_dropped"), F.lit(0)).cast("bigint").alias("n_dropped"),

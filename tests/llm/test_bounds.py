@@ -81,12 +81,12 @@ def clashing(spark, rows):
 def test_clashing_columns_stay(spark):
     line = "one two three four five six seven eight"
     rows = [(1, line + "\nfirst own line here"), (2, line + "\nsecond words of another text"), (3, None), (4, "")]
-    for out, n in ((line_dedup.dedup_lines(clashing(spark, rows)), 4), (simhash.one_of_each(clashing(spark, rows + [(5, rows[0][1])])), 3)):
+    for out, n in ((line_dedup.dedup_lines(clashing(spark, rows), dropped_col=None), 4), (simhash.one_of_each(clashing(spark, rows + [(5, rows[0][1])])), 3)):
         got = out.collect()
         assert out.columns == [*OWN, "doc_id", "text"] and len(got) == n
         assert all(r[k] == f"{c}{r['doc_id']}" for r in got for k, c in enumerate(OWN))
     text = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(clashing(spark, rows)).collect()}
     assert text == {1: rows[0][1], 2: "second words of another text", 3: None, 4: ""}
-    named = line_dedup.dedup_lines(clashing(spark, rows), dropped_col="_dropped")
+    named = line_dedup.dedup_lines(clashing(spark, rows))
     assert named.columns == [c for c in OWN if c != "_dropped"] + ["doc_id", "text", "_dropped"]
     assert {r["doc_id"]: r["_dropped"] is not None for r in named.collect()} == {1: False, 2: True, 3: False, 4: False}
