@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from docquill.functions._util import col_of
+from docquill.functions._util import bind, col_of
 
 # The seven symbol kinds, those that carry an owner, and the
 # five kinds the annotate command looks for by default.
@@ -69,14 +69,16 @@ def is_exported(c) -> Column:
     exported when it is non-empty, not ``_``, and its first byte is unchanged
     by upper-casing: an ASCII byte that is not a lower-case letter. Names that
     start with a multi-byte character are not exported."""
-    name = _second_part(_second_part(col_of(c), ":"), ".")
-    first = F.substring(name, 1, 1)
-    return (
-        (F.length(name) > 0)
-        & (name != "_")
-        & (F.octet_length(first) == 1)
-        & ~first.between("a", "z")
-    )
+    def rule(name):
+        first = F.substring(name, 1, 1)
+        return (
+            (F.length(name) > 0)
+            & (name != "_")
+            & (F.octet_length(first) == 1)
+            & ~first.between("a", "z")
+        )
+    # Bound, as lambdas get no common subexpression elimination.
+    return bind(_second_part(col_of(c), ":"), lambda path: bind(_second_part(path, "."), rule))
 
 
 def _quote(c: Column) -> Column:

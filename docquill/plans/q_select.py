@@ -3,11 +3,12 @@ grouping and reports on pages, documents and conversations."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docquill.functions._util import explode_rows
+from docquill.functions._util import bind, explode_rows
 from docquill.functions.identifiers import format_identifier, is_exported, parse_identifier, valid_identifier
+from docquill.functions.text import words
 from docquill.operators import select as SEL
 from docquill.operators.annotate import flatten_docs, group_inputs
 from docquill.operators.units import extract_by_rules
@@ -113,21 +114,36 @@ def q_identifier_roundtrip(spark, sf_dir):
         F.count(F.lit(1)).alias("n"), F.count(F.when(back == F.col("identifier"), 1)).alias("n_roundtrip"))
 
 
+def exported_words(text) -> Column:
+    """STRUCT<n_words, pos, words>: the number of words of a text, and the places
+    and the texts, with one space between them, of those that are exported as ``func:<word>``."""
+    def chosen(ws):
+        places = F.when(F.size(ws) > 0, F.sequence(F.lit(0), F.size(ws) - 1)).otherwise(F.array().cast("array<int>"))
+        pos = F.filter(places, lambda i: is_exported(F.concat(F.lit("func:"), F.get(ws, i))))
+        return bind(pos, lambda ps: F.struct(F.greatest(F.size(ws), F.lit(0)).alias("n_words"), ps.alias("pos"),
+                                             F.array_join(F.transform(ps, lambda i: F.get(ws, i)), " ").alias("words")))
+    return bind(words(text), chosen)
+
+
 def q_exported_flag(spark, sf_dir):
     """B7 on every word of every document, as ``func:<word>``.
 
-    Words are exploded so the rule runs as a compiled column expression, then
-    counted per document (as a fold inside the row it takes five times as long)."""
-    from docquill.functions.text import words
-    d = load(spark, sf_dir, "documents")
-    w = explode_rows(d, words("text"), ["doc_id"], pos="pos", value="word")
-    w = w.withColumn("exp", is_exported(F.concat(F.lit("func:"), F.col("word"))))
-    g = w.groupBy("doc_id").agg(
-        F.count(F.lit(1)).alias("n_words"),
-        F.count(F.when(F.col("exp"), 1)).alias("n_exported"),
-        F.sort_array(F.collect_list(F.when(F.col("exp"), F.struct("pos", "word")))).alias("ex"))
-    return g.select("doc_id", "n_words", "n_exported",
-                    F.md5(F.array_join(F.transform("ex", lambda x: x["word"]), " ")).alias("exported_md5"))
+    The rule runs inside the row, so one row per document is shuffled, with its
+    exported words alone. Documents of one id count as one, its words in the
+    order of place, then text; documents without a word have no row."""
+    d = load(spark, sf_dir, "documents").select("doc_id", exported_words("text").alias("w"))
+    found = F.size("w.pos") > 0
+    g = d.groupBy("doc_id").agg(
+        F.sum("w.n_words").alias("n_words"),
+        F.sum(F.size("w.pos")).alias("n_exported"),
+        F.collect_list(F.when(found, F.struct("w.pos", "w.words"))).alias("ex"))
+
+    def merged(ex):
+        each = F.transform(ex, lambda x: F.arrays_zip(x["pos"].alias("pos"), F.split(x["words"], " ").alias("word")))
+        return F.array_join(F.transform(F.sort_array(F.flatten(each)), lambda x: x["word"]), " ")
+
+    text = F.when(F.size("ex") == 1, F.get("ex", F.lit(0))["words"]).otherwise(merged(F.col("ex")))
+    return g.where("n_words > 0").select("doc_id", "n_words", "n_exported", F.md5(text).alias("exported_md5"))
 
 
 # ---- G1, G2, H1, E6, E7 ----------------------------------------------------

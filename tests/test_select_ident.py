@@ -148,3 +148,17 @@ def test_units_kept_plus_dropped_is_all(spark):
 
 def test_quote_escapes(spark):
     assert one(spark, target_phrase("t", "go"), 'iface:a"b\tc') == '"iface:a\\"b\\tc"'
+
+
+def test_exported_flag_shuffles_no_row_per_word(spark, tmp_path):
+    import hashlib
+    from docquill.plans.q_select import q_exported_flag
+    rows = [(1, "Foo bar  _\tBaz.qux x.Y\n_z Ärger a:B"), (2, None), (3, ""), (4, "only lower"), (5, " Two A"), (5, "b C One"),
+            (5, None), (None, "Null"), (None, "Key"), (6, "Ab Cd ef Gh:i.j")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    out = q_exported_flag(spark, str(tmp_path))
+    got = {r["doc_id"]: (r["n_words"], r["n_exported"], r["exported_md5"]) for r in out.collect()}
+    md5 = lambda s: hashlib.md5(s.encode()).hexdigest()
+    assert got == {1: (8, 3, md5("Foo x.Y _z")), 4: (2, 0, md5("")), 5: (5, 4, md5("Two A C One")),
+                   None: (2, 2, md5("Key Null")), 6: (4, 3, md5("Ab Cd Gh:i.j"))}
+    assert "Generate" not in out._jdf.queryExecution().optimizedPlan().toString()
