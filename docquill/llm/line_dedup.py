@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from docquill.functions._util import bind, explode_rows
 from docquill.llm.common import among, read, saved
-from docquill.llm.quality_rules import SPACE, SPACE_CHARS
+from docquill.llm.quality_rules import SPACE_CHARS
 
 MIN_WORDS = 5
 WORDS_PER_EDIT = 10         # of the query op1_line_dedup_by_length
@@ -61,17 +61,26 @@ def _half_keys() -> Column:
     return F.when(F.col("n") >= MIN_WORDS, both).otherwise(F.expr("cast(array() as array<bigint>)"))
 
 
+def _plain(text: Column) -> Column:
+    """The text with one space between the words of a line, and none around them.
+
+    Done on whole texts: as an expression on each line it would be evaluated
+    again in every filter on the line. A text is only copied for what it contains."""
+    def put(t, old, new, by=F.replace):
+        return bind(t, lambda x: F.when(F.contains(x, F.lit(old)), by(x, F.lit(old), F.lit(new))).otherwise(x))
+
+    for c in SPACE_CHARS.replace(" ", "").replace("\n", ""):
+        text = put(text, c, " ")
+    text = put(text, "  ", " ", lambda x, _, one: F.regexp_replace(x, " {2,}", one))
+    return F.trim(put(put(text, " \n", "\n"), "\n ", "\n"))
+
+
 def _lines(docs: DataFrame) -> DataFrame:
     """(id, th, pos, line, n): the lines with a word of rows (id, th, text), as
     words with one space between them, and their number of words."""
-    every = explode_rows(docs, F.split("text", "\n"), ["id", "th"], pos="pos", value="line")
-    every = every.withColumn("line", F.btrim("line", F.lit(SPACE_CHARS))).where("line <> ''")
-    odd = F.contains("line", F.lit("  "))       # most lines need no rewriting
-    for c in SPACE_CHARS.replace(" ", "").replace("\n", ""):
-        odd = odd | F.contains("line", F.lit(c))
-    line = F.when(odd, F.regexp_replace("line", SPACE, " ")).otherwise(F.col("line"))
+    every = explode_rows(docs, F.split(_plain(F.col("text")), "\n"), ["id", "th"], pos="pos", value="line").where("line <> ''")
     n = F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "), F.lit(""))) + 1
-    return every.select("id", "th", "pos", line.alias("line")).withColumn("n", n)
+    return every.select("id", "th", "pos", "line").withColumn("n", n)
 
 
 ORDER = ("id", "th", "pos")     # nulls first, as in any ascending order

@@ -1,5 +1,6 @@
 """Long texts in linear time and bounded memory, and columns whose names meet the operators' own."""
 
+import re
 import resource
 import time
 
@@ -90,3 +91,16 @@ def test_clashing_columns_stay(spark):
     named = line_dedup.dedup_lines(clashing(spark, rows))
     assert named.columns == [c for c in OWN if c != "_dropped"] + ["doc_id", "text", "_dropped"]
     assert {r["doc_id"]: r["_dropped"] is not None for r in named.collect()} == {1: False, 2: True, 3: False, 4: False}
+
+
+def test_lines_are_cleaned_once(spark):
+    """A filter on the lines repeats none of the work that makes them."""
+    texts = ["a b\n\n  c\td \x0b\n \n\r\ne  f  g\x0c", " x \n y", "\n", "", "one", "a b   c", "a \n \n b", "\t\t\n \t z", None]
+    d = spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "id long, th long, text string")
+    lines = line_dedup._lines(d)
+    got = sorted((r["id"], r["pos"], r["line"], r["n"]) for r in lines.collect())
+    words = lambda x: [w for w in re.split("[\x20\x09-\x0D]+", x) if w]
+    assert got == sorted((i, p, " ".join(words(x)), len(words(x))) for i, t in enumerate(texts) if t is not None
+                         for p, x in enumerate(t.split("\n")) if words(x))
+    plan = lines.where("n >= 5").select(F.xxhash64("line"))._jdf.queryExecution().optimizedPlan()
+    assert plan.toString().count("trim(") == 1
