@@ -6,7 +6,8 @@ of its words in order. Arrow splits the texts of a slice of bounded size and
 numbers their distinct words; only these are looked at one by one. A worker
 keeps the result of each word that it has seen, in tables of bounded size, and
 asks the library for new words only, in batches balanced by bytes. numpy then
-lays out the ids of all words of the slice in one array.
+lays out the ids of all words of the slice in one array. Words with their ids
+are kept as Arrow and numpy arrays, some 60 bytes each, never as Python objects.
 """
 
 from __future__ import annotations
@@ -18,10 +19,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-WORDS = 400_000             # words of a generation that a worker remembers
+WORDS = 400_000             # words of a table, or of a generation, that a worker remembers
 BATCH_BYTES = 1 << 20       # new text sent to the library at a time
+ID_BATCH_BYTES = 1 << 16    # the same where whole encodings come back, many times the size of their words
 LONG_WORD = 64              # longer words are not remembered
-SLICE_BYTES = 8 << 20       # text whose words are numbered together; a longer text is a slice of its own
+SLICE_BYTES = 4 << 20       # text whose words are numbered together; a longer text is a slice of its own
 
 
 def slices(texts: pa.Array, limit: int = SLICE_BYTES):
@@ -116,6 +118,11 @@ class Ids:
     def of(cls, parts: list[bytes]) -> "Ids":
         return cls(np.frombuffer(b"".join(parts), "<u4"), np.fromiter(map(len, parts), np.int64, len(parts)) >> 2)
 
+    @classmethod
+    def join(cls, runs: list["Ids"]) -> "Ids":
+        return cls(np.concatenate([np.zeros(0, "<u4"), *(r.flat for r in runs)]),
+                   np.concatenate([np.zeros(0, np.int64), *(r.n for r in runs)]))
+
     def take(self, which: np.ndarray) -> "Ids":
         many = self.n[which]
         ends = np.cumsum(many)
@@ -124,6 +131,36 @@ class Ids:
         return Ids(self.flat[place], many)
 
 
+class KnownIds:
+    """Ids of the words that a worker has seen; ``make`` gives those of a list of
+    new words. At most ``WORDS`` are kept, of more the half that was used last."""
+
+    def __init__(self, make):
+        self.make, self.words, self.ids = make, pa.array([], pa.large_string()), Ids.of([])
+        self.used, self.calls = np.zeros(0, np.int64), 0        # the call that used each word last
+
+    def of(self, words: pa.Array) -> Ids:
+        """Ids of distinct words."""
+        place = pc.fill_null(pc.index_in(words, value_set=self.words), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        lacks = np.flatnonzero(place < 0)
+        place[lacks] = len(self.words) + np.arange(len(lacks))
+        self.calls += 1
+        if not len(lacks):
+            self.used[place] = self.calls
+            return self.ids.take(place)
+        fresh = words.take(pa.array(lacks))
+        known = Ids.join([self.ids, *(Ids.of(self.make(run.to_pylist())) for run in slices(fresh, ID_BATCH_BYTES))])
+        self.used = np.concatenate([self.used, np.zeros(len(fresh), np.int64)])
+        self.used[place] = self.calls
+        short = pc.less_equal(pc.binary_length(fresh), LONG_WORD).to_numpy(zero_copy_only=False)
+        kept = np.concatenate([np.arange(len(self.words)), len(self.words) + np.flatnonzero(short)])
+        if len(kept) > WORDS:
+            kept = np.sort(kept[np.argsort(-self.used[kept], kind="stable")[:WORDS // 2]])
+        self.words = pa.concat_arrays([self.words, fresh]).take(pa.array(kept))
+        self.ids, self.used = known.take(kept), self.used[kept]
+        return known.take(place)
+
+
 class WordIds:
     """Ids by the ``tokenizers`` library for a vocabulary that drops white space.
 
@@ -149,7 +186,7 @@ class WordIds:
         self.last[[i for t, i in vocabulary.items() if suffix and t.endswith(suffix)]] = True
         letters = byte_letters()
         self.letters = {c: "".join(map(letters.get, chr(c).encode())) for c in range(0xC0, 0x100)}
-        self.marks, self.words, self.bodies = Remembered(self._library), Remembered(self._library), Remembered(self._merged)
+        self.marks, self.words, self.bodies = KnownIds(self._library), KnownIds(self._library), KnownIds(self._merged)
         self.plain = True
         tests = [w + m for w in ("the", "Thhaen", "A", "ÀÖß", "øÿ", "ciónñga", "Größe", "x" * 40) for m in ("", ".", ",!?")]
         self.plain = bool(suffix) and self._distinct(pa.array(tests, pa.large_string())).flat.tobytes() == b"".join(self._library(tests))
@@ -176,8 +213,8 @@ class WordIds:
         own, other = np.flatnonzero(plain), np.flatnonzero(~plain)
         body = pc.utf8_lower(bodies.take(pa.array(own))).dictionary_encode()
         marks = pc.replace_substring_regex(words.take(pa.array(own)), f"^[^{MARKS}]+", "").dictionary_encode()
-        units = Ids.of([*self.bodies.of(body.dictionary.to_pylist()), *self.marks.of(marks.dictionary.to_pylist()),
-                        *self.words.of(words.take(pa.array(other)).to_pylist()), b""])
+        units = Ids.join([self.bodies.of(body.dictionary), self.marks.of(marks.dictionary),
+                          self.words.of(words.take(pa.array(other))), Ids.of([b""])])
         n, m = len(body.dictionary), len(marks.dictionary)
         which = np.full((len(words), 2), len(units.n) - 1)      # a word's letters and its marks
         which[own, 0] = body.indices.to_numpy(zero_copy_only=False)

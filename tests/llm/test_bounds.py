@@ -1,13 +1,19 @@
 """Long texts in linear time and bounded memory, and columns whose names meet the operators' own."""
 
+import gc
 import re
 import resource
 import time
+import tracemalloc
 
 import numpy as np
+import public_tokenizers
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
-from docquill.llm import line_crf, line_dedup, secret_scan, simhash
+from docquill.llm import line_crf, line_dedup, secret_scan, simhash, tokens
+from docquill.llm.tokens import WordIds
 
 
 def checksums(n):
@@ -104,3 +110,33 @@ def test_lines_are_cleaned_once(spark):
                          for p, x in enumerate(t.split("\n")) if words(x))
     plan = lines.where("n >= 5").select(F.xxhash64("line"))._jdf.queryExecution().optimizedPlan()
     assert plan.toString().count("trim(") == 1
+
+
+@pytest.mark.parametrize("mark", ["", "_"])
+def test_a_remembered_word_takes_few_bytes(mark):
+    """All that a worker keeps after a slice of 60,000 new words: under 100 bytes for each; as Python objects some 130."""
+    ids = WordIds(public_tokenizers.path("word_bpe_49k.json"))
+    letters = str.maketrans("0123456789", "bcdfghjklm")
+    text = pa.array([" ".join(f"{k:07d}".translate(letters) + mark for k in range(60_000))])
+    ids.ids(pa.array(["a a_"]), 1)
+    gc.collect()
+    tracemalloc.start()
+    try:
+        arrow = pa.total_allocated_bytes()
+        got, n = ids.ids(text, 1)
+        assert n.tolist() == [len(got)]
+        del got, n
+        gc.collect()
+        grown = tracemalloc.get_traced_memory()[0] + pa.total_allocated_bytes() - arrow
+    finally:
+        tracemalloc.stop()
+    assert grown < 60_000 * 100
+
+
+def test_one_slice_of_new_words_does_not_outgrow_the_table(monkeypatch):
+    monkeypatch.setattr(tokens, "WORDS", 100)
+    known = tokens.KnownIds(lambda words: [np.array([int(w), len(w)], "<u4").tobytes() for w in words])
+    for low, high in ((0, 50), (40, 90), (30, 2000), (0, 3), (1990, 2100), (10, 20)):
+        got = known.of(pa.array(map(str, range(low, high)), pa.large_string()))
+        assert got.flat.tolist() == [x for k in range(low, high) for x in (k, len(str(k)))] and len(known.words) <= 100
+    assert len(known.of(pa.array([], pa.large_string())).n) == 0
